@@ -72,27 +72,8 @@ SOURCE_BUNDLES = {
         ("mobile_label", r"\bMob\.?:\s*\d[\d,\s\-]{8,}"),
     ],
 }
-# Literals (lower case) of which a text must hold one for the labelled pattern to match. They only save
-# work: a text without them skips the pattern.
-PATTERN_LITERALS = {
-    "url": ["http"],
-    "bare_domain": ["www."],
-    "coaching_name": [
-        "vedantu", "utkarsh", "byju", "testbook", "adda247", "drishti", "khan", "unacademy", "physicswallah",
-        "pw", "springboard",
-    ],
-    "email": ["@"],
-    "social_handle": ["@"],
-    "downloaded_from": ["downloaded"],
-    "pagination": ["page"],
-    "copyright": ["©"],
-    "social_join": ["join", "subscribe"],
-    "address_block": ["keshav"],
-    "page_marker": ["springboard"],
-    "book_header": ["rajasthan"],
-    "book_footer": ["raj."],
-    "mobile_label": ["mob"],
-}
+# A caseless literal without which the labelled pattern cannot match: a plain scan saves the regex.
+PATTERN_LITERALS = {"url": "://", "email": "@", "social_handle": "@", "copyright": "©"}
 EXCESS_BLANKS = r"(?:[ \t]*\n){3,}"
 
 # Publisher (lower case) to authority rank; a lower rank wins; unknown is 3.

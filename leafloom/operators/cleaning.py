@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +24,9 @@ def remove(text: Column, pattern: str) -> Column:
 
 
 def may_match(text: Column, label: str) -> Column:
-    """False when the text lacks every literal the pattern needs; a plain scan instead of a regex."""
-    literals = K.PATTERN_LITERALS.get(label)
-    if not literals:
-        return F.lit(True)
-    if all(not x.isalpha() for x in "".join(literals)):
-        return reduce(or_, [F.contains(text, F.lit(x)) for x in literals])
-    # The long s is the one letter whose lower case differs from what a case-blind pattern accepts.
-    return T.let(
-        F.translate(F.lower(text), "\u017f", "s"), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in literals])
-    )
+    """False when the text lacks the literal the pattern needs."""
+    literal = K.PATTERN_LITERALS.get(label)
+    return F.lit(True) if literal is None else F.contains(text, F.lit(literal))
 
 
 def collapse_blank_lines(text: Column) -> Column:
@@ -45,12 +35,9 @@ def collapse_blank_lines(text: Column) -> Column:
 
 def clean_text(text: Column, patterns: Patterns) -> Column:
     """Cleaned text only, as one expression."""
-    state = F.array(text)
-    for label, pattern in patterns:
-        state = F.transform(
-            state, lambda t, label=label, pattern=pattern: F.when(may_match(t, label), remove(t, pattern)).otherwise(t)
-        )
-    return collapse_blank_lines(state[0])
+    for _, pattern in patterns:
+        text = remove(text, pattern)
+    return collapse_blank_lines(text)
 
 
 def _step(state: Column, label: str, pattern: str) -> Column:

@@ -39,7 +39,14 @@ class Tables:
         return f"{self.directory}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return self._spread(df) if name == "documents" else df
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Text work is heavy, and one small file is one task: with fewer files than cores the rows are
+        dealt out. A table of many files is read as it is, without a shuffle."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, "doc_id") if len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
