@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from leafloom import constants as K
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_fold(text: pd.Series) -> pd.Series:
     return text.map(
         lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii")

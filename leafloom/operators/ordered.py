@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.session import cut_lineage
+
 BLOCK = 65536
 _B = "_block"
 
@@ -72,3 +74,17 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: int
     rows per key before the shuffle (window group limit), so a hot key stays cheap."""
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(out) <= keep)
+
+
+def global_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based place of every row in a total order, without one task that sees all rows.
+
+    The rows are range-partitioned and sorted, written once so that the ranges stay put, and numbered by
+    their place in the partition plus the sizes of the partitions before it.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_p").orderBy(*order)
+    return ranged.join(starts, "_p").withColumn(out, F.row_number().over(inner) + F.col("_start")).drop("_p", "_start")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import ordered
+from leafloom.session import cut_lineage
 
 ALL = "all"
 MAX_BROADCAST_HITS = 200_000
@@ -87,19 +88,27 @@ def statistics(paragraphs: DataFrame, scopes: DataFrame, small: bool | None = No
     """
     small = is_small(scopes) if small is None else small
     members = scope_members(paragraphs.select("node_id", T.tokens(F.col("text")).alias("_tok")), scopes, small)
-    sizes = members.groupBy("scope_key").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("_tok").cast("double")).alias("avgdl")
-    )
-    terms = (
-        members.select("scope_key", F.explode(F.array_distinct("_tok")).alias("term"))
+    # The empty term stands for the paragraph itself, so one pass counts terms, paragraphs and lengths.
+    # The table is written once, because three results read it.
+    counted = cut_lineage(
+        members.select(
+            "scope_key",
+            F.size("_tok").alias("dl"),
+            F.explode_outer(F.concat(F.array_distinct("_tok"), F.array(F.lit("")))).alias("term"),
+        )
         .groupBy("scope_key", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"))
+    )
+    sizes = counted.filter(F.col("term") == "").select(
+        "scope_key", F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl")
     )
-    raw = terms.join(_hint(sizes, small), "scope_key").withColumn(
-        "_raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = (
+        counted.filter(F.col("term") != "")
+        .join(_hint(sizes, small), "scope_key")
+        .withColumn("_raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
     means = raw.groupBy("scope_key").agg(F.avg("_raw").alias("avg_idf"))
-    scope_stats = sizes.join(means, "scope_key", "left")
+    scope_stats = sizes.join(_hint(means, small), "scope_key", "left")
     term_stats = raw.join(_hint(means, small), "scope_key").select(
         "scope_key",
         "term",
@@ -125,12 +134,14 @@ def postings(paragraphs: DataFrame, terms: DataFrame, small: bool | None = None)
     scores later both reuse that partitioning.
     """
     words = paragraphs.withColumn("_tok", T.tokens(F.col("text"))).select(
-        "node_id", "paragraph_id", "page", F.size("_tok").alias("dl"), F.explode("_tok").alias("term")
+        "node_id", "paragraph_id", "page", F.size("_tok").alias("dl"), F.explode_outer("_tok").alias("term")
     )
     small = is_small(terms) if small is None else small
+    # A fixed number of partitions: the join with the queries grows these rows, so their size here says little.
+    partitions = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = words.join(_hint(terms.select("term").distinct(), small), "term", "left_semi")
     return (
-        hits.repartition("node_id", "paragraph_id")
+        hits.repartition(partitions, "node_id", "paragraph_id")
         .groupBy("node_id", "paragraph_id", "page", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

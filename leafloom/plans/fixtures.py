@@ -19,6 +19,7 @@ PARAGRAPHS_PER_PAGE = 5
 PARAGRAPHS_PER_LEAF = 4
 LEAVES_PER_CHAPTER = 3
 
+SUBJECTS = ["de", "en", "es", "fr"]
 PUBLISHERS = ["NCERT", "RBSE", "Springboard Academy", "Unlisted Press"]
 
 # One positive per generic pattern, then lines for the source bundle.
@@ -186,7 +187,8 @@ UNION ALL SELECT doc_id, 1, '   ', 2 FROM fx_doc_pages WHERE pages > 1 AND pages
 def nodes(t: Tables, clean: bool = False) -> DataFrame:
     """A proposed tree per document: root, chapters, leaves of four paragraphs.
 
-    ``doc_id % 5`` picks the flaw: none, overlap, null start, inverted range, last leaf missing.
+    ``doc_id % 5`` picks the flaw: none, overlap with an end past the document, null start, inverted
+    range, last leaf missing.
     """
     size, leaf, step = F.col("n"), F.col("leaf"), PARAGRAPHS_PER_LEAF
     docs = t("documents").select("doc_id", F.size(cleaning.paragraph_array(F.col("text"), LINES)).alias("n"))
@@ -221,8 +223,8 @@ def nodes(t: Tables, clean: bool = False) -> DataFrame:
         F.lit(None).cast("int").alias("paragraph_end"),
     )
     low = leaf * step
-    high = F.least(low + step - 1, size - 1)
     flaw = F.col("flaw")
+    high = F.when(flaw == 1, low + step - 1).otherwise(F.least(low + step - 1, size - 1))
     start = (
         F.when((flaw == 1) & (leaf > 0), low - 1)
         .when((flaw == 2) & (leaf == 0), F.lit(None))
@@ -268,7 +270,7 @@ SELECT doc_id, 'r/c' || (leaf // 3) || '/l' || leaf, 'r/c' || (leaf // 3), CAST(
        'Topic ' || (leaf % 2 + 1), 'About topic ' || leaf,
        CAST(CASE WHEN flaw = 1 AND leaf > 0 THEN leaf * 4 - 1 WHEN flaw = 2 AND leaf = 0 THEN NULL
                  WHEN flaw = 3 AND leaf = 0 THEN least(leaf * 4 + 3, n - 1) ELSE leaf * 4 END AS INTEGER),
-       CAST(CASE WHEN flaw = 3 AND leaf = 0 THEN leaf * 4 ELSE least(leaf * 4 + 3, n - 1) END AS INTEGER)
+       CAST(CASE WHEN flaw = 3 AND leaf = 0 THEN leaf * 4 WHEN flaw = 1 THEN leaf * 4 + 3 ELSE least(leaf * 4 + 3, n - 1) END AS INTEGER)
 FROM (SELECT doc_id, n, flaw, unnest(range(0, leaves)) AS leaf FROM {prefix}_docs WHERE leaves > 0)""",
         f"{prefix}_docs",
     )
@@ -344,22 +346,17 @@ UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey, s_name FROM su
 def queries(t: Tables) -> DataFrame:
     """Every benchmark passage asked over all subjects, and once more inside each subject."""
     base = t("benchmark").select(F.col("item_id"), "text")
-    subjects = t("documents").select(F.col("lang").alias("subject")).distinct()
     every = base.select(
         F.concat(F.lit("all:"), F.col("item_id").cast("string")).alias("query_id"),
         F.lit("all").alias("scope"),
         F.lit(None).cast("string").alias("subject"),
         "text",
     )
-    one = (
-        base.withColumn("_k", F.lit(1))
-        .join(subjects.withColumn("_k", F.lit(1)), "_k")
-        .select(
-            F.concat(F.col("subject"), F.lit(":"), F.col("item_id").cast("string")).alias("query_id"),
-            F.lit("subject").alias("scope"),
-            "subject",
-            "text",
-        )
+    one = base.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s in SUBJECTS])).alias("subject")).select(
+        F.concat(F.col("subject"), F.lit(":"), F.col("item_id").cast("string")).alias("query_id"),
+        F.lit("subject").alias("scope"),
+        "subject",
+        "text",
     )
     return every.unionByName(one)
 
@@ -369,7 +366,7 @@ block(
     """
 SELECT 'all:' || item_id AS query_id, 'all' AS scope, CAST(NULL AS VARCHAR) AS subject, text FROM benchmark
 UNION ALL
-SELECT lang || ':' || item_id, 'subject', lang, text FROM benchmark, (SELECT DISTINCT lang FROM documents)""",
+SELECT lang || ':' || item_id, 'subject', lang, text FROM (SELECT *, unnest(['de', 'en', 'es', 'fr']) AS lang FROM benchmark)""",
 )
 
 
