@@ -10,6 +10,7 @@ from leafloom import constants as K
 from leafloom.functions import slugs
 from leafloom.functions import text as T
 from leafloom.operators import ordered
+from leafloom.session import cut_lineage
 
 MAX_DEPTH = 4
 
@@ -188,10 +189,12 @@ def emit_node_ids(nodes: DataFrame, tree: str, subject: Column, max_depth: int =
     """
     below = nodes.filter(F.col("parent_key").isNotNull())
     placed = ordered.ordinal(below, [tree, "parent_key"], "ord", "_pos").withColumn("order", (F.col("_pos") + 1).cast("int")).drop("_pos")
-    slugged = unique_slugs(placed.withColumn("base", slugs.slugify(F.col("title"))), [tree, "parent_key"], "ord").drop("base")
+    # Read several times below, so each is written once.
+    placed = cut_lineage(placed.withColumn("base", slugs.slugify(F.col("title"))))
+    slugged = unique_slugs(placed, [tree, "parent_key"], "ord").drop("base")
     root = nodes.filter(F.col("parent_key").isNull()).withColumns({"order": F.lit(0), "slug": F.lit("")})
     segment = F.when(F.col("parent_key").isNull(), subject).otherwise(slugs.path_segment(F.col("order"), F.col("slug")))
-    rows = slugged.unionByName(root).withColumn("segment", segment)
+    rows = cut_lineage(slugged.unionByName(root).withColumn("segment", segment))
     out = climb(rows, "node_key", "parent_key", {"segment": F.col("segment")}, [tree], max_depth)
     path = F.transform("path", lambda p: p["segment"])
     return (

@@ -28,11 +28,21 @@ def build_session(app: str = "leafloom", cpus: str | int = "*", **conf: str) ->
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the results depend on, for any session handed in.
+
+    Spark 4.1 lets a union keep the partitioning of its inputs. With inputs that adaptive execution
+    coalesces differently, a later aggregation without a shuffle then returns a key more than once.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 class Tables:
     """Lazy parquet tables of one directory; a table is read only when asked for."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.directory = directory.rstrip("/")
 
     def path(self, name: str) -> str:
@@ -46,7 +56,7 @@ class Tables:
         """Text work is heavy, and one small file is one task: with fewer files than cores the rows are
         dealt out. A table of many files is read as it is, without a shuffle."""
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, "doc_id") if len(df.inputFiles()) < cores else df
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
