@@ -474,7 +474,11 @@ def existing_tree(t: Tables) -> DataFrame:
 
 
 def new_leaves(t: Tables) -> DataFrame:
-    rows = signed(t).filter("is_new")
+    return S.with_signature(plain_new_leaves(t))
+
+
+def plain_new_leaves(t: Tables) -> DataFrame:
+    rows = fx.leaves(t).filter("is_new")
     page = F.array((F.col("ord") % 90 + 1).cast("int"))
     return rows.withColumns({"pages": page, "paragraph_ids": F.array(F.lit(0)), "authority_rank": T.authority_rank(F.col("publisher"))})
 

@@ -26,6 +26,8 @@ def load_text_sources(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source_path", F.lit(1).alias("page"), "text", F.when(T.strip(F.col("text")) != "", 1).otherwise(0).alias("page_count"))
 
 
+RECORD_MARK = "\n\x1e\n"
+
 SKILL_SCHEMA = (
     "source_path string, subject string, node_id string, parent string, depth int, order int, name string, "
     "description string, subject_scope string, exam_coverage array<string>, ingested_at string, ingestion_version string, "
@@ -39,7 +41,7 @@ _SOURCE_FIELDS = ["source_id", "publisher", "book_slug", "pages", "paragraph_ids
 def _front_matter(text: str) -> tuple[dict, str]:
     import yaml
 
-    lines = text.lstrip("﻿").split("\n")
+    lines = text.lstrip("\ufeff").split("\n")
     if lines[0].strip() != "---":
         return {}, text.strip()
     close = next((i for i, line in enumerate(lines[1:], 1) if line.strip() == "---"), None)
@@ -82,47 +84,61 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.astype(object).where(frame.notna(), None)
 
 
+def parse_skill_text(raw: DataFrame) -> DataFrame:
+    """``(source_path, value)`` texts to rows: front matter in columns, body as text.
+
+    The primary publisher and book are those of the first source. A text that cannot be read is kept as a
+    row with ``error`` set.
+    """
+    rows = raw.select("source_path", "value").mapInPandas(_parse, SKILL_SCHEMA)
+    first = F.try_element_at("sources", F.lit(1))
+    return rows.withColumns(
+        {
+            "publisher": F.coalesce(first["publisher"], F.lit("")),
+            "book_slug": F.coalesce(first["book_slug"], F.lit("")),
+            "subject_scope": T.subject_scope(F.col("subject_scope")),
+        }
+    )
+
+
 def load_skill_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown tree files as rows: front matter in columns, body as text.
+    """A folder of Markdown tree files, one file per node.
 
-    Paths give what the front matter may lack. Chapter folders must start with two digits and a hyphen; the
-    primary publisher and book are those of the first source.
+    Paths give what the front matter may lack. Chapter folders must start with two digits and a hyphen.
     """
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(
         F.col("_metadata.file_path").alias("source_path"), "value"
     )
-    rows = raw.mapInPandas(_parse, SKILL_SCHEMA)
     base = root.rstrip("/").rsplit("/", 1)[-1]
     inside = F.regexp_replace(F.substring_index("source_path", f"/{base}/", -1), r"\.md$", "")
     parts = F.split(inside, "/")
     is_node = F.element_at(parts, -1) == "SKILL"
     path = F.when(is_node, F.regexp_replace(inside, r"/?SKILL$", "")).otherwise(inside)
-    rows = rows.withColumns({"path": path, "is_leaf": ~is_node})
-    folders = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    rows = rows.filter(F.forall(folders, lambda f: f.rlike(r"^\d{2}-")))
-    first = F.try_element_at("sources", F.lit(1))
-    return rows.withColumns(
-        {
-            "subject": F.coalesce("subject", F.element_at(parts, 1)),
-            "node_id": F.coalesce("node_id", "path"),
-            "publisher": F.coalesce(first["publisher"], F.lit("")),
-            "book_slug": F.coalesce(first["book_slug"], F.lit("")),
-            "subject_scope": T.subject_scope(F.col("subject_scope")),
-        }
+    folders = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    rows = parse_skill_text(raw).filter(F.forall(folders, lambda f: f.rlike(r"^\d{2}-")))
+    return rows.withColumns({"path": path, "is_leaf": ~is_node}).withColumns(
+        {"subject": F.coalesce("subject", F.substring_index("path", "/", 1)), "node_id": F.coalesce("node_id", "path")}
     )
 
 
+def load_skill_records(spark: SparkSession, path: str) -> DataFrame:
+    """What ``sinks.write_markdown`` wrote: many nodes per file, told apart by a record mark."""
+    raw = spark.read.option("lineSep", RECORD_MARK).text(path).select(F.col("_metadata.file_path").alias("source_path"), "value")
+    rows = parse_skill_text(raw.filter(T.strip(F.col("value")) != ""))
+    return rows.withColumns({"path": F.col("node_id"), "is_leaf": F.col("sources").isNotNull() & (F.col("depth") > 0)})
+
+
 def list_subjects(nodes: DataFrame) -> DataFrame:
     """Subjects: top folders with a node file of their own; hidden, archived and dotted names are skipped."""
     top = nodes.filter(~F.col("is_leaf") & (F.instr("path", "/") == 0)).select(F.col("path").alias("subject"))
     return top.filter(~F.col("subject").rlike(r"^[._]|\.")).distinct()
 
 
-def load_manifest(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+def load_manifest(spark: SparkSession, path: str, nodes: DataFrame, multi_line: bool = True) -> DataFrame:
     """Manifest entries with node and leaf counts. Entries without a folder are skipped; entries whose
     folder holds nothing stay as unavailable."""
     schema = "slug string, name string, scope string, skill_folder string"
-    entries = spark.read.schema(schema).json(path, multiLine=True).filter(F.coalesce("skill_folder", F.lit("")) != "")
+    entries = spark.read.schema(schema).json(path, multiLine=multi_line).filter(F.coalesce("skill_folder", F.lit("")) != "")
     counts = nodes.groupBy(F.substring_index("path", "/", 1).alias("_folder")).agg(F.count(F.lit(1)).alias("_n"), F.count_if("is_leaf").alias("_l"))
     rows = entries.withColumn("_folder", F.substring_index("skill_folder", "/", -1)).join(counts, "_folder", "left")
     return rows.select(

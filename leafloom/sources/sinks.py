@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom import constants as K
+from leafloom.sources.files import RECORD_MARK
 
 
 class SubjectExistsError(RuntimeError):
@@ -60,4 +61,4 @@ def render_skill_markdown(columns: list[str]) -> Column:
 def write_markdown(nodes: DataFrame, path: str) -> None:
     """One text record per node, separated by a record mark; partitioned by subject."""
     rows = nodes.select("subject", render_skill_markdown(nodes.columns).alias("value"))
-    rows.write.mode("errorifexists").partitionBy("subject").option("lineSep", "\n\x1e\n").text(path)
+    rows.write.mode("errorifexists").partitionBy("subject").option("lineSep", RECORD_MARK).text(path)
