@@ -295,6 +295,12 @@ def _(t):
     return t("documents").select(n.alias("node_id"), T.node_trail(n).alias("trail"), T.short_node_id(n).alias("short_id"))
 
 
+@query("short_node_id", "SELECT node_id, split_part(node_id, '/', 2) || '/' || split_part(node_id, '/', 3) AS short_id FROM fx_lines", ("fx_lines",))
+def _(t):
+    n = fx.node_of()
+    return t("documents").select(n.alias("node_id"), T.short_node_id(n).alias("short_id"))
+
+
 @query(
     "scope_label",
     """
