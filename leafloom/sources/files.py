@@ -21,7 +21,7 @@ def load_text_sources(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     problem = F.raise_error(F.concat(F.lit("unsupported source type: "), "path")).cast("string")
-    text = F.when(suffix == ".txt", F.decode("content", "UTF-8")).otherwise(problem)
+    text = F.when(suffix == ".txt", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(problem)
     rows = raw.select(F.col("path").alias("source_path"), text.alias("text"))
     return rows.select("source_path", F.lit(1).alias("page"), "text", F.when(T.strip(F.col("text")) != "", 1).otherwise(0).alias("page_count"))
 
