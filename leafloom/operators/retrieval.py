@@ -161,10 +161,12 @@ def scores(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
     tf, dl = F.col("tf"), F.col("dl")
     length_norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / F.col("avgdl"))
     part = F.col("weight") * tf * (K.BM25_K1 + 1) / (tf + length_norm)
-    found = postings(paragraphs, asked, small).join(_hint(weights, small), "term")
-    inside = (F.col("scope_key") == ALL) | under(F.col("node_id"), F.col("scope_key"))
+    # A posting is opened to the scopes its paragraph is in, so that it meets exactly the queries of these
+    # scopes; a match by term alone would first pair it with the queries of all others.
+    paths = F.concat(F.array(F.lit(ALL)), T.ancestor_paths(F.col("node_id")))
+    found = postings(paragraphs, asked, small).select("*", F.explode(paths).alias("scope_key"))
     return (
-        found.filter(inside)
+        found.join(_hint(weights, small), ["scope_key", "term"])
         .groupBy("query_id", "node_id", "paragraph_id", "page")
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)

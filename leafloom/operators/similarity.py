@@ -1,6 +1,6 @@
 """Leaf vectors and pairs of similar leaves.
 
-Leaves ``(ord, subject, node_id, title, body, is_new)``. Leaves with equal signature text have equal vectors,
+Leaves ``(ord, subject, node_id, title, body, is_new)`` with ``ord`` unique on each side. Leaves with equal signature text have equal vectors,
 so vectors and pairs are per distinct signature, with the number of leaves behind it: a group of copies
 counts as one vertex however large it is.
 """
@@ -56,55 +56,79 @@ def hash_embedder(dim: int = K.EMBED_DIM) -> Embedder:
     return embed
 
 
-def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The entries of each unit vector that a partner of cosine >= threshold must share one of.
+def ranked_entries(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Vector entries with their place in the subject's order of slots, rarest first.
 
-    Entries are ordered by how rare their slot is in the subject. Once what is left of a vector is shorter
-    than the threshold, the rest cannot reach it alone. ``rest`` is the length of that remainder.
+    ``tail`` is the squared length of the vector from the entry on. Once it is below the squared threshold,
+    the rest cannot reach the threshold alone; the entries before are the ``head``, and a partner of cosine >=
+    threshold must share a slot of it. ``level`` is a coarse place, the same for slots of like frequency.
     """
-    rarity = vectors.groupBy("subject", "slot").agg(F.count(F.lit(1)).alias("_df"))
-    entries = vectors.join(rarity, ["subject", "slot"])
-    vector = Window.partitionBy("subject", "is_new", "sig")
-    tail = F.sum(F.col("weight") * F.col("weight")).over(
-        vector.orderBy(F.desc("_df"), F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
+    rarity = vectors.groupBy("subject", "slot").agg(F.count(F.lit(1)).alias("df"))
+    square = F.col("weight") * F.col("weight")
+    vector = Window.partitionBy("is_new", "vec").orderBy(F.desc("df"), F.desc("slot"))
+    return vectors.join(rarity, ["subject", "slot"]).withColumns(
+        {
+            "level": F.floor(4 * F.log2("df")).cast("int"),
+            "tail": F.sum(square).over(vector.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).withColumn("head", F.col("tail") >= (threshold - SLACK) ** 2)
+
+
+def _outlines(entries: DataFrame) -> DataFrame:
+    """Per vector: where its head ends, the length after it, and the length from each level on."""
+    square = F.col("weight") * F.col("weight")
+    longest = entries.groupBy("is_new", "vec", "level").agg(
+        F.max("tail").alias("tail"),
+        F.max(F.when(F.col("head"), F.struct("df", "slot", "level"))).alias("end"),
+        F.min(F.when(F.col("head"), F.col("tail") - square)).alias("rest"),
     )
-    floor = (threshold - SLACK) ** 2
-    entries = entries.withColumn("_tail", tail).filter(F.col("_tail") >= floor)
-    after = F.greatest(F.lit(0.0), F.min(F.col("_tail") - F.col("weight") * F.col("weight")).over(vector))
-    return entries.withColumn("rest", F.sqrt(after)).drop("_df", "_tail")
+    tails = F.array_sort(F.collect_list(F.struct("level", F.sqrt("tail").alias("tail"))))
+    return longest.groupBy("is_new", "vec").agg(
+        F.max("end").alias("end"), F.sqrt(F.greatest(F.lit(0.0), F.min("rest"))).alias("rest"), tails.alias("tails")
+    )
+
+
+def _length_from(tails: Column, level: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.filter(tails, lambda x: x["level"] >= level), F.lit(1))["tail"], F.lit(0.0))
 
 
 def similar_signatures(groups: DataFrame, vectors: DataFrame, threshold: float = K.GREY_SIMILARITY) -> DataFrame:
     """Every pair (new, existing) of signatures of one subject with cosine >= threshold, exactly.
 
-    Pairs meet on a shared prefix slot. The cosine over shared prefix slots plus the longer remainder bounds
-    the true cosine, which drops most pairs before the full vectors are compared.
+    ``vectors`` is ``(subject, is_new, vec, slot, weight)``, where ``vec`` is the order of the first leaf of the
+    signature: a short key for the many candidate rows. Pairs meet on a shared head slot. Up to the end of
+    the shorter head all shared slots are counted; what follows is at most the product of the two lengths
+    from there on. That bound drops nearly all pairs before full vectors are compared.
     """
     vectors = cut_lineage(vectors)
-    heads = prefixes(vectors, threshold)
-    side = lambda new, tag: heads.filter(F.col("is_new") == F.lit(new)).select(
-        "subject", "slot", F.col("sig").alias(f"{tag}_sig"), F.col("weight").alias(f"_w{tag}"), F.col("rest").alias(f"_r{tag}")
+    entries = cut_lineage(ranked_entries(vectors, threshold))
+    side = lambda new, tag: entries.filter((F.col("is_new") == F.lit(new)) & F.col("head")).select(
+        "subject", "slot", F.col("vec").alias(f"{tag}_ord"), F.col("weight").alias(f"_w{tag}")
     )
     shared = side(True, "new").join(side(False, "existing"), ["subject", "slot"])
-    bound = F.sum(F.col("_wnew") * F.col("_wexisting")) + F.max(F.greatest("_rnew", "_rexisting"))
-    candidates = (
-        shared.groupBy("subject", "new_sig", "existing_sig")
-        .agg(bound.alias("_bound"))
-        .filter(F.col("_bound") >= threshold - SLACK)
-        .drop("_bound")
+    met = shared.groupBy("new_ord", "existing_ord").agg(F.sum(F.col("_wnew") * F.col("_wexisting")).alias("_part"))
+    outlines = _outlines(entries)
+    shape = lambda new, tag: outlines.filter(F.col("is_new") == F.lit(new)).select(
+        F.col("vec").alias(f"{tag}_ord"), *[F.col(c).alias(f"_{tag}_{c}") for c in ("end", "rest", "tails")]
     )
+    met = met.join(shape(True, "new"), "new_ord").join(shape(False, "existing"), "existing_ord")
+    after = F.when(
+        F.col("_new_end") <= F.col("_existing_end"),
+        F.col("_new_rest") * _length_from(F.col("_existing_tails"), F.col("_new_end.level")),
+    ).otherwise(F.col("_existing_rest") * _length_from(F.col("_new_tails"), F.col("_existing_end.level")))
+    candidates = met.filter(F.col("_part") + after >= threshold - SLACK).select("new_ord", "existing_ord")
     entry = F.array_sort(F.collect_list(F.struct("slot", "weight")))
-    whole = vectors.groupBy("subject", "is_new", "sig").agg(entry.alias("v"))
-    whole = groups.drop("signature").join(whole, ["subject", "is_new", "sig"])
+    whole = vectors.groupBy("is_new", "vec").agg(entry.alias("v"))
+    whole = groups.drop("signature").withColumn("vec", F.col("first_ord")).join(whole, ["is_new", "vec"])
     pick = lambda new, tag: whole.filter(F.col("is_new") == F.lit(new)).select(
-        "subject",
+        *(["subject"] if new else []),
         F.col("sig").alias(f"{tag}_sig"),
         F.col("n").alias(f"n_{tag}"),
         F.col("first_node").alias(f"{tag}_node"),
         F.col("first_ord").alias(f"{tag}_ord"),
         F.col("v").alias(f"_v{tag}"),
     )
-    pairs = candidates.join(pick(True, "new"), ["subject", "new_sig"]).join(pick(False, "existing"), ["subject", "existing_sig"])
+    pairs = candidates.join(pick(True, "new"), "new_ord").join(pick(False, "existing"), "existing_ord")
     scored = pairs.withColumn("similarity", F.round(sparse_dot(F.col("_vnew"), F.col("_vexisting")), DIGITS))
     return scored.filter(F.col("similarity") >= threshold).drop("_vnew", "_vexisting")
 
@@ -122,7 +146,8 @@ def sparse_dot(a: Column, b: Column) -> Column:
 def leaf_pairs(leaves: DataFrame, threshold: float = K.GREY_SIMILARITY, embedder: Embedder | None = None) -> DataFrame:
     """Similar signature pairs of a leaf table with the default or a given embedder."""
     groups = cut_lineage(signature_groups(with_signature(leaves)))
-    vectors = (embedder or hash_embedder())(groups.select("subject", "is_new", "sig", F.col("signature").alias("text")))
+    texts = groups.select("subject", "is_new", F.col("first_ord").alias("vec"), F.col("signature").alias("text"))
+    vectors = (embedder or hash_embedder())(texts)
     return similar_signatures(groups, vectors, threshold)
 
 

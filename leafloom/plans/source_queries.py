@@ -327,7 +327,8 @@ class StreamTables(Tables):
 
     def __call__(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(self.path(name)).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.directory)
+        rows = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.directory)
+        return self._spread(rows, self.spark.read.parquet(self.path(name))) if name == "documents" else rows
 
 
 _JOB_SQL = """
