@@ -1,6 +1,6 @@
 """Leaf vectors and pairs of similar leaves.
 
-Leaves ``(ord, subject, node_id, title, body, is_new)`` with ``ord`` unique on each side. Leaves with equal signature text have equal vectors,
+Leaves ``(ord, subject, node_id, title, body, is_new)``. Leaves with equal signature text have equal vectors,
 so vectors and pairs are per distinct signature, with the number of leaves behind it: a group of copies
 counts as one vertex however large it is.
 """
@@ -95,42 +95,43 @@ def _length_from(tails: Column, level: Column) -> Column:
 def similar_signatures(groups: DataFrame, vectors: DataFrame, threshold: float = K.GREY_SIMILARITY) -> DataFrame:
     """Every pair (new, existing) of signatures of one subject with cosine >= threshold, exactly.
 
-    ``vectors`` is ``(subject, is_new, vec, slot, weight)``, where ``vec`` is the order of the first leaf of the
-    signature: a short key for the many candidate rows. Pairs meet on a shared head slot. Up to the end of
+    ``vectors`` is ``(subject, is_new, vec, slot, weight)``, where ``vec`` is the number of the signature
+    group: a short key for the many candidate rows. Pairs meet on a shared head slot. Up to the end of
     the shorter head all shared slots are counted; what follows is at most the product of the two lengths
     from there on. That bound drops nearly all pairs before full vectors are compared.
     """
     vectors = cut_lineage(vectors)
     entries = cut_lineage(ranked_entries(vectors, threshold))
     side = lambda new, tag: entries.filter((F.col("is_new") == F.lit(new)) & F.col("head")).select(
-        "subject", "slot", F.col("vec").alias(f"{tag}_ord"), F.col("weight").alias(f"_w{tag}")
+        "subject", "slot", F.col("vec").alias(f"_{tag}_vec"), F.col("weight").alias(f"_w{tag}")
     )
     shared = side(True, "new").join(side(False, "existing"), ["subject", "slot"])
-    met = shared.groupBy("new_ord", "existing_ord").agg(F.sum(F.col("_wnew") * F.col("_wexisting")).alias("_part"))
+    met = shared.groupBy("_new_vec", "_existing_vec").agg(F.sum(F.col("_wnew") * F.col("_wexisting")).alias("_part"))
     outlines = _outlines(entries)
     shape = lambda new, tag: outlines.filter(F.col("is_new") == F.lit(new)).select(
-        F.col("vec").alias(f"{tag}_ord"), *[F.col(c).alias(f"_{tag}_{c}") for c in ("end", "rest", "tails")]
+        F.col("vec").alias(f"_{tag}_vec"), *[F.col(c).alias(f"_{tag}_{c}") for c in ("end", "rest", "tails")]
     )
-    met = met.join(shape(True, "new"), "new_ord").join(shape(False, "existing"), "existing_ord")
+    met = met.join(shape(True, "new"), "_new_vec").join(shape(False, "existing"), "_existing_vec")
     after = F.when(
         F.col("_new_end") <= F.col("_existing_end"),
         F.col("_new_rest") * _length_from(F.col("_existing_tails"), F.col("_new_end.level")),
     ).otherwise(F.col("_existing_rest") * _length_from(F.col("_new_tails"), F.col("_existing_end.level")))
-    candidates = met.filter(F.col("_part") + after >= threshold - SLACK).select("new_ord", "existing_ord")
+    candidates = met.filter(F.col("_part") + after >= threshold - SLACK).select("_new_vec", "_existing_vec")
     entry = F.array_sort(F.collect_list(F.struct("slot", "weight")))
     whole = vectors.groupBy("is_new", "vec").agg(entry.alias("v"))
-    whole = groups.drop("signature").withColumn("vec", F.col("first_ord")).join(whole, ["is_new", "vec"])
+    whole = groups.drop("signature").join(whole, ["is_new", "vec"])
     pick = lambda new, tag: whole.filter(F.col("is_new") == F.lit(new)).select(
         *(["subject"] if new else []),
+        F.col("vec").alias(f"_{tag}_vec"),
         F.col("sig").alias(f"{tag}_sig"),
         F.col("n").alias(f"n_{tag}"),
         F.col("first_node").alias(f"{tag}_node"),
         F.col("first_ord").alias(f"{tag}_ord"),
         F.col("v").alias(f"_v{tag}"),
     )
-    pairs = candidates.join(pick(True, "new"), "new_ord").join(pick(False, "existing"), "existing_ord")
+    pairs = candidates.join(pick(True, "new"), "_new_vec").join(pick(False, "existing"), "_existing_vec")
     scored = pairs.withColumn("similarity", F.round(sparse_dot(F.col("_vnew"), F.col("_vexisting")), DIGITS))
-    return scored.filter(F.col("similarity") >= threshold).drop("_vnew", "_vexisting")
+    return scored.filter(F.col("similarity") >= threshold).drop("_vnew", "_vexisting", "_new_vec", "_existing_vec")
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
@@ -145,8 +146,9 @@ def sparse_dot(a: Column, b: Column) -> Column:
 
 def leaf_pairs(leaves: DataFrame, threshold: float = K.GREY_SIMILARITY, embedder: Embedder | None = None) -> DataFrame:
     """Similar signature pairs of a leaf table with the default or a given embedder."""
-    groups = cut_lineage(signature_groups(with_signature(leaves)))
-    texts = groups.select("subject", "is_new", F.col("first_ord").alias("vec"), F.col("signature").alias("text"))
+    # The numbers are fixed by the checkpoint.
+    groups = cut_lineage(signature_groups(with_signature(leaves)).withColumn("vec", F.monotonically_increasing_id()))
+    texts = groups.select("subject", "is_new", "vec", F.col("signature").alias("text"))
     vectors = (embedder or hash_embedder())(texts)
     return similar_signatures(groups, vectors, threshold)
 
