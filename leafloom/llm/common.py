@@ -52,14 +52,17 @@ def one_row_per_id(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.join(repeated, "doc_id", "left_anti").unionByName(merged.select("doc_id", *[F.col("row")[c].alias(c) for c in columns]))
 
 
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+
 def in_batches(df: DataFrame, schema: str | T.StructType, step: Callable[[pa.RecordBatch], dict | None], start: Callable | None = None) -> DataFrame:
     """mapInArrow with a function from a batch to columns (lists or arrays by name)."""
-    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
         for batch in batches:
             out = step(batch)
             if out is not None:
@@ -114,7 +117,7 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    acc, have, rest, size, done = None, 0, h, 1, width
+    acc, have, size, done = None, 0, 1, width
     power = h  # hashes of runs of `size` words
     while True:
         if done & size:
@@ -126,5 +129,4 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
             break
         half = size // 2
         power = mix(power[:-half] * np.uint64(0x9E3779B97F4A7C15) + power[half:]) if len(power) > half else power[:0]
-    del rest
     return mix(acc + np.uint64(width))
