@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import jaccard, packing, pieces, substring, suffix
+from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix
 from leafloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring, op4_suffix, op5_jaccard, op6_pieces, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op4_suffix, op5_jaccard, op6_pieces, op10_packing)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_quality": quality.LINES_SQL}
