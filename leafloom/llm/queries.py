@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix
+from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix, toxicity
 from leafloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.passages(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op4_suffix, op5_jaccard, op6_pieces, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op10_packing)}
 
 SQL: dict[str, str] = {"op1_quality": quality.LINES_SQL}
