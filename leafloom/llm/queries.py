@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix, toxicity
+from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix, toxicity, vectors
 from leafloom.llm.common import table
 
 
@@ -40,10 +40,14 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op7_vectors, op10_packing)}
 
 SQL: dict[str, str] = {"op1_quality": quality.LINES_SQL}
