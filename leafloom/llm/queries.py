@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import jaccard, packing, pieces, quality, substring, suffix, toxicity, vectors
+from leafloom.llm import editcount, jaccard, licenses, packing, pieces, quality, substring, suffix, toxicity, vectors
 from leafloom.llm.common import table
 
 
@@ -44,10 +44,19 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_editcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after personal data is masked and repeated lines are deleted."""
+    return editcount.recount(editcount.cleaning_edits(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op7_vectors, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op7_vectors, op8_licenses, op9_editcount, op10_packing)}
 
 SQL: dict[str, str] = {"op1_quality": quality.LINES_SQL}
