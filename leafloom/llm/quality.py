@@ -104,7 +104,8 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     columns = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # no clash with the columns made here
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()], F.xxhash64("doc_id", "source", "text").alias("row_key"))
     verdict = assess(docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("key")), **limits)
-    good = verdict.where("kept").select(F.col("key").alias("row_key")).distinct()
+    # The aggregate stands between the verdict and its filter, which else would be pushed down into the counts, expression by expression.
+    good = verdict.groupBy(F.col("key").alias("row_key")).agg(F.max("kept").alias("kept")).where("kept")
     return rows.join(good, "row_key", "left_semi").select(*[F.col(n).alias(c) for c, n in columns.items()])
 
 
@@ -113,9 +114,11 @@ WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS
 lines AS (
   SELECT doc_id, host, u.i AS pos, u.line FROM docs, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u
 ),
-worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ 	-]')),
+worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ 	-
+]')),
 plain AS (
-  SELECT doc_id, host, pos, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[ 	-]+', ' ', 'g')) AS line FROM worded
+  SELECT doc_id, host, pos, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[ 	-
+]+', ' ', 'g')) AS line FROM worded
 ),
 hashed AS (SELECT doc_id, host, pos, md5(line)[1:16] AS line, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM plain),
 ranked AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM (SELECT DISTINCT doc_id, line FROM hashed)),
@@ -130,7 +133,8 @@ removed AS (SELECT doc_id, sum(words) AS removed FROM keyed SEMI JOIN frequent U
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
 words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS w FROM docs)
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM docs)
 ),
 triples AS (
   SELECT doc_id, i, n, word AS a, lead(word, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM words
@@ -138,8 +142,10 @@ triples AS (
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM triples WHERE i <= n - 2) WHERE k > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY doc_id),
 base AS (
-  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words,
-    length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n_words,
+    length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed
   FROM docs LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)
