@@ -102,7 +102,7 @@ CLEARED_PLACEHOLDER = "[earlier TOOL_RESULT cleared to save context — re-searc
 SUMMARY_PATTERN = r"(?is)<summary>(.*?)</summary>"
 INLINE_TOOL_PATTERN = r"(?s)<\|tool_call\|>(.*?)<\|?/?tool_call\|?>"
 FENCE_PATTERN = r"(?s)^```(?:json)?\s*(.*?)\s*```\s*$"
-NO_DRAFT_CHAPTERS = "(no draft chapters — Gemma must discover structure from paragraphs)"
+NO_DRAFT_CHAPTERS = "(no draft chapters — the model must discover structure from paragraphs)"
 NO_BOOKMARKS = (
     "(no PDF bookmarks found — draft is a single chapter containing "
     "all paragraphs; please propose a real chapter structure)"

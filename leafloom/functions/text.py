@@ -162,10 +162,10 @@ def scope_label(scope: Column, subject: Column, node_id: Column, subject_name: C
 
 
 def rewrite_node_id(node_id: Column, old_subject: Column, book: Column, new_subject: Column) -> Column:
-    """Moves a ``subject/book/...`` path under the new subject; other paths are kept."""
+    """Moves a ``subject/book/...`` path under the new subject; other paths are kept. Only whole segments match."""
     prefix = F.concat(old_subject, F.lit("/"), book)
     return F.when(
-        node_id.startswith(prefix), F.concat(new_subject, F.substr(node_id, F.length(prefix) + 1))
+        (node_id == prefix) | node_id.startswith(F.concat(prefix, F.lit("/"))), F.concat(new_subject, F.substr(node_id, F.length(prefix) + 1))
     ).otherwise(node_id)
 
 

@@ -72,7 +72,7 @@ def pick_winners(duplicates: DataFrame, best: DataFrame) -> DataFrame:
     ).select("subject", "new_sig", "existing_sig", "similarity", F.col("_w.node_id").alias("winner"), F.col("_l.node_id").alias("loser"), F.col("_w").alias("winner_order"))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for undirected edges ``(a, b)``: the least id reachable.
 
     Each round every vertex takes the least label around it and then the label of that label, so long
@@ -81,7 +81,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so there is a fixed point
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
         step = labels.join(around, "id").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("_new"))
         jump = step.select(F.col("id").alias("_new"), F.col("_new").alias("_far"))
@@ -89,7 +89,6 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if after.filter(F.col("label") != F.col("_old")).isEmpty():
             return after.select("id", F.col("label").alias("component"))
         labels = after.drop("_old")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def vertex(is_new: Column, subject: Column, sig: Column) -> Column:
@@ -113,15 +112,17 @@ def clusters(duplicates: DataFrame, signed: DataFrame) -> DataFrame:
     return members.join(best, "component").select("node_id", F.col("component").alias("cluster"), F.col("_w.node_id").alias("winner"))
 
 
-def heads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Follows ``(node_id, next)`` links to their ends by doubling."""
+def heads(links: DataFrame) -> DataFrame:
+    """Follows ``(node_id, next)`` links to their ends by doubling. A chain can't be longer than there are links, else it is a cycle."""
     current = cut_lineage(links)
-    for _ in range(max_rounds):
+    total, reach = current.count(), 1
+    while reach <= 2 * total + 1:
         step = current.select(F.col("node_id").alias("next"), F.col("next").alias("_far"))
         after = cut_lineage(current.join(step, "next", "left").select("node_id", F.coalesce("_far", "next").alias("next"), F.col("_far").isNotNull().alias("_moved")))
         if after.filter("_moved").isEmpty():
             return after.drop("_moved")
         current = after.drop("_moved")
+        reach *= 2
     raise RuntimeError("links form a cycle")
 
 

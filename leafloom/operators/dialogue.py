@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import ordered
+from leafloom.session import cut_lineage
 
 CONV = "conv_id"
 
@@ -62,7 +63,7 @@ def compaction_plan(messages: DataFrame, keep_turns: int = K.KEEP_USER_TURNS) ->
     """
     rows = _with_totals(messages, _n=F.count(F.lit(1)), _first=F.min("turn"))
     rows = rows.withColumn("_head", (F.col("turn") == F.col("_first")) & (F.col("role") == "system"))
-    rows = _later(rows, F.col("role") == "user", "_users")
+    rows = cut_lineage(_later(cut_lineage(rows), F.col("role") == "user", "_users"))
     part = F.when(F.col("_head"), "head").when(F.col("_users") < keep_turns, "tail").otherwise("middle")
     rows = _with_totals(rows.withColumn("part", part), _middle=F.count_if(F.col("part") == "middle"))
     compacts = (F.col("_n") > 1 + 2 * keep_turns) & (F.col("_middle") > 0)
@@ -74,13 +75,13 @@ def apply_compaction(planned: DataFrame, summaries: DataFrame) -> DataFrame:
     summary, stay as they are."""
     summary = F.coalesce(T.summary_block(F.col("summary")), T.strip(F.col("summary")))
     text = F.concat(F.lit("<conversation_so_far>\n"), summary, F.lit("\n</conversation_so_far>"))
-    rows = planned.join(summaries.select(CONV, "summary"), CONV, "left")
+    rows = cut_lineage(planned.join(summaries.select(CONV, "summary"), CONV, "left"))
     active = F.col("compacts") & F.col("summary").isNotNull()
     kept = rows.filter(~active | (F.col("part") != "middle")).select(CONV, "turn", "role", "text")
     # The summary takes the place of the first middle message.
     starts = rows.filter(active & (F.col("part") == "middle")).groupBy(CONV).agg(F.min("turn").alias("turn"), F.first("summary").alias("summary"))
     made = starts.select(CONV, "turn", F.lit("system").alias("role"), text.alias("text"))
-    whole = ordered.ordinal(kept.unionByName(made), [CONV], "turn", "_place")
+    whole = ordered.ordinal(cut_lineage(kept.unionByName(made)), [CONV], "turn", "_place")
     return whole.withColumn("turn", F.col("_place").cast("int")).drop("_place")
 
 
@@ -93,9 +94,10 @@ def manage_context(
     is_result: Column | None = None,
 ) -> DataFrame:
     """Clears old tool results from the first threshold on; compacts what is still over the second."""
-    sized = _with_totals(messages, _size=_tokens())
+    # Totals and running counts read their input twice, so it is written before each of them.
+    sized = cut_lineage(_with_totals(cut_lineage(messages), _size=_tokens()))
     cleared = clear_old_tool_results(sized, keep_results, is_result, when=F.col("_size") >= clear_tokens)
-    planned = _with_totals(compaction_plan(cleared.drop("_size", "cleared")), _size=_tokens())
+    planned = _with_totals(cut_lineage(compaction_plan(cut_lineage(cleared.drop("_size", "cleared")))), _size=_tokens())
     planned = planned.withColumn("compacts", F.col("compacts") & (F.col("_size") >= compact_tokens))
     return apply_compaction(planned.drop("_size"), summaries)
 

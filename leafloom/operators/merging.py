@@ -54,7 +54,7 @@ def choose_chapter(leaves: DataFrame, by_slug: DataFrame, external: DataFrame |
     return rows.select("subject", "node_id", F.coalesce("_ext", "_slug").alias("chapter_id"))
 
 
-def open_chapters(leaves: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def open_chapters(leaves: DataFrame) -> DataFrame:
     """``(subject, node_id, opener)``: the leaf whose new chapter each unmatched leaf goes to.
 
     In leaf order, a leaf opens a chapter when no chapter opened before it shares a word with its title,
@@ -64,9 +64,7 @@ def open_chapters(leaves: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """
     words = cut_lineage(title_tokens(leaves, ["subject", "ord", "node_id"], slugs.slugify(F.col("title"))))
     unsettled, claims = words, None
-    for _ in range(max_rounds):
-        if unsettled.isEmpty():
-            break
+    while not unsettled.isEmpty():  # every round settles at least the first leaf of each subject
         first = unsettled.groupBy("subject", "token").agg(F.min("ord").alias("_first"))
         mine = unsettled.join(first, ["subject", "token"]).groupBy("subject", "ord", "node_id").agg(F.bool_and(F.col("_first") == F.col("ord")).alias("_opens"))
         openers = mine.filter("_opens").select("subject", "ord", "node_id")
@@ -74,8 +72,6 @@ def open_chapters(leaves: DataFrame, max_rounds: int = 1000) -> DataFrame:
         touched = unsettled.join(claimed.select("subject", "token"), ["subject", "token"], "left_semi").select("subject", "node_id").distinct()
         unsettled = cut_lineage(unsettled.join(touched, ["subject", "node_id"], "left_anti"))
         claims = claimed if claims is None else cut_lineage(claims.unionByName(claimed))
-    else:
-        raise RuntimeError("chapters did not settle")
     if claims is None:
         return leaves.select("subject", "node_id", F.col("node_id").alias("opener")).limit(0)
     hits = words.join(claims, ["subject", "token"]).filter(F.col("opener_ord") <= F.col("ord"))

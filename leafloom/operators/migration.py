@@ -11,6 +11,8 @@ from leafloom.operators.cleaning import paragraph_array
 
 OUT = ["node_id", "parent", "depth", "order", "subject", "name", "description", "body", "content_hash", "sources", "superseded_by", "ingestion_version"]
 
+KEPT = ["subject_scope", "exam_coverage", "related_skills"]
+
 
 def subject_display_name(slug: Column) -> Column:
     return T.title_case(slug)
@@ -30,8 +32,12 @@ def migrate(
 
     ``nodes`` has ``node_id, parent, depth, order, name, description, body, source_pages, content_hash,
     ingested_at, is_leaf``. The root gets a name without a publisher; leaves get a source heading and a
-    ``sources`` list that keeps the old hash. Rows that are v3 already pass unchanged.
+    ``sources`` list that keeps the old hash. Rows that are v3 already pass unchanged, so a second run changes nothing.
+    Metadata of roots and leaves (``KEPT``) is carried along where the input has it.
     """
+    for column, kind in (("source_pages", "array<int>"), ("ingested_at", "string"), ("is_leaf", "boolean"), ("ingestion_version", "string")):
+        if column not in nodes.columns:
+            nodes = nodes.withColumn(column, F.lit(None).cast(kind))
     is_root = F.col("depth") == 0
     path = T.rewrite_node_id(F.col("node_id"), old_subject, book, new_subject)
     up = F.when(is_root, F.lit(None).cast("string")).otherwise(
@@ -52,7 +58,8 @@ def migrate(
     )
     name = F.when(is_root, F.coalesce(subject_name, subject_display_name(new_subject)) if subject_name is not None else subject_display_name(new_subject)).otherwise(F.col("name"))
     body = F.when(F.col("is_leaf"), wrapped).otherwise(F.col("body"))
-    return nodes.select(
+    kept = [c for c in KEPT if c in nodes.columns]
+    migrated = nodes.select(
         F.when(is_root, new_subject).otherwise(path).alias("node_id"),
         up.alias("parent"),
         "depth",
@@ -65,7 +72,12 @@ def migrate(
         F.when(F.col("is_leaf") | is_root, F.array(source)).alias("sources"),
         F.lit(None).cast("string").alias("superseded_by"),
         F.lit(K.SCHEMA_VERSION).alias("ingestion_version"),
+        *kept,
+        *[(F.col(c) if c in nodes.columns else F.lit(None)).alias(f"_old_{c}") for c in OUT],
     )
+    done = F.coalesce(F.col("_old_ingestion_version") == K.SCHEMA_VERSION, F.lit(False))
+    same = [F.when(done, F.col(f"_old_{c}").cast(migrated.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in OUT]
+    return migrated.select(*same, *kept)
 
 
 def migration_counts(migrated: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ counts as one vertex however large it is.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -160,7 +162,7 @@ def dense_pairs(rows: DataFrame, block: str, key: str, vector: str, threshold: f
     of that width by their angle to the block's mean, and each new vector looks into three bins only; two
     more pivots filter what meets there. How much this saves depends on how spread the block is.
     """
-    reach = float(__import__("math").acos(threshold)) + SLACK
+    reach = math.acos(threshold) + SLACK
     unit = T.let(V.norm(F.col(vector)), lambda n: F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
     units = rows.withColumn("_u", unit)
     parts = units.select(block, F.posexplode("_u").alias("_i", "_x"))

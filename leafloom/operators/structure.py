@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import ordered
+from leafloom.session import cut_lineage
 from leafloom.sources.tables import valid_bookmarks
 
 TREE = "doc_id"
@@ -70,10 +71,10 @@ def draft_chapter_lines(documents: DataFrame, chapters: DataFrame) -> DataFrame:
 def _unique_order(chapters: DataFrame) -> DataFrame:
     """An integer order that is unique per document: chapters that start on one page follow by title.
 
-    The few chapters of one page are ranked inside the page.
+    The chapters of one page are ranked inside the page; the page takes the upper half of the number, so no two orders meet.
     """
     w = Window.partitionBy(TREE, "first_page").orderBy("title")
-    return chapters.withColumn("_order", F.col("first_page").cast("bigint") * 10_000 + F.row_number().over(w))
+    return chapters.withColumn("_order", F.shiftleft(F.col("first_page").cast("bigint"), 32) + F.row_number().over(w))
 
 
 # --- leaves and references ------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def tree_violations(nodes: DataFrame) -> DataFrame:
     start, end = F.col("paragraph_start"), F.col("paragraph_end")
     null = tips.filter(start.isNull() | end.isNull()).select(TREE, "node_key", F.lit("null_range").alias("rule"))
     inverted = tips.filter(end < start).select(TREE, "node_key", F.lit("inverted_range").alias("rule"))
-    ranged = tips.filter(start.isNotNull() & end.isNotNull()).select(TREE, "node_key", "ord", "paragraph_start", "paragraph_end")
+    ranged = cut_lineage(tips.filter(start.isNotNull() & end.isNotNull()).select(TREE, "node_key", "ord", "paragraph_start", "paragraph_end"))
     near = ordered.neighbour(ranged, [TREE], "paragraph_start", {"previous_end": end}, step=-1, tie=["ord", "node_key"])
     overlap = near.filter(start <= F.col("previous_end")).select(TREE, "node_key", F.lit("overlap").alias("rule"))
     return null.unionByName(inverted).unionByName(overlap)
@@ -151,9 +152,9 @@ def tree_violations(nodes: DataFrame) -> DataFrame:
 def range_gaps(nodes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Paragraph ranges between consecutive leaves, before the first and after the last."""
     start, end = F.col("paragraph_start"), F.col("paragraph_end")
-    ranged = leaves(nodes).filter(good_range()).select(TREE, "node_key", "ord", "paragraph_start", "paragraph_end")
+    ranged = cut_lineage(leaves(nodes).filter(good_range()).select(TREE, "node_key", "ord", "paragraph_start", "paragraph_end"))
     tie = ["ord", "node_key"]
-    near = ordered.neighbour(ranged, [TREE], "paragraph_start", {"before": end}, step=-1, tie=tie)
+    near = cut_lineage(ordered.neighbour(ranged, [TREE], "paragraph_start", {"before": end}, step=-1, tie=tie))
     near = ordered.neighbour(near, [TREE], "paragraph_start", {"after": start}, step=1, tie=tie)
     last = paragraphs.groupBy(TREE).agg(F.max("paragraph_id").alias("last_id"))
     rows = near.join(last, TREE)

@@ -12,37 +12,33 @@ from leafloom.functions import text as T
 from leafloom.operators import ordered
 from leafloom.session import cut_lineage
 
-MAX_DEPTH = 4
 
+def climb(nodes: DataFrame, node: str, parent: str, fields: dict[str, Column], keys: list[str] = ()) -> DataFrame:
+    """Adds ``path``: the fields of every ancestor and of the node itself, root first, at any depth.
 
-def climb(
-    nodes: DataFrame, node: str, parent: str, fields: dict[str, Column], keys: list[str] = (), max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Adds ``path``: the fields of every ancestor and of the node itself, root first.
-
-    One join per level on the parent link. A node deeper than ``max_depth`` fails the job.
+    By doubling: each round joins a node's known path with that of the next ancestor above it. A parent that is no node ends a path;
+    a cycle fails the job.
     """
-    info = nodes.select(*keys, F.col(node).alias("_id"), F.col(parent).alias("_up"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_f"))
-    out = nodes.withColumn("path", F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))).withColumn("_next", F.col(parent))
-    for _ in range(max_depth):
+    state = cut_lineage(nodes.withColumn("path", F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))).withColumn("_next", F.col(parent)))
+    total, reach = state.count(), 1
+    while not state.filter(F.col("_next").isNotNull()).isEmpty():
+        if reach > total:
+            raise ValueError("parent links form a cycle")
         # Rows that reached the root get a key of their own that matches nothing; null keys would all
         # meet in one partition.
-        out = out.withColumn("_key", F.coalesce("_next", F.concat(F.lit("\u0001"), F.col(node))))
-        above = info.select(*keys, F.col("_id").alias("_key"), "_up", F.col("_f").alias("_g"))
-        out = (
-            out.join(above, [*keys, "_key"], "left")
-            .withColumn("path", F.when(F.col("_g").isNull(), F.col("path")).otherwise(F.concat(F.array("_g"), "path")))
-            .withColumn("_next", F.col("_up"))
-            .drop("_up", "_g", "_key")
-        )
-    too_deep = F.raise_error(F.lit(f"tree deeper than {max_depth}")).cast("string")
-    return out.withColumn("_next", F.when(F.col("_next").isNotNull(), too_deep)).filter(F.col("_next").isNull()).drop("_next")
-
-
-def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+        keyed = state.withColumn("_key", F.coalesce("_next", F.concat(F.lit("\u0001"), F.col(node))))
+        above = state.select(*keys, F.col(node).alias("_key"), F.col("_next").alias("_up"), F.col("path").alias("_g"))
+        joined = keyed.join(above, [*keys, "_key"], "left")
+        path = F.when(F.col("_g").isNull(), F.col("path")).otherwise(F.concat("_g", "path"))
+        state = cut_lineage(joined.withColumn("path", path).withColumn("_next", F.col("_up")).drop("_up", "_g", "_key"))
+        reach *= 2
+    return state.drop("_next")
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """Depth, id path, title path and an order key for ``(id, parent, ord, title)``."""
     fields = {"id": F.col("id"), "title": F.col("title"), "ord": F.lpad(F.col("ord").cast("string"), 12, "0")}
-    rows = climb(nodes, "id", "parent", fields, max_depth=max_depth)
+    rows = climb(nodes, "id", "parent", fields)
     join = lambda f, sep: F.array_join(F.transform("path", lambda p: p[f]), sep)
     return rows.select(
         *nodes.columns,
@@ -54,9 +50,9 @@ def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """``(id, ancestor, distance)`` rows."""
-    rows = tree_paths(nodes, max_depth)
+    rows = tree_paths(nodes)
     up = F.slice("path", 1, F.col("depth"))
     return rows.select("id", "depth", F.posexplode(up).alias("_pos", "_a")).select(
         "id", F.col("_a.id").alias("ancestor"), (F.col("depth") - F.col("_pos")).alias("distance")
@@ -84,24 +80,24 @@ def tips(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, "id", "left_anti")
 
 
-def leaf_breadcrumbs(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def leaf_breadcrumbs(nodes: DataFrame) -> DataFrame:
     """Leaves with their titles from the chapter down; the root is left out."""
-    rows = tree_paths(nodes, max_depth).join(tips(nodes).select("id"), "id", "left_semi")
+    rows = tree_paths(nodes).join(tips(nodes).select("id"), "id", "left_semi")
     below = F.slice("path", 2, F.greatest(F.col("depth"), F.lit(1)))
     return rows.filter(F.col("depth") > 0).select(
         "id", "title", F.array_join(F.transform(below, lambda p: p["title"]), " › ").alias("breadcrumb")
     )
 
 
-def flatten_to_chapters(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_to_chapters(nodes: DataFrame) -> DataFrame:
     """Every leaf below a chapter becomes its direct leaf; ``path_key`` keeps document order."""
-    rows = tree_paths(nodes, max_depth).join(tips(nodes).select("id"), "id", "left_semi")
+    rows = tree_paths(nodes).join(tips(nodes).select("id"), "id", "left_semi")
     return rows.filter(F.col("depth") > 1).select("id", F.col("path")[1]["id"].alias("chapter"), "path_key")
 
 
 def sibling_nav(nodes: DataFrame) -> DataFrame:
     """Previous and next sibling."""
-    rows = nodes.withColumn("_p", F.coalesce("parent", F.lit("")))
+    rows = cut_lineage(nodes.select("id", "parent", "ord", F.coalesce("parent", F.lit("")).alias("_p")))
     rows = ordered.neighbour(rows, ["_p"], "ord", {"previous": F.col("id")}, step=-1)
     rows = ordered.neighbour(rows, ["_p"], "ord", {"next": F.col("id")}, step=1)
     return rows.select("id", "parent", "previous", "next")
@@ -181,7 +177,7 @@ def unique_slugs(rows: DataFrame, group: list[str], order: str, base: str = "bas
     return plain.unionByName(mixed.select(*plain.columns))
 
 
-def emit_node_ids(nodes: DataFrame, tree: str, subject: Column, max_depth: int = MAX_DEPTH) -> DataFrame:
+def emit_node_ids(nodes: DataFrame, tree: str, subject: Column) -> DataFrame:
     """Order, unique slug, path and depth of every node; the root's path is the subject.
 
     Orders and slugs depend on siblings only, so all levels are done at once and the levels are joined
@@ -195,7 +191,7 @@ def emit_node_ids(nodes: DataFrame, tree: str, subject: Column, max_depth: int =
     root = nodes.filter(F.col("parent_key").isNull()).withColumns({"order": F.lit(0), "slug": F.lit("")})
     segment = F.when(F.col("parent_key").isNull(), subject).otherwise(slugs.path_segment(F.col("order"), F.col("slug")))
     rows = cut_lineage(slugged.unionByName(root).withColumn("segment", segment))
-    out = climb(rows, "node_key", "parent_key", {"segment": F.col("segment")}, [tree], max_depth)
+    out = climb(rows, "node_key", "parent_key", {"segment": F.col("segment")}, [tree])
     path = F.transform("path", lambda p: p["segment"])
     return (
         out.withColumn("node_id", F.array_join(path, "/"))

@@ -19,7 +19,6 @@ PARAGRAPHS_PER_PAGE = 5
 PARAGRAPHS_PER_LEAF = 4
 LEAVES_PER_CHAPTER = 3
 
-SUBJECTS = ["de", "en", "es", "fr"]
 PUBLISHERS = ["NCERT", "RBSE", "Springboard Academy", "Unlisted Press"]
 
 # One positive per generic pattern, then lines for the source bundle.
@@ -343,6 +342,12 @@ UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey, s_name FROM su
 
 
 # --- retrieval and questions ----------------------------------------------------------------------
+def languages(t: Tables) -> list[str]:
+    """The languages of the documents, one value each."""
+    rows = t("documents").select("lang").where(F.col("lang").isNotNull()).distinct().collect()
+    return sorted(r.lang for r in rows)
+
+
 def queries(t: Tables) -> DataFrame:
     """Every benchmark passage asked over all subjects, and once more inside each subject."""
     base = t("benchmark").select(F.col("item_id"), "text")
@@ -352,7 +357,7 @@ def queries(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("subject"),
         "text",
     )
-    one = base.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s in SUBJECTS])).alias("subject")).select(
+    one = base.select("item_id", "text", F.explode(F.array(*[F.lit(s) for s in languages(t)])).alias("subject")).select(
         F.concat(F.col("subject"), F.lit(":"), F.col("item_id").cast("string")).alias("query_id"),
         F.lit("subject").alias("scope"),
         "subject",
@@ -366,7 +371,7 @@ block(
     """
 SELECT 'all:' || item_id AS query_id, 'all' AS scope, CAST(NULL AS VARCHAR) AS subject, text FROM benchmark
 UNION ALL
-SELECT lang || ':' || item_id, 'subject', lang, text FROM (SELECT *, unnest(['de', 'en', 'es', 'fr']) AS lang FROM benchmark)""",
+SELECT lang || ':' || item_id, 'subject', lang, text FROM (SELECT *, unnest((SELECT list(DISTINCT lang) FROM documents WHERE lang IS NOT NULL)) AS lang FROM benchmark)""",
 )
 
 
@@ -540,19 +545,19 @@ def agent_events(t: Tables) -> DataFrame:
         ),
     ).otherwise(F.array(event(F.lit(1), "tool-call", one, F.substring("text", 1, 40), zero)))
     end = F.when(
-        F.col("conv_id") % 9 != 8, F.array(event(F.lit(1000), "finish", blank, F.lit("stop"), zero))
+        F.col("conv_id") % 9 != 8, F.array(event(F.size(pieces) + 20, "finish", blank, F.lit("stop"), zero))
     ).otherwise(F.array().cast("array<struct<seq:int,type:string,id:string,payload:string,number:int>>"))
     start = F.array(event(F.lit(0), "start-step", blank, blank, zero))
     return said.select(
         turn_id.alias("turn_id"), "conv_id", "turn", F.inline(F.concat(start, calls, cites, pieces, end))
-    ).withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 10000 + F.col("turn") * 1100 + F.col("seq")))
+    ).withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 10000000 + F.col("turn") * 100000 + F.col("seq")))
 
 
 block(
     "fx_agent_event",
     """
 SELECT conv_id || '-' || turn AS turn_id, conv_id, turn, seq, type, id, payload, number,
-       make_timestamp((conv_id * 10000 + turn * 1100 + seq) * 1000000) AS ts
+       make_timestamp((conv_id * 10000000 + turn * 100000 + seq) * 1000000) AS ts
 FROM (
   SELECT conv_id, turn, CAST(0 AS INTEGER) AS seq, 'start-step' AS type, '' AS id, '' AS payload, CAST(0 AS INTEGER) AS number FROM fx_message WHERE role = 'assistant'
   UNION ALL SELECT conv_id, turn, 1, 'tool-call', 'tc1', substr(text, 1, 40), 0 FROM fx_message WHERE role = 'assistant'
@@ -561,7 +566,7 @@ FROM (
     FROM (SELECT conv_id, turn, unnest(range(1, conv_id % 4 + 1)) AS i FROM fx_message WHERE role = 'assistant')
   UNION ALL SELECT conv_id, turn, CAST(i + 20 AS INTEGER), 'text-delta', '', substr(text, i * 80 + 1, 80), 0
     FROM (SELECT conv_id, turn, text, unnest(range(0, (greatest(length(text), 1) - 1) // 80 + 1)) AS i FROM fx_message WHERE role = 'assistant')
-  UNION ALL SELECT conv_id, turn, 1000, 'finish', '', 'stop', 0 FROM fx_message WHERE role = 'assistant' AND conv_id % 9 <> 8
+  UNION ALL SELECT conv_id, turn, CAST((greatest(length(text), 1) - 1) // 80 + 21 AS INTEGER), 'finish', '', 'stop', 0 FROM fx_message WHERE role = 'assistant' AND conv_id % 9 <> 8
 )""",
     "fx_message",
 )

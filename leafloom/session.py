@@ -50,13 +50,12 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
-        return self._spread(df, df) if name == "documents" else df
+        return self._spread(df) if name == "documents" else df
 
-    def _spread(self, df: DataFrame, table: DataFrame) -> DataFrame:
-        """Text work is heavy, and one small file is one task: with fewer files than cores the rows are
-        dealt out. A table of many files is read as it is, without a shuffle."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(table.inputFiles()) < cores else df
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Text work is heavy, and one small file is one task: a scan with a single partition, which is one split of a file at most, is
+        dealt out. Any larger table is read as it is, without a shuffle."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.functions.model_json import extract_json_object
+from leafloom.session import cut_lineage
 
 
 def load_text_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -161,28 +162,34 @@ def event_frames(lines: DataFrame, schema: str, value: str = "value") -> DataFra
     return parsed.filter(F.col("_event._bad").isNull()).select(*kept, "_event.*").drop("_bad")
 
 
-def _node_type(depth: int) -> str:
-    fields = "title: string, description: string, paragraph_start: int, paragraph_end: int"
-    return f"struct<{fields}>" if depth == 0 else f"struct<{fields}, children: array<{_node_type(depth - 1)}>>"
+_NODE = "title string, description string, paragraph_start int, paragraph_end int, children array<string>"
 
 
-def read_proposed_trees(replies: DataFrame, key: str = "doc_id", reply: str = "reply", depth: int = 4) -> DataFrame:
-    """Trees in model replies, bare, fenced or in prose, as node rows. Unreadable replies give no rows.
+def read_proposed_trees(replies: DataFrame, key: str = "doc_id", reply: str = "reply") -> DataFrame:
+    """Trees in model replies, bare, fenced or in prose, as node rows of any depth. An unreadable reply gives one row with ``error``.
 
-    Spark has no recursive type, so the schema is nested to a fixed depth and opened level by level.
+    Children are read as JSON text and opened level by level until a level has none.
     """
-    tree = F.from_json(extract_json_object(F.col(reply))["json"], f"root {_node_type(depth)}")
-    # The reply is parsed once per row and all levels are opened in one pass each from the parsed value.
-    level = replies.select(key, tree["root"].alias("n")).filter(F.col("n").isNotNull() & F.col("n.title").isNotNull())
-    level = level.select(key, F.lit("r").alias("node_key"), F.lit(None).cast("string").alias("parent_key"), F.lit(0).alias("ord"), "n")
+    parsed = cut_lineage(replies.select(key, extract_json_object(F.col(reply)).alias("x")))
+    root = F.from_json(F.col("x.json"), "root string")["root"]
+    nodes = parsed.select(key, F.col("x.error").alias("error"), F.from_json(root, _NODE).alias("n"))
+    bad = F.when(F.col("error").isNull() & F.col("n.title").isNull(), "no tree").otherwise(F.col("error"))
+    level = nodes.select(key, F.lit("r").alias("node_key"), F.lit(None).cast("string").alias("parent_key"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), "n", bad.alias("error"))
     out = None
-    for d in range(depth + 1):
-        rows = level.select(
-            key, "node_key", "parent_key", "ord", F.lit(d).alias("depth"), "n.title", "n.description", "n.paragraph_start", "n.paragraph_end"
-        )
+    while True:
+        level = cut_lineage(level)
+        rows = level.select(key, "node_key", "parent_key", "ord", "depth", "n.title", "n.description", "n.paragraph_start", "n.paragraph_end", "error")
         out = rows if out is None else out.unionByName(rows)
-        if d < depth:
-            level = level.select(key, F.col("node_key").alias("parent_key"), F.posexplode("n.children").alias("ord", "n")).select(
-                key, F.concat("parent_key", F.lit("/"), F.col("ord").cast("string")).alias("node_key"), "parent_key", "ord", "n"
-            )
-    return out
+        below = level.filter(F.col("error").isNull() & (F.size("n.children") > 0))
+        if below.isEmpty():
+            return out
+        opened = below.select(key, F.col("node_key").alias("parent_key"), "depth", F.posexplode("n.children").alias("ord", "c"))
+        level = opened.select(
+            key,
+            F.concat("parent_key", F.lit("/"), F.col("ord").cast("string")).alias("node_key"),
+            "parent_key",
+            "ord",
+            (F.col("depth") + 1).alias("depth"),
+            F.from_json("c", _NODE).alias("n"),
+            F.lit(None).cast("string").alias("error"),
+        ).filter(F.col("n").isNotNull())

@@ -96,11 +96,15 @@ def test_chapters_share_a_page_and_fall_back(spark):
     assert got == [(1, "A", 1, 1, 0, 0), (1, "B", 1, 3, 0, 2), (1, "C", 4, 8, 3, 5), (2, "", 1, 6, 0, 5)]
 
 
-def test_climb_rejects_a_tree_that_is_too_deep(spark):
-    rows = spark.createDataFrame([(str(i), str(i - 1) if i else None, 0, "t") for i in range(6)], "id string, parent string, ord int, title string")
-    with pytest.raises(Exception, match="deeper"):
-        trees.tree_paths(rows, 3).collect()
-    assert trees.tree_paths(rows, 5).agg(F.max("depth")).first()[0] == 5
+def test_climb_takes_any_depth_and_rejects_cycles(spark):
+    schema = "id string, parent string, ord int, title string"
+    rows = spark.createDataFrame([(str(i), str(i - 1) if i else None, 0, f"t{i}") for i in range(23)], schema)
+    got = {r.id: r.title_path for r in trees.tree_paths(rows).collect()}
+    assert got == {str(i): " › ".join(f"t{k}" for k in range(i + 1)) for i in range(23)}
+    assert trees.ancestors(rows).count() == 23 * 22 // 2
+    ring = spark.createDataFrame([("r", None, 0, "t"), ("a", "b", 0, "t"), ("b", "c", 0, "t"), ("c", "a", 0, "t")], schema)
+    with pytest.raises(ValueError, match="cycle"):
+        trees.tree_paths(ring)
 
 
 def test_node_ids(spark):
