@@ -4,7 +4,7 @@
    in the order of shingles, all others are ordered by hash. The order decides cost, never the result.
 2. By the prefix principle two documents link only if they share one of the first `n - ceil(0.8 n) + 1` of their n shingles. Prefixes are
    dealt out by shingle in packed shards; what only one document holds drops out there.
-3. Similar documents are partitioned into groups: each document is compared with the least document of each shingle it shares.
+3. Similar documents are partitioned into groups: each document is compared with two chosen documents of each shingle it shares.
 4. Token-group matrix: per shingle the groups whose union of prefixes holds it. Shared entries bound the overlap of any two members of two
    groups; only pairs of groups whose bound suffices are opened, their members paired, bounded again and verified on whole sets.
 5. Components over verified links.
@@ -133,9 +133,9 @@ def prefixes(docs: DataFrame, order, shards: int, words: int, percent: int) -> D
 
 
 def shared_entries(packed: DataFrame, order) -> DataFrame:
-    """Prefix entries whose shingle another document of the shard holds as well, or that are salted, each with the least document of the
-    shingle in the shard."""
-    schema = "token long, doc long, center long, salted boolean"
+    """Prefix entries whose shingle another document of the shard holds as well, or that are salted, each with two documents that hold the
+    shingle in the shard: the one with the least id, and the one with the least hash of its id."""
+    schema = "token long, doc long, center long, other long, salted boolean"
 
     def step(table: pa.Table) -> pa.Table:
         import zstandard
@@ -149,8 +149,10 @@ def shared_entries(packed: DataFrame, order) -> DataFrame:
         n = np.diff(np.append(cuts, len(tokens)))
         salted = np.repeat(order.value.keys(tokens[cuts])[1] > SALT_ROWS, n)
         keep = np.repeat(n > 1, n) | salted
-        columns = tokens[keep].view(np.int64), owners[keep], owners[np.repeat(cuts, n)[keep]], salted[keep]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "center", "salted"])
+        # Owners of a shingle are together in both orders, so the cuts hold for the second one too.
+        other = owners[np.lexsort((mix(owners.view(np.uint64)), tokens))]
+        columns = tokens[keep].view(np.int64), owners[keep], owners[np.repeat(cuts, n)[keep]], other[np.repeat(cuts, n)[keep]], salted[keep]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "center", "other", "salted"])
 
     return packed.groupBy("shard").applyInArrow(step, schema)
 
@@ -227,10 +229,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     twins = info.join(equal, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     twins = twins.union(rows.select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))).where("a != b")
 
-    # Groups of similar documents: links with the least document of a shared shingle. Where that one is salted, the least of
+    # Groups of similar documents: links with two chosen documents of a shared shingle. Where it is salted, the least document of
     # each salt meets the least of all.
     count_shared = lambda df: df.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    stars = count_shared(entries.where("doc != center").select(F.col("doc").alias("a"), F.col("center").alias("b")))
+    chosen = entries.select(F.col("doc").alias("a"), F.explode(F.array_distinct(F.array("center", "other"))).alias("b")).where("a != b")
+    stars = count_shared(chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     heads = entries.where("salted").select("token", "center").distinct()
     tops = heads.groupBy("token").agg(F.min("center").alias("top"))
     second = heads.join(tops, "token").where("center != top").select(F.col("center").alias("a"), F.col("top").alias("b")).distinct()
@@ -248,13 +251,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     matrix = written(member.select("token", "group").distinct().join(sizes, "group"), "matrix")
     g, h = matrix.alias("g"), matrix.alias("h")
     fits = (F.col("g.group") < F.col("h.group")) & (100 * F.col("g.most") >= percent * F.col("h.least")) & (100 * F.col("h.most") >= percent * F.col("g.least"))
-    met = g.join(h, (F.col("g.token") == F.col("h.token")) & fits).select(F.col("g.group").alias("g"), F.col("h.group").alias("h"), F.col("g.least").alias("g_least"), F.col("h.least").alias("h_least"), F.greatest("g.most", "h.most").alias("most"))
-    met = met.groupBy("g", "h", "g_least", "h_least", "most").agg(F.count("*").alias("shared"))
+    met = g.join(h, (F.col("g.token") == F.col("h.token")) & fits)
+    met = met.select(F.col("g.token").alias("token"), F.col("g.group").alias("g"), F.col("h.group").alias("h"), F.col("g.least").alias("g_least"), F.col("h.least").alias("h_least"), F.greatest("g.most", "h.most").alias("most"))
+    met = written(met, "met")
     enough = overlap(F.col("g_least"), F.col("h_least"), percent) - share(F.col("most"), percent) + 1
-    opened = written(met.where(F.col("shared") >= enough).select("g", "h"), "opened")
-    x, y = member.alias("x"), member.alias("y")
-    met = x.join(opened, F.col("x.group") == F.col("g")).join(y, (F.col("y.group") == F.col("h")) & (F.col("y.token") == F.col("x.token")))
-    met = count_shared(met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")))
+    qualifying = met.groupBy("g", "h", "g_least", "h_least", "most").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("g", "h")
+    # Opened at the shingles that both share.
+    opened = written(met.select("token", "g", "h").join(qualifying, ["g", "h"], "left_semi"), "opened")
+    left = opened.join(member.select("token", F.col("group").alias("g"), F.col("doc").alias("a")), ["token", "g"])
+    both = left.join(member.select("token", F.col("group").alias("h"), F.col("doc").alias("b")), ["token", "h"])
+    met = count_shared(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     rest = verified(written(possible(met, info, percent), "pairs"), docs, words, percent)
 
     final = components(first.union(twins).union(rest)).withColumnRenamed("id", "doc_id")
