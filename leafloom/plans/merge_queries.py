@@ -412,25 +412,57 @@ LEFT JOIN slug_match m ON m.subject = s.subject AND m.node_id = s.node_id WHERE
 )
 
 
-@query(
-    "merge_actions",
-    "SELECT subject, node_id, action, target FROM first_action",
-    ("first_action",),
+block(
+    "unplaced",
+    f"""
+SELECT a.subject, a.node_id, a.ord, list_distinct(string_split({slug_sql('l.title')}, '-')) AS tokens, row_number() OVER (PARTITION BY a.subject ORDER BY a.ord) AS k
+FROM first_action a JOIN fx_leaf l USING (node_id) WHERE a.action = 'unplaced'""",
+    "first_action",
+    "fx_leaf",
 )
+
+# Leaf by leaf: what was opened so far is carried along; the number of shared words decides, then the chapter opened first.
+block(
+    "greedy",
+    """
+WITH RECURSIVE walk AS (
+  SELECT subject, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS node_id, CAST(NULL AS VARCHAR) AS opener, CAST([] AS STRUCT(node VARCHAR, words VARCHAR[])[]) AS opened
+  FROM (SELECT DISTINCT subject FROM unplaced)
+  UNION ALL
+  SELECT subject, k, node_id, CASE WHEN best.n > 0 THEN opened[-best.i].node ELSE node_id END,
+         CASE WHEN best.n > 0 THEN opened ELSE list_append(opened, {'node': node_id, 'words': tokens}) END
+  FROM (
+    SELECT u.subject, u.k, u.node_id, u.tokens, w.opened,
+           list_max(list_transform(range(1, len(w.opened) + 1), lambda i: {'n': len(list_intersect(w.opened[i].words, u.tokens)), 'i': -i})) AS best
+    FROM walk w JOIN unplaced u ON u.subject = w.subject AND u.k = w.k + 1)
+)
+SELECT subject, node_id, opener FROM walk WHERE k > 0""",
+    "unplaced",
+)
+
+block(
+    "action",
+    """
+SELECT a.subject, a.ord, a.node_id, CASE WHEN g.opener = a.node_id THEN 'added_chapter' WHEN g.opener IS NOT NULL THEN 'added_leaf' ELSE a.action END AS action,
+       coalesce(g.opener, a.target) AS target
+FROM first_action a LEFT JOIN greedy g USING (subject, node_id)""",
+    "first_action",
+    "greedy",
+)
+
+
+@query("merge_actions", "SELECT subject, node_id, action, target FROM action", ("action",))
 def _(t):
-    rows = actions(t)
-    known = chapters(t).select(F.col("chapter_id").alias("target"), F.lit(True).alias("_known"))
-    rows = rows.join(known, "target", "left")
-    late = (F.col("action") != "appended") & F.col("_known").isNull()
-    return rows.select(
-        "subject",
-        "node_id",
-        F.when(late, "unplaced").otherwise(F.col("action")).alias("action"),
-        F.when(late, F.lit(None)).otherwise(F.col("target")).alias("target"),
-    )
+    return actions(t).select("subject", "node_id", "action", "target")
 
 
-@query("merge_report")
+@query(
+    "merge_report",
+    """
+SELECT subject, count(*) FILTER (action = 'appended') AS appended, count(*) FILTER (action = 'added_leaf') AS added_leaf, count(*) FILTER (action = 'added_chapter') AS added_chapter
+FROM action GROUP BY subject""",
+    ("action",),
+)
 def _(t):
     return merging.report(actions(t))
 
@@ -546,11 +578,27 @@ def _(t):
     return S.leaf_pairs(fx.leaves(t), 0.99, words).select("subject", "new_sig", "existing_sig")
 
 
-@query("judge_plugin", "SELECT new_sig, existing_sig, verdict FROM (SELECT DISTINCT * FROM verdict)", ("verdict",))
+@query(
+    "judge_plugin",
+    "SELECT subject, new_sig, existing_sig, verdict, decision FROM decided WHERE bucket = 'grey'",
+    ("decided",),
+)
 def _(t):
-    return verdicts(pairs(t))
+    """The caller's judge sees the grey pairs, and its verdicts decide them."""
+    found = cut_lineage(pairs(t))
+    grey = found.filter(V.similarity_bucket(F.col("similarity")) == "grey")
+    return dedup.decide(grey, verdicts(grey)).select("subject", "new_sig", "existing_sig", "verdict", "decision")
 
 
-@query("classifier_plugin", "SELECT subject, node_id, chapter_id FROM external_choice", ("external_choice",))
+@query(
+    "classifier_plugin",
+    """
+SELECT subject, node_id, CASE WHEN a.action = 'appended' THEN a.action ELSE 'added_leaf' END AS action, CASE WHEN a.action = 'appended' THEN a.target ELSE e.chapter_id END AS target
+FROM first_action a JOIN external_choice e USING (subject, node_id)""",
+    ("first_action", "external_choice"),
+)
 def _(t):
-    return external(t)
+    """The caller's classifier overrides the slug match in the plan of a merge."""
+    choice = external(t)
+    plan = merging.plan(signed(t).filter("is_new"), decided(t), chapters(t), choice)
+    return plan.join(choice.select("subject", "node_id"), ["subject", "node_id"], "left_semi").select("subject", "node_id", "action", "target")

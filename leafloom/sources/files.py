@@ -105,7 +105,8 @@ def parse_skill_text(raw: DataFrame) -> DataFrame:
 def load_skill_folder(spark: SparkSession, root: str) -> DataFrame:
     """A folder of Markdown tree files, one file per node.
 
-    Paths give what the front matter may lack. Chapter folders must start with two digits and a hyphen.
+    Paths give what the front matter may lack. Chapter folders must start with two digits and a hyphen and have a SKILL file; others are
+    skipped with all that is in them.
     """
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(
         F.col("_metadata.file_path").alias("source_path"), "value"
@@ -117,7 +118,10 @@ def load_skill_folder(spark: SparkSession, root: str) -> DataFrame:
     path = F.when(is_node, F.regexp_replace(inside, r"/?SKILL$", "")).otherwise(inside)
     folders = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     rows = parse_skill_text(raw).filter(F.forall(folders, lambda f: f.rlike(r"^\d{2}-")))
-    return rows.withColumns({"path": path, "is_leaf": ~is_node}).withColumns(
+    rows = rows.withColumns({"path": path, "is_leaf": ~is_node, "_chapter": F.when(F.size(folders) > 0, F.array_join(F.slice(parts, 1, 2), "/"))})
+    known = rows.filter(~F.col("is_leaf")).select(F.col("path").alias("_chapter"), F.lit(True).alias("_known")).distinct()
+    rows = rows.join(known, "_chapter", "left").filter(F.col("_chapter").isNull() | F.col("_known")).drop("_chapter", "_known")
+    return rows.withColumns(
         {"subject": F.coalesce("subject", F.substring_index("path", "/", 1)), "node_id": F.coalesce("node_id", "path")}
     )
 

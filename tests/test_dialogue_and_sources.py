@@ -127,6 +127,8 @@ def test_skill_folder(spark, tmp_path):
         "---\nname: 'Peaks: high'\nnode_id: geo/01-hills/01-peaks\ndepth: 2\nsources:\n- publisher: P\n  book_slug: b\n  source_id: 1\n  pages: [3, x, 4]\n- publisher: R\n---\n\nbody --- here\n"
     )
     (root / "geo" / "01-hills" / "02-bad.md").write_text("---\nname: [broken\n---\nbody")
+    (root / "geo" / "02-none").mkdir()
+    (root / "geo" / "02-none" / "01-lost.md").write_text("a chapter folder without a SKILL file")
     rows = files.load_skill_folder(spark, str(root)).cache()
     got = {r.path: r for r in rows.collect()}
     assert set(got) == {"geo", "geo.v2", "geo/01-hills", "geo/01-hills/01-peaks", "geo/01-hills/02-bad"}
