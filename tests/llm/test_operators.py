@@ -136,7 +136,8 @@ def test_jaccard(spark, docs, corpus, monkeypatch):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     least[a] = least[b] = min(least[a], least[b])
-    monkeypatch.setattr(jaccard, "HOT_FROM", 3)  # so that there are frequent shingles here
+    monkeypatch.setattr(jaccard, "HOT_FROM", 3)  # so that there are frequent shingles here,
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 2)  # and salted ones
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
     assert got == {d: (len(s), least[d]) for d, s in sets.items()}
     assert jaccard.near_duplicates(empty(spark)).count() == 0
