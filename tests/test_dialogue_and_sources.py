@@ -190,3 +190,28 @@ def test_migration(spark):
     assert "elsewhere/x" in got
     counts = migration.migration_counts(out).first()
     assert (counts.leaves_written, counts.index_nodes_written) == (2, 1)
+    again = migration.migrate(out, F.lit("geo"), F.lit("old"), F.lit("new_geo"), F.lit("P"), F.lit(2), "later")
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_migration_of_mixed_rows_keeps_metadata_and_whole_segments(spark):
+    schema = "node_id string, parent string, depth int, order int, name string, description string, body string, is_leaf boolean, ingestion_version string, superseded_by string, subject_scope string, related_skills array<string>"
+    rows = [
+        ("geo/old/01-a/01-b", "geo/old/01-a", 2, 1, "B", "", "A paragraph of good length.", True, None, None, "state", ["x"]),
+        ("geo/old2/01-a", "geo/old2", 2, 1, "C", "", "A paragraph of good length.", True, "v2", None, None, None),
+        ("new_geo/03-c/01-d", "new_geo/03-c", 2, 1, "D", "", "## Source 1 (page 5)\n\nDone before.", True, K.SCHEMA_VERSION, "new_geo/x", "pan_india", None),
+    ]
+    got = {r.name: r for r in migration.migrate(spark.createDataFrame(rows, schema), F.lit("geo"), F.lit("old"), F.lit("new_geo"), F.lit("P"), F.lit(2), "now").collect()}
+    assert got["B"].node_id == "new_geo/01-a/01-b" and got["B"].subject_scope == "state" and got["B"].related_skills == ["x"]
+    assert got["C"].node_id == "geo/old2/01-a"
+    assert (got["D"].body, got["D"].superseded_by, got["D"].node_id) == ("## Source 1 (page 5)\n\nDone before.", "new_geo/x", "new_geo/03-c/01-d")
+
+
+def test_proposed_trees_of_any_depth_and_bad_replies(spark):
+    tree = None
+    for level in reversed(range(9)):
+        tree = {"title": f"t{level}", "description": "", "paragraph_start": level, "paragraph_end": level, "children": [tree] if tree else []}
+    replies = [(1, json.dumps({"root": tree})), (2, "no tree here"), (3, '{"root": {"title": 5'), (4, '{"other": 1}'), (5, None)]
+    rows = files.read_proposed_trees(spark.createDataFrame(replies, "doc_id int, reply string")).collect()
+    assert sorted((r.depth, r.title) for r in rows if r.doc_id == 1) == [(k, f"t{k}") for k in range(9)]
+    assert {r.doc_id: r.error for r in rows if r.doc_id != 1} == {2: "no object", 3: "unbalanced", 4: "no tree", 5: "empty"}
