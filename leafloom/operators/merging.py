@@ -228,8 +228,8 @@ def apply(existing: DataFrame, new: DataFrame, actions: DataFrame, ingested_at:
 def _free_slugs(rows: DataFrame, taken: DataFrame, group: str) -> DataFrame:
     """Unique slugs for new siblings next to the slugs already in use, which come first and keep theirs."""
     base = cut_lineage(rows.withColumn("base", slugs.slugify(F.col("title"))).withColumn("_new", F.lit(True)))
-    # Old siblings have distinct slugs, so their own order does not matter; it only has to be unique.
+    # Old siblings come first. Their slugs are distinct, so their order among themselves decides nothing.
     old = taken.join(base.select(group).distinct(), group, "left_semi").withColumn("_new", F.lit(False))
-    old = old.withColumn("ord", -1 - F.pmod(F.xxhash64("base"), F.lit(1 << 40)))
+    old = old.withColumn("ord", F.lit(-1).cast("bigint"))
     every = base.unionByName(old, allowMissingColumns=True)
     return trees.unique_slugs(every, [group], "ord").filter("_new").drop("_new", "base")

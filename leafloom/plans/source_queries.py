@@ -351,11 +351,11 @@ def _(t):
 
 @query(
     "fold_agent_turn_stream",
-    "SELECT turn_id, text_md5, queries, results, citations, status FROM folded WHERE status = 'complete'",
+    "SELECT turn_id, text_md5, queries, results, citations, status FROM folded",
     ("folded",),
 )
 def _(t):
-    return show_fold(turns.run_fold(fx.agent_events(StreamTables(t.spark, t.directory))).filter("status = 'complete'"))
+    return show_fold(turns.run_fold(fx.agent_events(StreamTables(t.spark, t.directory))))
 
 
 block(

@@ -35,50 +35,58 @@ def _folded(turn_id: str, events: list[list], status: str) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+DONE = "done"
+IDLE_MS = 600_000
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seen = json.loads(state.get[0]) if state.exists else []
     if state.hasTimedOut:
         state.remove()
-        yield _folded(key[0], seen, "streaming")
         return
-    latest = 0
-    for batch in batches:
-        latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-        seen += batch[["seq", "type", "id", "payload", "number"]].values.tolist()
-    if any(e[1] == "finish" for e in seen):
-        if state.exists:
-            state.remove()
-        yield _folded(key[0], seen, "complete")
-        return
-    state.update((json.dumps(seen),))
+    kept = state.get[0] if state.exists else "[]"
+    frames = list(batches)
+    latest = max((int(b["ts"].max().timestamp() * 1000) for b in frames if len(b)), default=0)
+    seen = [] if kept == DONE else json.loads(kept)
+    if kept != DONE:
+        for batch in frames:
+            seen += batch[["seq", "type", "id", "payload", "number"]].values.tolist()
+        ended = any(e[1] == "finish" for e in seen)
+        kept = DONE if ended else json.dumps(seen)
+        yield _folded(key[0], seen, "complete" if ended else "streaming")
+    state.update((kept,))
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
 
 
-IDLE_MS = 600_000
-
-
 def fold_stream(events: DataFrame) -> DataFrame:
-    """One row per turn, when its ``finish`` comes or when it has been idle for ten minutes.
+    """A turn as it stands after each batch that has events of it; the row with its ``finish`` is its last.
 
-    The state of a turn is its events so far and leaves the store with the turn.
+    The state of a turn is its events so far; of a finished one it is a mark, so that late events do not open it again. Both leave the store
+    when the turn has been idle for ten minutes.
     """
     return (
         events.withWatermark("ts", "10 minutes")
         .groupBy("turn_id")
-        .applyInPandasWithState(_step, OUTPUT, "events string", "append", "EventTimeTimeout")
+        .applyInPandasWithState(_step, OUTPUT, "events string", "update", "EventTimeTimeout")
     )
 
 
 def run_fold(events: DataFrame, out: str | None = None) -> DataFrame:
-    out = out or fresh_path(events.sparkSession, "turns")
+    """Drains a stream of events and returns the last row of every turn, finished or not."""
+    spark = events.sparkSession
+    out = out or fresh_path(spark, "turns")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
     query = (
         fold_stream(events)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{out}/data")
+        .writeStream.outputMode("update")
+        .foreachBatch(save)
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return events.sparkSession.read.schema(OUTPUT).parquet(f"{out}/data")
+    rows = spark.read.option("basePath", f"{out}/data").schema(OUTPUT + ", batch long").parquet(f"{out}/data")
+    fields = [c for c in rows.columns if c not in ("batch", "turn_id")]
+    return rows.groupBy("turn_id").agg(F.max_by(F.struct(*fields), "batch").alias("_l")).select("turn_id", "_l.*")
