@@ -52,10 +52,10 @@ class Tables:
         df = self.spark.read.parquet(self.path(name))
         return self._spread(df) if name == "documents" else df
 
-    def _spread(self, df: DataFrame) -> DataFrame:
+    def _spread(self, df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
         """Text work is heavy, and one small file is one task: a scan with a single partition, which is one split of a file at most, is
-        dealt out. Any larger table is read as it is, without a shuffle."""
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+        dealt out. Any larger table is read as it is, without a shuffle. For a stream, ``scan`` is the table it reads."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if (scan or df).rdd.getNumPartitions() == 1 else df
 
 
 def shared_dir(spark: SparkSession) -> str:
