@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafloom import constants as K
 from leafloom.functions import slugs
 from leafloom.functions import text as T
 from leafloom.operators import ordered, trees

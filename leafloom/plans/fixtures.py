@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom import constants as K
-from leafloom.functions import text as T
 from leafloom.operators import cleaning
 from leafloom.plans.registry import block
 from leafloom.session import Tables

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.functions.model_json import extract_json_object
 from leafloom.session import cut_lineage
