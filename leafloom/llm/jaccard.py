@@ -258,9 +258,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     qualifying = met.groupBy("g", "h", "g_least", "h_least", "most").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("g", "h")
     # Opened at the shingles that both share.
     opened = written(met.select("token", "g", "h").join(qualifying, ["g", "h"], "left_semi"), "opened")
-    left = opened.join(member.select("token", F.col("group").alias("g"), F.col("doc").alias("a")), ["token", "g"])
-    both = left.join(member.select("token", F.col("group").alias("h"), F.col("doc").alias("b")), ["token", "h"])
-    met = count_shared(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    # Members of a group with the same entries are one class: shared entries are counted by class, and classes that can reach the overlap are
+    # spelled out as documents.
+    marks = [F.sum(F.xxhash64("token", F.lit(k)).cast("decimal(38,0)")).alias(f"mark_{k}") for k in (1, 2)]
+    alike = written(member.groupBy("doc", "group").agg(F.count("*").alias("entries"), *marks), "alike")
+    same = ["group", "entries", "mark_1", "mark_2"]
+    classes = alike.groupBy(*same).agg(F.min("doc").alias("class"))
+    classes = alike.join(classes, same).select("doc", "class").join(info.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
+    classes = written(classes, "classes")
+    spans = classes.groupBy("class").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    chosen = written(member.join(spans, member["doc"] == spans["class"]).select("token", "group", "class", "least", "most"), "chosen")
+    side = lambda group, n: chosen.select("token", F.col("group").alias(group), F.col("class").alias(f"{n}_class"), F.col("least").alias(f"{n}_least"), F.col("most").alias(f"{n}_most"))
+    met = opened.join(side("g", "x"), ["token", "g"]).join(side("h", "y"), ["token", "h"])
+    keys = ["x_class", "y_class", "x_least", "y_least", "x_most", "y_most"]
+    met = met.groupBy(*keys).agg(F.count("*").alias("shared"))
+    enough = overlap(F.col("x_least"), F.col("y_least"), percent) - share(F.greatest("x_most", "y_most"), percent) + 1
+    met = written(met.where(F.col("shared") >= enough).select("x_class", "y_class", "shared"), "classes")
+    spelled = met.join(classes.select(F.col("class").alias("x_class"), F.col("doc").alias("x")), "x_class").join(classes.select(F.col("class").alias("y_class"), F.col("doc").alias("y")), "y_class")
+    met = spelled.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "shared")
     rest = verified(written(possible(met, info, percent), "pairs"), docs, words, percent)
 
     final = components(first.union(twins).union(rest)).withColumnRenamed("id", "doc_id")
