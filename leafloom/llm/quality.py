@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import ready
+from leafloom.llm.common import ready, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -67,6 +67,7 @@ def line_shares(docs: DataFrame, min_docs: int, percent: float) -> DataFrame:
     df = df.select("row_key", "host", "total", F.get("known", F.lit(0)).alias("least"), F.get("known", F.lit(1)).alias("second"), F.posexplode("lines").alias("at", "line"))
     other = F.when(F.col("least") == F.col("line.line"), F.col("second")).otherwise(F.col("least"))
     df = df.select("row_key", "host", "total", "at", F.col("line.line").alias("line"), F.col("line.words").alias("words"), F.coalesce(other, F.lit("")).alias("other"))
+    df = written(df, "lines")
     met = df.select("host", "line", "other").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     hosts = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = met.where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") * 100 > F.col("host_docs") * percent).select("host", "line")
