@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single spaces) and hashed. For every host (`source`) and line the distinct
 documents are counted; a line above the limits is boilerplate and is removed; a document of which too little is left is depleted and is rejected.
-Copies of a document must not make its lines boilerplate, so documents are told apart by the least hash among their *other* lines: copies
-and near copies agree in it and count once.
+Copies of a document must not make its lines boilerplate, so documents are told apart by a hash of the whole set of their lines: copies agree
+in it and count once, for a line as for the size of the host. Documents that differ in one line are two, whatever template they share.
 
 Only DataFrame functions are used. Every row is judged by itself, whatever its id. Null texts have no words, null hosts are one host. An
 empty table gives no rows.
@@ -63,13 +63,13 @@ def line_shares(docs: DataFrame, min_docs: int, percent: float) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), normalised), lambda line: line != "")
     hashed = F.transform("lines", lambda line: F.struct(F.substring(F.md5(line), 1, 16).alias("line"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")))
     df = docs.select("row_key", "host", lines.alias("lines")).withColumn("lines", hashed)
-    df = df.withColumn("known", F.array_sort(F.array_distinct(F.col("lines.line")))).withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, line: acc + line["words"]))
-    df = df.select("row_key", "host", "total", F.get("known", F.lit(0)).alias("least"), F.get("known", F.lit(1)).alias("second"), F.posexplode("lines").alias("at", "line"))
-    other = F.when(F.col("least") == F.col("line.line"), F.col("second")).otherwise(F.col("least"))
-    df = df.select("row_key", "host", "total", "at", F.col("line.line").alias("line"), F.col("line.words").alias("words"), F.coalesce(other, F.lit("")).alias("other"))
+    df = df.withColumn("own", F.xxhash64(F.array_sort(F.array_distinct(F.col("lines.line"))))).withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, line: acc + line["words"]))
+    # A document without lines keeps a row, for the size of its host.
+    df = df.select("row_key", "host", "total", "own", F.posexplode_outer("lines").alias("at", "line"))
+    df = df.select("row_key", "host", "total", "own", "at", F.col("line.line").alias("line"), F.col("line.words").alias("words"))
     df = written(df, "lines")
-    met = df.select("host", "line", "other").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    hosts = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
+    met = df.where("line is not null").select("host", "line", "own").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    hosts = df.where("at is null or at = 0").select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = met.where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") * 100 > F.col("host_docs") * percent).select("host", "line")
     # Repeated rows share a key and count once.
     met = df.join(frequent, ["host", "line"]).select("row_key", "at", "words", "total").distinct()
@@ -80,7 +80,7 @@ def assess(docs: DataFrame, min_docs: int = 20, percent: float = 1.0, left_perce
     """The documents without their text, with the base counts, base_failed, n_line_words_removed and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. A line is boilerplate in a host if more than `min_docs`
-    documents and more than `percent` of its documents have it. A document is depleted if less than `left_percent` of its words are left.
+    distinct documents and more than `percent` of its distinct documents have it. A document is depleted if less than `left_percent` of its words are left.
     """
     ready(docs.sparkSession)
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text")).withColumn("host", F.coalesce("source", F.lit("")))

@@ -98,6 +98,18 @@ def test_boilerplate_lines_deplete_documents_but_copies_do_not(spark):
     assert kept.columns == frame(spark, rows).columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_menus_of_several_lines_count_in_all_their_documents(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n))  # noqa: E731  # letters, for digits count as equal
+    menu = "\n".join(own(12) for _ in range(8))
+    rows = [(i, menu + "\n" + own(8), "host") for i in range(30)]
+    copy = "\n".join(own(20) for _ in range(4))
+    rows += [(100 + i, copy, "host") for i in range(2500)] + [(3000, None, "host")]  # copies do not make the host larger
+    got = {r.doc_id: r for r in quality.verdicts(frame(spark, rows)).collect()}
+    assert all(got[i].n_line_words_removed == len(split(menu)) and not got[i].kept for i in range(30))
+    assert all(got[i].n_line_words_removed == 0 and got[i].kept for i in range(100, 2600))
+
+
 def test_substrings(spark, docs, corpus):
     out = substring.remove_repeats(docs, text=True)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
