@@ -3,8 +3,10 @@
 Vectors are normalised in double precision and dealt into shards by a hash of their id. Every shard builds a graph: nodes have a random level; on each level they
 are linked with near nodes chosen for diversity. Every vector is then looked up in every shard: greedy steps down the levels, then a beam on the
 lowest one. Two rules widen beams. A beam that ends full of links is doubled for that vector, until its worst entry is no link; from a quarter of
-the shard on, the vector is compared with the whole shard. And each shard audits itself: sampled members are compared with all
-of the shard, and while the beam finds less than `recall` of their links, it is doubled for all.
+the shard on, the vector is compared with the whole shard. And each shard is audited: a sample of the vectors of all shards
+(`AUDITED` at most, by a hash of their id) is compared with all of the shard, and so are vectors planted at the threshold from members, for links can be
+too rare to be met by a sample. While the beam finds less than `recall` of the links of either, in sum or in the mean of the vectors that have any, it is
+doubled for all. What a vector has with itself is no link: it is left out of the audit, and added without a search.
 
 Links are verified by their cosine in double precision, so none is false. They are reported per vector as a count and the least vector linked in each shard,
 and components are the connected ones over links: rows do not grow with the square of a group. Equal vectors are one node with a
@@ -27,6 +29,8 @@ from leafloom.llm.components import components
 SHARD_ROWS = 60_000
 LEAST_SHARDS = 6
 DEGREE = 12
+AUDITED, PLANTED = 2_048, 256
+AUDITED_NUMBERS = 1 << 20  # of all sampled vectors together, for they go to every shard
 
 
 class Graph:
@@ -159,16 +163,55 @@ def _runs(keys, values):
     return keys[cuts], [values[i:j] for i, j in zip(cuts, ends, strict=True)]
 
 
-def audited_beam(graph: Graph, threshold: float, recall: float, beam: int, sample: int = 256, slack: float = 1e-9) -> int:
-    """The first of the doubled beams that finds enough of the links of sampled members."""
-    n = len(graph.x)
-    chosen = np.unique(np.linspace(0, n - 1, min(sample, n)).astype(int))
-    true = (graph.x[chosen] @ graph.x.T >= threshold - slack).sum()
-    while beam < n / 4 and len(graph.within(graph.x[chosen], threshold - slack, beam)[0]) < recall * true:
+def planted(x: np.ndarray, threshold: float, count: int, seed: int = 11) -> np.ndarray:
+    """Unit vectors that have a cosine of the threshold with members chosen evenly."""
+    chosen = x[np.unique(np.linspace(0, len(x) - 1, min(count, len(x))).astype(int))]
+    away = np.random.default_rng(seed).normal(size=chosen.shape)
+    away -= np.einsum("nd,nd->n", away, chosen)[:, None] * chosen
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0)  # vectors of one number have no direction to go
+    out = threshold * chosen + np.sqrt(max(0.0, 1 - threshold * threshold)) * away
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def audited_beam(graph: Graph, threshold: float, recall: float, beam: int, node: np.ndarray, sample: np.ndarray, units: np.ndarray, slack: float = 1e-9) -> int:
+    """The first of the doubled beams that finds enough of the links of sampled vectors (ids and units, of any shard) and of planted ones."""
+    n, kinds = len(graph.x), []
+    for ids, queries in ((sample, units), (None, planted(graph.x, threshold, PLANTED))):
+        own = np.zeros(0, np.int64) if ids is None else ids
+        true = np.zeros(len(queries), np.int64)
+        for lo in range(0, len(queries), 256):
+            near = queries[lo : lo + 256] @ graph.x.T >= threshold - slack
+            if ids is not None:
+                near &= own[lo : lo + 256, None] != node[None]
+            true[lo : lo + 256] = near.sum(axis=1)
+        some = np.flatnonzero(true)
+        kinds.append((queries[some], true[some], None if ids is None else own[some]))
+
+    def enough(queries, true, own):
+        if not len(true):
+            return True
+        a, b = graph.within(queries, threshold - slack, beam)
+        if own is not None:
+            a = a[own[a] != node[b]]
+        found = np.bincount(a, minlength=len(true))
+        return found.sum() >= recall * true.sum() and (found / true).mean() >= recall
+
+    while beam < n / 4 and not all(enough(*kind) for kind in kinds):
         beam *= 2
     return beam
 
 
+def own_links(graph: Graph, weight: np.ndarray, threshold: float, beam: int):
+    """Links of a shard's members among themselves (rows, equal ones and itself included), and labels of their components."""
+    links, labels = weight.astype(np.int64), np.arange(len(weight))
+    for a, b in links_of(graph, graph.x, threshold, beam):
+        a, b = a[a != b], b[a != b]
+        np.add.at(links, a, weight[b])
+        labels = merged(labels, a, b)
+    return links, labels
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.99, beam: int = 32) -> DataFrame:
     """vec_id, n_links, component_id, kept for a table of (vec_id, embedding)."""
     spark = ready(rows.sparkSession)
@@ -182,7 +225,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.
     twins = rows.where("good").select("vec_id", "embedding").join(nodes.select("embedding", "node"), "embedding").select("vec_id", "node")
     found = None
     for dim, count in sizes:
-        part = _links(nodes.where(F.col("dim") == dim).select("node", "weight", "embedding"), max(LEAST_SHARDS, -(-count // SHARD_ROWS)), max(1, -(-count // SHARD_ROWS)), threshold, recall, beam)
+        part = _links(nodes.where(F.col("dim") == dim).select("node", "weight", "embedding"), dim, max(LEAST_SHARDS, -(-count // SHARD_ROWS)), max(1, -(-count // SHARD_ROWS)), threshold, recall, beam)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -229,12 +272,15 @@ def units_of(table: pa.Table) -> np.ndarray:
 FOUND = "node long, links long, other long"
 
 
-def _links(nodes: DataFrame, shards: int, blocks: int, threshold: float, recall: float, beam: int) -> DataFrame:
+def _links(nodes: DataFrame, dim: int, shards: int, blocks: int, threshold: float, recall: float, beam: int) -> DataFrame:
     """node, links (rows that it links with in a shard, equal ones and itself included), other (a node of the shard to connect with).
 
     A graph is built once per shard, with the links and components of its own members, and written. Then every block of queries meets every
     other shard; a query gets a row for its count, and one for each component of the shard that it links with.
     """
+    some = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").select("node", "embedding")
+    drawn = some.limit(max(1, min(AUDITED, AUDITED_NUMBERS // dim))).toArrow()
+    sample, sample_units = drawn.column("node").to_numpy(), units_of(drawn)
     target, built_schema = arrow_schema(FOUND), FOUND + ", shard int, graph binary"
     built_target = arrow_schema(built_schema)
 
@@ -243,11 +289,8 @@ def _links(nodes: DataFrame, shards: int, blocks: int, threshold: float, recall:
 
         node, weight, x = table.column("node").to_numpy(), table.column("weight").to_numpy(), units_of(table)
         graph = Graph(x)
-        width = audited_beam(graph, threshold, recall, beam)
-        links, labels = np.zeros(len(node), np.int64), np.arange(len(node))
-        for a, b in links_of(graph, x, threshold, width):
-            np.add.at(links, a, weight[b])
-            labels = merged(labels, a, b)
+        width = audited_beam(graph, threshold, recall, beam, node, sample, sample_units)
+        links, labels = own_links(graph, weight, threshold, width)
         apart = np.flatnonzero(labels != np.arange(len(node)))
         blob = pickle.dumps((graph, width, node, weight, labels))
         size = len(node) + len(apart) + 1

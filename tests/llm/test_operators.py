@@ -262,6 +262,36 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_audit_of_rare_links_and_nodes_out_of_reach():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x[1:6:2] = x[0:6:2] + 0.05 * rng.normal(size=(3, 24))  # the only links
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, node, weight = vectors.Graph(x), np.arange(3000), np.full(3000, 3)
+    for table in graph.near:  # no search reaches them
+        table[np.isin(table, np.arange(6))] = -1
+    for sample in (node[:6], node[2000:2040]):  # links met by the sample, and by planted vectors only
+        if sample[0]:
+            for table in graph.near:
+                table[np.isin(table, np.arange(100, 1000))] = -1
+        assert vectors.audited_beam(graph, 0.95, 0.99, 32, node, sample, x[sample]) >= 3000 / 4
+    links, _ = vectors.own_links(graph, weight, 0.95, 32)
+    assert (links >= weight).all()
+    links, labels = vectors.own_links(graph, weight, 0.95, 1024)
+    assert (links[:6] == 6).all() and (links[6:] == 3).all() and (labels[1:6:2] == labels[0:6:2]).all()
+
+
+def test_rare_links_in_shards_of_thousands(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(18_000, 16))
+    x[1:400:2] = x[0:400:2] + 0.2 * rng.normal(size=(200, 16))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = sum(int((unit[i : i + 2000] @ unit.T >= 0.95).sum()) for i in range(0, 18_000, 2000)) - 18_000
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    links = [r.n_links for r in vectors.near_duplicates(table).select("n_links").collect()]
+    assert min(links) == 0 and true > 150 and 0.97 * true <= sum(links) <= true
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     words = [f"{a}{b}{c}" for a in ("the", "or", "an", "ti") for b in ("re", "sh", "ea") for c in ("n", "st", "ou", "ly")]
