@@ -328,6 +328,25 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_dual_wrapped_and_whole_licences(spark):
+    mit, two, three = (t for _, t in licenses.TEXTS)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the Apache License, Version 2.0, or the MIT License", ["Apache-2.0", "MIT"]),
+        ("Licensed under the Apache\nLicense, Version 2.0.\nReleased under the MIT\nLicense.", ["Apache-2.0", "MIT"]),
+        ("All rights reserved. All rights reserved.", ["proprietary", "proprietary"]),
+        (" ".join(licenses.TEMPLATES.values()), sorted(licenses.TEMPLATES)),
+        (wrap(mit, 9), ["MIT"]), (wrap(two, 7), ["BSD-2-Clause"]), (wrap(three, 12), ["BSD-3-Clause"]),
+        ("MIT License\n\nCopyright (c) 2020 A. All rights reserved.\n\n" + mit.replace("person", "body"), ["MIT", "proprietary"]),
+        (wrap(mit, 9)[:600], []),
+    ]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(frame(spark, [(i, f"Words.\n{t}\nThe end", "s") for i, (t, _) in enumerate(rows)])).collect():
+        got[r.doc_id].append(r.license)
+    assert [sorted(got[i]) for i in range(len(rows))] == [sorted(want) for _, want in rows]
+
+
 def test_edit_aware_counts(spark, corpus):
     coder = packing.byte_level(vocabulary("byte_bpe_50k.json"))
     rng, rows = random.Random(9), []
