@@ -1,7 +1,7 @@
 """Quality rules: word counts and repetition within a document, and the frequency of its lines across documents.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single spaces) and hashed. For every host (`source`) and line the distinct
-documents are counted; a line above the limits is boilerplate and is removed; a document of which too little is left is depleted and is rejected.
+documents are counted; a line above the limits is boilerplate, and its words are counted as removed (no text is changed here); a document of which too little is left is depleted and is rejected.
 Copies of a document must not make its lines boilerplate, so documents are told apart by a hash of the whole set of their lines: copies agree
 in it and count once, for a line as for the size of the host. Documents that differ in one line are two, whatever template they share.
 
