@@ -1,9 +1,9 @@
-"""Suffix-array dedup over a sparse set of suffixes.
+"""Dedup of repeated passages over a sparse set of places.
 
 Only suffixes that start at a minimiser are retained: of the 8-word runs within any window of 50 words, the one with the least hash. Equal windows choose the same
-place, so a repeated passage always retains equal suffixes, about one in twenty positions. Retained suffixes are sorted by their first words and
-compared with their neighbours; where two agree, the windows that chose them are extended left and right to all 50 words and sorted again, which
-makes the comparison exact. Neighbouring windows make one passage.
+place, so a repeated passage always retains equal suffixes, about one in twenty positions. No suffix array
+is built: retained places are grouped by the hash of their first 8 words, and where two agree, the windows that chose them are hashed over all 50 words
+and grouped again, so results are those of sorting and extension up to equal 64-bit hashes. Neighbouring windows make one passage.
 """
 
 from __future__ import annotations
