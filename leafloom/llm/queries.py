@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafloom.llm import editcount, jaccard, licenses, packing, pieces, quality, substring, suffix, toxicity, vectors
+from leafloom.llm import align, bpe, editcount, jaccard, licenses, packing, pieces, quality, spelling, substring, suffix, toxicity, vectors
 from leafloom.llm.common import table
 
 
@@ -57,6 +57,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op7_vectors, op8_licenses, op9_editcount, op10_packing)}
+def op11_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids; every row is kept (see `bpe`)."""
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and texts that a tokenizer does not give back, have zeros; every row is kept (see `align`)."""
+    return align.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word of the corpus; null texts have none (see `spelling`)."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring, op3_toxicity, op4_suffix, op5_jaccard, op6_pieces, op7_vectors, op8_licenses, op9_editcount, op10_packing, op11_bytes, op12_alignment, op13_spelling)}
 
 SQL: dict[str, str] = {"op1_quality": quality.LINES_SQL}
