@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm.common import in_batches, ready, written
 from leafloom.llm.packing import ByteLevel
+from leafloom.llm.pieces import SPACE, piece_model
 
 STEPS = 65_536  # merge steps of a piece
 RUN_CHARS = 2_000_000
@@ -101,10 +102,7 @@ class Both:
     """The two tokenizers, and what bytes their ids stand for."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        import sentencepiece
-
-        self.a = PlainByteLevel(byte_path)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.a, self.b = PlainByteLevel(byte_path), piece_model(piece_path)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in printable]
         byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
@@ -112,17 +110,18 @@ class Both:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
+        b_bytes = [raw.replace(SPACE.encode(), b" ") for raw in self.b.bytes]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, b_bytes))
+        #: What stands for a token in the text of the groups: an A token, the last of its group, a B token, the last of its group.
+        self.said = [f"{i}{mark}" for size, marks in ((len(self.a_sizes), ",|"), (len(self.b_sizes), ",;")) for i in range(size) for mark in marks]
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         if not text:
             return [], []
         whole = " " + text
-        a, b, raw = self.a.ids(whole), self.b.encode(text), whole.encode()
-        if b"".join([self.b_bytes[i] for i in b]) != raw or b"".join([self.a_bytes[i] for i in a]) != raw:
+        a, raw = self.a.ids(whole), whole.encode()
+        b, _, pieces_raw, _ = self.b.encode(text)
+        if pieces_raw.replace(SPACE.encode(), b" ") != raw or b"".join([self.a_bytes[i] for i in a]) != raw:
             return [], []
         return a, b
 
@@ -163,7 +162,7 @@ def runs(own: Both, texts: list[str | None]) -> Iterator[Aligned]:
             chars += len(texts[stop] or "")
             stop += 1
         first_a, first_b = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 1))
-        a, b = (np.fromiter((i for p in parts for i in p[k]), np.int64) for k in (0, 1))
+        a, b = (np.concatenate([np.array(p[k], np.int64) for p in parts]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
         yield Aligned(first_a, first_b, a, b, list(pieces(ends_a, ends_b)))
         start = stop
@@ -211,22 +210,21 @@ def links(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         own = both(byte_path, piece_path)
         out: dict = {k: [] for k in ("n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times")}
         for run in runs(own, batch.column("text").to_pylist()):
-            a_names, b_names = [own.a_names[i] for i in run.a.tolist()], [own.b_names[i] for i in run.b.tolist()]
             shared_a, shared_b = run.shared
             keys = run.a[shared_a] << SHIFT | run.b[shared_b]
             groups = np.searchsorted(shared_a, run.first_a)
-            left_a, left_b = shared_a.tolist(), shared_b.tolist()
-            for k in range(len(run.first_a) - 1):
-                i, j, parts = int(run.first_a[k]), int(run.first_b[k]), []
-                for g in range(groups[k], groups[k + 1]):
-                    to_a, to_b = left_a[g] + 1, left_b[g] + 1
-                    parts.append(f"{a_names[i] if to_a == i + 1 else ','.join(a_names[i:to_a])}|{b_names[j] if to_b == j + 1 else ','.join(b_names[j:to_b])}")
-                    i, j = to_a, to_b
+            last_a, last_b = np.zeros(len(run.a), np.int64), np.zeros(len(run.b), np.int64)
+            last_a[shared_a], last_b[shared_b] = 1, 1
+            code = np.concatenate([2 * run.a + last_a, 2 * (run.b + len(own.a_sizes)) + last_b])
+            place = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])  # group, A before B
+            code, first = code[np.argsort(place, kind="stable")].tolist(), (run.first_a + run.first_b).tolist()
+            for k in range(len(first) - 1):
                 pairs, times = np.unique(keys[groups[k] : groups[k + 1]], return_counts=True)
+                said = "".join([own.said[c] for c in code[first[k] : first[k + 1]]])[:-1]
                 out["n_a"].append(run.first_a[k + 1] - run.first_a[k])
                 out["n_b"].append(run.first_b[k + 1] - run.first_b[k])
-                out["n_groups"].append(len(parts))
-                out["groups_sha256"].append(hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else "")
+                out["n_groups"].append(groups[k + 1] - groups[k])
+                out["groups_sha256"].append(hashlib.sha256(said.encode()).hexdigest() if said else "")
                 out["pairs"].append(pairs)
                 out["times"].append(times)
         size = len(out["n_a"])

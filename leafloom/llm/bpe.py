@@ -17,9 +17,11 @@ about `CHARS` characters, and one longer text is a run of its own.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from leafloom.llm.common import in_batches, mix, ready
 NONE = np.int32(2**31 - 1)
 LONG = 96
 CHARS = 4_000_000
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 # Characters that the `regex` module classes as letters, digits or marks by a later Unicode version than the public encoder
 # does, for which they are unassigned. A test compares every character.
@@ -42,6 +44,11 @@ UNASSIGNED = (
     "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
     "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
+#: The usual pattern, said without classes for texts of common characters, which the standard library then splits much faster.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+UNCOMMON = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ſ–—‘’“”•…€]")
+COMMON = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 BEYOND = re.compile("[\u0558-\U0010ffff]")  # a quick test first
 
 
@@ -106,12 +113,17 @@ class RankFile:
                 if a is not None and b is not None:
                     pairs[a, b] = rank
         self.pairs = Pairs(pairs, size)
-        #: By match: its ids as decimals joined by commas, and the bytes that they decode to.
-        self.ids: dict[str, str] = {}
-        self.raws: dict[str, bytes] = {}
+        #: By match: its ids in machine form.
+        self.known: dict[str, bytes] = {}
+        for token, rank in self.ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):  # part of a character: no match by itself
+                self.known[token.decode()] = array("I", [rank]).tobytes()
+        self.decimals = [str(i) for i in range(size)]
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not BEYOND.search(text) or not self.unassigned.search(text):
+        if self.pattern.pattern == USUAL and not UNCOMMON.search(text):
+            return COMMON.findall(text)
+        if not BEYOND.search(text) or not self.unassigned.search(text):
             return self.pattern.findall(text)
         plain, out, at = self.unassigned.sub("\ue000", text), [], 0  # private use: neither letter nor digit nor space
         for match in self.pattern.findall(plain):
@@ -119,8 +131,8 @@ class RankFile:
             at += len(match)
         return out
 
-    def merged(self, rows: np.ndarray) -> list[list[int]]:
-        """Ids of rows of byte tokens, padded with -1 at the end."""
+    def merged(self, rows: np.ndarray) -> list[bytes]:
+        """Ids, in machine form, of rows of byte tokens, padded with -1 at the end."""
         out: list = [None] * len(rows)
         ranks, alive = self.pairs(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), -1), np.arange(len(rows))
         while len(alive):
@@ -129,8 +141,11 @@ class RankFile:
             least = ranks[here, at] if ranks.shape[1] else np.full(len(alive), NONE)
             ended = least == NONE
             if ended.any():
-                for k, ids in zip(alive[ended].tolist(), rows[ended].tolist(), strict=True):
-                    out[k] = ids[: ids.index(-1)] if ids[-1] < 0 else ids
+                final = rows[ended]
+                given = final >= 0
+                raw, stops = final[given].astype(np.uint32).tobytes(), np.cumsum(given.sum(1)) * 4
+                for k, i, j in zip(alive[ended].tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    out[k] = raw[i:j]
                 go = ~ended
                 rows, ranks, alive, at, least = rows[go], ranks[go], alive[go], at[go], least[go]
                 here = np.arange(len(alive))
@@ -176,29 +191,25 @@ class RankFile:
                 ranks[side] = self.pairs(ids[side], ids[side + 1])
         return ids.tolist()
 
-    def encode_matches(self, matches: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each match with its ids, in no order."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for match in matches:
-            raw = match.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                yield match, [rank]
-            elif len(raw) > LONG:
-                yield match, self.merged_long(self.byte[np.frombuffer(raw, np.uint8)])
-            else:
-                by_width.setdefault(-(-len(raw) // 4) * 4, []).append((match, raw))
-        for width, bucket in by_width.items():
+    def encode_matches(self, matches: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each match, none of them a token itself, with its ids in machine form, in no order."""
+        raws = [match.encode() for match in matches]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            yield matches[i], array("I", self.merged_long(self.byte[np.frombuffer(raws[i], np.uint8)])).tobytes()
+        width = -(-sizes // 4) * 4
+        bucketed = np.argsort(width, kind="stable")
+        bucketed = bucketed[sizes[bucketed] <= LONG]
+        for bucket in np.split(bucketed, np.flatnonzero(np.diff(width[bucketed])) + 1):
             for start in range(0, len(bucket), 16_384):
                 part = bucket[start : start + 16_384]
-                sizes = np.fromiter((len(raw) for _, raw in part), np.int64, len(part))
-                inside = np.arange(width) < sizes[:, None]
-                rows = np.full((len(part), width), -1, np.int32)
-                rows[inside] = self.byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-                yield from zip((match for match, _ in part), self.merged(rows), strict=True)
-
-    def encoded(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids as decimals joined by commas, and the bytes that they decode to."""
+                own = part.tolist()
+                rows = np.full((len(own), width[own[0]]), -1, np.int32)
+                rows[np.arange(rows.shape[1]) < sizes[part, None]] = self.byte[np.frombuffer(b"".join([raws[i] for i in own]), np.uint8)]
+                yield from zip([matches[i] for i in own], self.merged(rows), strict=True)
+
+    def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text."""
         start = 0
         while start < len(texts):
             stop, chars, parts = start, 0, []
@@ -206,18 +217,18 @@ class RankFile:
                 parts.append(self.split(texts[stop] or ""))
                 chars += len(texts[stop] or "")
                 stop += 1
-            ids, raws = self.ids, self.raws
-            unseen = set().union(*parts).difference(ids)
-            if len(ids) + len(unseen) > REMEMBERED:  # the worker's memory is full: this run has tables of its own
-                run = set().union(*parts).difference(unseen)
-                ids, raws = {m: ids[m] for m in run}, {m: raws[m] for m in run}
-            for match, own in self.encode_matches(unseen):
-                ids[match] = ",".join(map(str, own))
-                raws[match] = b"".join([self.tokens[i] for i in own])
+            table = self.known
+            unseen = set().union(*parts).difference(table)
+            if len(table) + len(unseen) > REMEMBERED:  # the worker's memory is full: this run has a table of its own
+                table = {m: table[m] for m in set().union(*parts).difference(unseen)}
+            table.update(self.encode_matches(list(unseen)))
             for matches in parts:
-                yield ",".join(map(ids.__getitem__, matches)), b"".join(map(raws.__getitem__, matches))
+                yield np.frombuffer(b"".join(map(table.__getitem__, matches)), np.uint32).tolist()
             start = stop
 
+    def decoded(self, ids: list[int]) -> bytes:
+        return b"".join([self.tokens[i] for i in ids])
+
 
 _loaded: dict[tuple[str, str], RankFile] = {}
 
@@ -237,9 +248,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids of every row's whole text."""
 
     def step(batch):
-        own = rank_file(ranks, pattern)
-        ids = [[int(i) for i in dec.split(",")] if dec else [] for dec, _ in own.encoded(batch.column("text").to_pylist())]
-        return {"doc_id": batch.column("doc_id"), "ids": ids}
+        return {"doc_id": batch.column("doc_id"), "ids": list(rank_file(ranks, pattern).encoded(batch.column("text").to_pylist()))}
 
     return in_batches(_rows(docs), "doc_id long, ids array<int>", step)
 
@@ -248,8 +257,8 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and the bytes of ids; null ids count as none, and an id outside the vocabulary is an error."""
 
     def step(batch):
-        tokens = rank_file(ranks, pattern).tokens
-        return {"doc_id": batch.column("doc_id"), "decoded": [b"".join([tokens[i] for i in ids or []]) for ids in batch.column("ids").to_pylist()]}
+        own = rank_file(ranks, pattern)
+        return {"doc_id": batch.column("doc_id"), "decoded": [own.decoded(ids or []) for ids in batch.column("ids").to_pylist()]}
 
     return in_batches(encoded.select("doc_id", "ids"), "doc_id long, decoded binary", step)
 
@@ -260,10 +269,11 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def step(batch):
         out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for ids, raw in rank_file(ranks, pattern).encoded(batch.column("text").to_pylist()):
-            out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-            out["ids_sha256"].append(sha(ids.encode()))
-            out["decoded_sha256"].append(sha(raw))
+        own = rank_file(ranks, pattern)
+        for ids in own.encoded(batch.column("text").to_pylist()):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(sha(",".join([own.decimals[i] for i in ids]).encode()))
+            out["decoded_sha256"].append(sha(own.decoded(ids)))
         return {"doc_id": batch.column("doc_id")} | out
 
     return in_batches(_rows(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", step)
