@@ -87,7 +87,8 @@ def assess(docs: DataFrame, min_docs: int = 20, percent: float = 1.0, left_perce
     shares = line_shares(docs.select("row_key", "host", "text"), min_docs, percent)
     shares = shares.select("row_key", "removed", ((F.col("total") - F.col("removed")) * 100 < F.col("total") * left_percent).alias("depleted"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = base_counts(docs).join(shares, "row_key", "left").drop("row_key", "host")
+    # The counts are a table of their own, so that a filter on the result meets numbers: pushed below, it would evaluate the nested array expressions once per use.
+    df = written(base_counts(docs), "counts").join(shares, "row_key", "left").drop("row_key", "host")
     df = df.withColumn("base_failed", failed).withColumn("n_line_words_removed", F.coalesce("removed", F.lit(0)).cast("long"))
     return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).drop("removed", "depleted")
 
@@ -105,8 +106,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     columns = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # no clash with the columns made here
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()], F.xxhash64("doc_id", "source", "text").alias("row_key"))
     verdict = assess(docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("key")), **limits)
-    # The aggregate stands between the verdict and its filter, which else would be pushed down into the counts, expression by expression.
-    good = verdict.groupBy(F.col("key").alias("row_key")).agg(F.max("kept").alias("kept")).where("kept")
+    good = verdict.where("kept").select(F.col("key").alias("row_key"))
     return rows.join(good, "row_key", "left_semi").select(*[F.col(n).alias(c) for c, n in columns.items()])
 
 
@@ -122,12 +122,11 @@ plain AS (
 ]+', ' ', 'g')) AS line FROM worded
 ),
 hashed AS (SELECT doc_id, host, pos, md5(line)[1:16] AS line, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM plain),
-ranked AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM (SELECT DISTINCT doc_id, line FROM hashed)),
-least AS (SELECT doc_id, max(CASE WHEN r = 1 THEN line END) AS l1, max(CASE WHEN r = 2 THEN line END) AS l2 FROM ranked WHERE r <= 2 GROUP BY doc_id),
-keyed AS (SELECT h.*, coalesce(CASE WHEN l1 = line THEN l2 ELSE l1 END, '') AS other FROM hashed h JOIN least USING (doc_id)),
-hosts AS (SELECT host, count(*) AS host_docs FROM docs GROUP BY host),
+owns AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY line)) AS own FROM (SELECT DISTINCT doc_id, line FROM hashed) GROUP BY doc_id),
+keyed AS (SELECT h.*, own FROM hashed h JOIN owns USING (doc_id)),
+hosts AS (SELECT host, count(DISTINCT coalesce(own, '')) AS host_docs FROM docs LEFT JOIN owns USING (doc_id) GROUP BY host),
 frequent AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT other) AS n FROM keyed GROUP BY host, line) JOIN hosts USING (host)
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT own) AS n FROM keyed GROUP BY host, line) JOIN hosts USING (host)
   WHERE n > 20 AND n * 100 > host_docs * 1.0
 ),
 removed AS (SELECT doc_id, sum(words) AS removed FROM keyed SEMI JOIN frequent USING (host, line) GROUP BY doc_id),

@@ -28,6 +28,19 @@ def test_quality_twin(spark):
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(result.fetchall())
 
 
+@pytest.mark.parametrize("condition", ["kept", "NOT kept", "n_repeat_words > 5", "n_line_words_removed = 0 AND word_chars > 100", "n_dup_lines > 0 OR base_failed"])
+def test_filtered_verdicts_are_as_fast(spark, condition):
+    """A filter on the result must not evaluate the counts anew for each use of a column."""
+    import time
+
+    verdicts = queries.op1_quality(spark, SF_DIR)
+    rows = verdicts.collect()
+    began = time.monotonic()
+    got = {r.doc_id for r in queries.op1_quality(spark, SF_DIR).where(condition).collect()}
+    assert time.monotonic() - began < 30
+    assert got == {r.doc_id for r in spark.createDataFrame(rows, verdicts.schema).where(condition).collect()}
+
+
 def test_stages(spark):
     docs = table(spark, SF_DIR, "documents")
     before = docs
