@@ -9,6 +9,8 @@ publisher, book_slug, authority_rank``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from leafloom.functions import slugs
 from leafloom.functions import text as T
 from leafloom.operators import ordered, trees
 from leafloom.session import cut_lineage
+from leafloom.sources.snapshots import SOURCE
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def open_chapters(leaves: DataFrame) -> DataFrame:
     Openers share no word, so a word names one chapter and no pairs of leaves are formed.
     """
     words = cut_lineage(title_tokens(leaves, ["subject", "ord", "node_id"], slugs.slugify(F.col("title"))))
-    unsettled, claims = words, None
+    unsettled, rounds = words, []
     while not unsettled.isEmpty():  # every round settles at least the first leaf of each subject
         first = unsettled.groupBy("subject", "token").agg(F.min("ord").alias("_first"))
         mine = unsettled.join(first, ["subject", "token"]).groupBy("subject", "ord", "node_id").agg(F.bool_and(F.col("_first") == F.col("ord")).alias("_opens"))
@@ -70,9 +73,10 @@ def open_chapters(leaves: DataFrame) -> DataFrame:
         claimed = cut_lineage(unsettled.join(openers, ["subject", "ord", "node_id"], "left_semi").select("subject", "token", F.col("ord").alias("opener_ord"), F.col("node_id").alias("opener")))
         touched = unsettled.join(claimed.select("subject", "token"), ["subject", "token"], "left_semi").select("subject", "node_id").distinct()
         unsettled = cut_lineage(unsettled.join(touched, ["subject", "node_id"], "left_anti"))
-        claims = claimed if claims is None else cut_lineage(claims.unionByName(claimed))
-    if claims is None:
+        rounds.append(claimed)
+    if not rounds:
         return leaves.select("subject", "node_id", F.col("node_id").alias("opener")).limit(0)
+    claims = functools.reduce(DataFrame.unionByName, rounds)
     hits = words.join(claims, ["subject", "token"]).filter(F.col("opener_ord") <= F.col("ord"))
     shared = hits.groupBy("subject", "node_id", "opener", "opener_ord").agg(F.count(F.lit(1)).alias("_n"))
     best = F.max_by("opener", F.struct("_n", -F.col("opener_ord")))
@@ -155,6 +159,57 @@ def append_sources(existing: DataFrame, appended: DataFrame) -> DataFrame:
     )
 
 
+def tree_chapters(tree: DataFrame) -> DataFrame:
+    """Chapters of snapshot rows, as `match_chapter` reads them."""
+    return tree.filter("depth = 1").select("subject", F.col("node_id").alias("chapter_id"), F.col("order").alias("ord"), _bare_slug().alias("slug"))
+
+
+def tree_leaves(tree: DataFrame) -> DataFrame:
+    """Leaves of snapshot rows with their place in the tree: by chapter, then within it."""
+    place = tree.filter("depth = 1").select(F.col("node_id").alias("parent"), F.col("order").cast("bigint").alias("_chapter"))
+    order = F.col("_chapter") * 2**32 + F.col("order")
+    return tree.filter("depth = 2").join(place, "parent").select(order.alias("ord"), "subject", "node_id", F.col("name").alias("title"), "body")
+
+
+def _bare_slug() -> Column:
+    return F.regexp_replace(T.last_segment(F.col("node_id")), r"^\d+-", "")
+
+
+def _source(ingested_at: str) -> Column:
+    return F.struct("source_id", "publisher", "book_slug", "pages", "paragraph_ids", "authority_rank", F.lit(ingested_at).alias("ingested_at"))
+
+
+def first_trees(new: DataFrame, ingested_at: str) -> DataFrame:
+    """The trees that the first leaves of subjects make, as snapshot rows: a root, the chapters that the leaves name (``chapter``, else their book) in the order
+    of their first leaf, and the leaves in order."""
+    title = F.coalesce(F.col("chapter"), F.col("book_slug")) if "chapter" in new.columns else F.col("book_slug")
+    rows = new.withColumn("_chapter", F.coalesce(title, F.lit("")))
+    none, empty = F.lit(None).cast(f"array<{SOURCE}>").alias("sources"), T.content_hash(F.lit("")).alias("content_hash")
+    inner = lambda node, parent, depth, order, name: [
+        "subject", node.alias("node_id"), parent.alias("parent"), F.lit(depth).alias("depth"), order.cast("int").alias("order"), name.alias("name"), F.lit("").alias("body"), none, empty
+    ]
+    root = rows.select("subject").distinct().select(*inner(F.col("subject"), F.lit(None).cast("string"), 0, F.lit(0), F.col("subject")))
+    named = rows.groupBy("subject", "_chapter").agg(F.min("ord").alias("ord"))
+    named = cut_lineage(ordered.ordinal(named, ["subject"], "ord", "_pos").withColumn("base", slugs.slugify(F.col("_chapter"))))
+    named = trees.unique_slugs(named, ["subject"], "ord").withColumn("order", F.col("_pos") + 1)
+    chapters = cut_lineage(named.select("subject", "_chapter", F.col("order"), F.concat_ws("/", "subject", slugs.path_segment(F.col("order"), F.col("slug"))).alias("_path")))
+    placed = ordered.ordinal(rows, ["subject", "_chapter"], "ord", "_pos").withColumn("base", slugs.slugify(F.col("title")))
+    leaves = trees.unique_slugs(cut_lineage(placed.withColumns({"order": (F.col("_pos") + 1).cast("int"), "source_id": F.lit(1)})), ["subject", "_chapter"], "ord")
+    body = T.wrap_leaf_body(F.col("body"), F.col("pages"))
+    leaves = leaves.join(chapters.drop("order"), ["subject", "_chapter"]).select(
+        "subject",
+        F.concat_ws("/", "_path", slugs.path_segment(F.col("order"), F.col("slug"))).alias("node_id"),
+        F.col("_path").alias("parent"),
+        F.lit(2).alias("depth"),
+        "order",
+        F.col("title").alias("name"),
+        body.alias("body"),
+        F.array(_source(ingested_at)).cast(f"array<{SOURCE}>").alias("sources"),
+        T.content_hash(body).alias("content_hash"),
+    )
+    return root.unionByName(chapters.select(*inner(F.col("_path"), F.col("subject"), 1, F.col("order"), F.col("_chapter")))).unionByName(leaves)
+
+
 SNAPSHOT = ["subject", "node_id", "parent", "depth", "order", "name", "body", "sources", "content_hash"]
 
 
@@ -165,15 +220,7 @@ def apply(existing: DataFrame, new: DataFrame, actions: DataFrame, ingested_at:
     paragraph_ids, publisher, book_slug, authority_rank``.
     """
     actions = cut_lineage(actions)
-    source = F.struct(
-        F.col("source_id"),
-        "publisher",
-        "book_slug",
-        "pages",
-        "paragraph_ids",
-        "authority_rank",
-        F.lit(ingested_at).alias("ingested_at"),
-    )
+    source = _source(ingested_at)
     with_action = new.join(actions.select("node_id", "action", "target", "opens"), "node_id")
 
     top = existing.select("node_id", F.coalesce(F.array_max(F.transform("sources", lambda s: s["source_id"])), F.lit(0)).alias("max_source_id"))
@@ -184,7 +231,7 @@ def apply(existing: DataFrame, new: DataFrame, actions: DataFrame, ingested_at:
     openers = with_action.filter("opens").select("subject", "ord", "node_id", "title")
     chapter_top = existing.filter("depth = 1").groupBy("subject").agg(F.max("order").alias("max_order"))
     opened = next_positions(openers, "subject", chapter_top)
-    taken = existing.filter("depth = 1").select("subject", F.lit(-1).cast("bigint").alias("ord"), F.regexp_replace(T.last_segment(F.col("node_id")), r"^\d+-", "").alias("base"))
+    taken = existing.filter("depth = 1").select("subject", F.lit(-1).cast("bigint").alias("ord"), _bare_slug().alias("base"))
     chapter_slugs = _free_slugs(opened, taken, "subject")
     chapters = chapter_slugs.withColumn("chapter_path", F.concat_ws("/", "subject", slugs.path_segment(F.col("order"), F.col("slug"))))
     chapters = cut_lineage(chapters.select("subject", F.col("node_id").alias("opener"), "chapter_path", "order", "title"))
@@ -207,7 +254,7 @@ def apply(existing: DataFrame, new: DataFrame, actions: DataFrame, ingested_at:
     added = added.withColumn("parent", F.coalesce("chapter_path", "target")).withColumn("source_id", F.lit(1))
     leaf_top = existing.filter("depth = 2").groupBy("parent").agg(F.max("order").alias("max_order"))
     placed = next_positions(added.select("subject", "ord", "node_id", "title", "parent"), "parent", leaf_top)
-    used = existing.filter("depth = 2").select("parent", F.lit(-1).cast("bigint").alias("ord"), F.regexp_replace(T.last_segment(F.col("node_id")), r"^\d+-", "").alias("base"))
+    used = existing.filter("depth = 2").select("parent", F.lit(-1).cast("bigint").alias("ord"), _bare_slug().alias("base"))
     named = _free_slugs(placed, used, "parent").select(F.col("node_id"), "order", "slug")
     body = T.wrap_leaf_body(F.col("body"), F.col("pages"))
     leaves = added.join(named, "node_id").select(

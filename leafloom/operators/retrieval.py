@@ -1,5 +1,11 @@
 """Scoped BM25 over leaf paragraphs for batches of queries, and the blocks built from its hits.
 
+The text is read once, into an index of term counts per paragraph; statistics, bounds and scores come from the index. The best k of a query are found
+with upper bounds: a term adds at most its weight times the greatest saturation that it reaches in the scope. Ordered by that bound, the first terms
+of a query give a first k paragraphs, whose whole scores give a threshold. Terms whose bounds, summed from the end of the order, stay below the threshold
+cannot bring a paragraph into the first k: only paragraphs with one of the other terms are looked at, and only those whose partial score and
+the bounds of what is missing reach the threshold are scored in full. The result is exact.
+
 Tables: paragraphs ``(node_id, paragraph_id, page, text)``; queries ``(query_id, scope_key, text)`` where
 ``scope_key`` is ``all`` or the path of a subject, chapter or leaf.
 """
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import ordered
-from leafloom.session import cut_lineage
+from leafloom.session import stored
 
 ALL = "all"
 MAX_BROADCAST_HITS = 200_000
@@ -81,24 +87,49 @@ def scope_members(paragraphs: DataFrame, scopes: DataFrame, small: bool) -> Data
     return paragraphs.select("*", F.explode(paths).alias("scope_key")).join(wanted, "scope_key")
 
 
-def statistics(paragraphs: DataFrame, scopes: DataFrame, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per scope: ``(scope_key, n, avgdl, avg_idf)``; per scope and term: ``(scope_key, term, df, idf)``.
+def term_index(paragraphs: DataFrame) -> DataFrame:
+    """``(node_id, paragraph_id, page, dl, terms)``: the distinct terms of each paragraph with their counts, as ``array<struct<term, tf>>``.
 
-    Both are sums that combine on the map side, so a frequent term or a large scope is not gathered.
+    Terms are sorted and counted by the length of their runs, within the row: no shuffle.
     """
-    small = is_small(scopes) if small is None else small
-    members = scope_members(paragraphs.select("node_id", T.tokens(F.col("text")).alias("_tok")), scopes, small)
+    kept = [c for c in ("node_id", "paragraph_id", "page") if c in paragraphs.columns]
+    rows = paragraphs.select(*kept, F.array_sort(T.tokens(F.col("text"))).alias("_tok"))
+    start = F.transform("_tok", lambda x, i: F.when((i == 0) | (x != F.get("_tok", i - 1)), i))
+    rows = rows.select(*kept, "_tok", F.size("_tok").alias("dl"), F.filter(start, lambda i: i.isNotNull()).alias("_at"))
+    run = F.transform("_at", lambda at, i: F.struct(F.get("_tok", at).alias("term"), (F.coalesce(F.get("_at", i + 1), F.col("dl")) - at).alias("tf")))
+    return rows.select(*kept, "dl", run.alias("terms"))
+
+
+def scope_counts(index: DataFrame, scopes: DataFrame, small: bool) -> DataFrame:
+    """Per scope and term: paragraphs that have it (``df``), its occurrences, greatest ``tf`` and least ``dl / tf``; the empty term has one row per
+    scope with the number of paragraphs and their length.
+
+    All are sums, minima and maxima that combine on the map side, so a frequent term or a large scope is not gathered.
+    """
+    members = scope_members(index.select("node_id", "dl", "terms"), scopes, small)
     # The empty term stands for the paragraph itself, so one pass counts terms, paragraphs and lengths.
-    # The table is written once, because three results read it.
-    counted = cut_lineage(
-        members.select(
-            "scope_key",
-            F.size("_tok").alias("dl"),
-            F.explode_outer(F.concat(F.array_distinct("_tok"), F.array(F.lit("")))).alias("term"),
-        )
-        .groupBy("scope_key", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"))
+    every = F.concat("terms", F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf"))))
+    rows = members.select("scope_key", "dl", F.explode(every).alias("t")).select("scope_key", "dl", "t.term", "t.tf")
+    return rows.groupBy("scope_key", "term").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.sum("tf").alias("occurrences"),
+        F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"),
+        F.max("tf").alias("max_tf"),
+        F.min(F.col("dl") / F.col("tf")).alias("least_dl"),
     )
+
+
+def statistics(paragraphs: DataFrame, scopes: DataFrame, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per scope: ``(scope_key, n, avgdl, avg_idf)``; per scope and term: ``(scope_key, term, df, idf)``."""
+    small = is_small(scopes) if small is None else small
+    scope_stats, term_stats = index_statistics(term_index(paragraphs), scopes, small)
+    return scope_stats, term_stats.select("scope_key", "term", "df", "idf")
+
+
+def index_statistics(index: DataFrame, scopes: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """The statistics from an index; terms also with ``max_tf`` and ``least_dl``."""
+    # Written once, because three results read it.
+    counted = stored(scope_counts(index, scopes, small), "term-counts")
     sizes = counted.filter(F.col("term") == "").select(
         "scope_key", F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl")
     )
@@ -114,6 +145,8 @@ def statistics(paragraphs: DataFrame, scopes: DataFrame, small: bool | None = No
         "term",
         "df",
         F.when(F.col("_raw") < 0, K.BM25_EPSILON * F.col("avg_idf")).otherwise(F.col("_raw")).alias("idf"),
+        "max_tf",
+        "least_dl",
     )
     return scope_stats, term_stats
 
@@ -127,50 +160,101 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def postings(paragraphs: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(node_id, paragraph_id, page, dl, term, tf)`` for the given terms.
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term of weight 1 adds to a paragraph's score."""
+    return tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avgdl))
 
-    Occurrences are dropped by term before the one shuffle, which is by paragraph; the counts here and the
-    scores later both reuse that partitioning.
-    """
-    words = paragraphs.withColumn("_tok", T.tokens(F.col("text"))).select(
-        "node_id", "paragraph_id", "page", F.size("_tok").alias("dl"), F.explode_outer("_tok").alias("term")
-    )
-    small = is_small(terms) if small is None else small
-    # A fixed number of partitions: the join with the queries grows these rows, so their size here says little.
-    partitions = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = words.join(_hint(terms.select("term").distinct(), small), "term", "left_semi")
+
+def term_weights(index: DataFrame, queries: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
+    """``(query_id, scope_key, term, avgdl, df, weight, bound)``: no paragraph gets more than ``bound`` from the term."""
+    scope_stats, term_stats = index_statistics(index, queries, small)
+    # Saturation grows with tf and falls with dl / tf, so the extremes of both bound it; the margin covers rounding.
+    most = (K.BM25_K1 + 1) / (1 + K.BM25_K1 * ((1 - K.BM25_B) / F.col("max_tf") + K.BM25_B * F.col("least_dl") / F.col("avgdl")))
+    weight = F.col("qtf") * F.col("idf")
     return (
-        hits.repartition(partitions, "node_id", "paragraph_id")
-        .groupBy("node_id", "paragraph_id", "page", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        term_stats.join(_hint(asked, small), ["scope_key", "term"])
+        .join(_hint(scope_stats.select("scope_key", "avgdl"), small), "scope_key")
+        .select("query_id", "scope_key", "term", "avgdl", "df", weight.alias("weight"), (F.greatest(weight, F.lit(0.0)) * most * (1 + 1e-9)).alias("bound"))
     )
 
 
+def postings(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """``(node_id, paragraph_id, page, dl, term, tf)`` for the given terms."""
+    rows = index.select("node_id", "paragraph_id", "page", "dl", F.explode("terms").alias("t")).select("node_id", "paragraph_id", "page", "dl", "t.term", "t.tf")
+    return rows.join(_hint(terms.select("term").distinct(), small), "term", "left_semi")
+
+
+def _met(index: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
+    """A row per query, paragraph of its scope and term of ``weights`` in it, with ``part``, what the term adds.
+
+    A posting is opened to the scopes its paragraph is in, so that it meets exactly the queries of these scopes; a match by term alone would first
+    pair it with the queries of all others.
+    """
+    paths = F.concat(F.array(F.lit(ALL)), T.ancestor_paths(F.col("node_id")))
+    found = postings(index, weights, small).select("*", F.explode(paths).alias("scope_key"))
+    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return found.join(_hint(weights, small), ["scope_key", "term"]).select("query_id", "node_id", "paragraph_id", "page", part.alias("part"))
+
+
+PARAGRAPH = ["node_id", "paragraph_id", "page"]
+
+
+def _total(met: DataFrame) -> DataFrame:
+    return met.groupBy("query_id", *PARAGRAPH).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
+
+
 def scores(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, node_id, paragraph_id, page, score)`` for every paragraph with a positive score."""
-    asked = query_terms(queries)
+    """``(query_id, node_id, paragraph_id, page, score)`` for every paragraph with a positive score: nearly queries times paragraphs. Where only
+    the best are asked for, `best_scores` gives them without the others."""
+    index, asked = stored(term_index(paragraphs), "term-index"), query_terms(queries)
     # Scopes, terms and weights have at most one row per query term, so this one count bounds them all.
     small = is_small(asked)
-    scope_stats, term_stats = statistics(paragraphs, queries, small)
-    weights = (
-        term_stats.join(_hint(asked, small), ["scope_key", "term"])
-        .join(_hint(scope_stats.select("scope_key", "avgdl"), small), "scope_key")
-        .select("query_id", "scope_key", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
-    )
-    tf, dl = F.col("tf"), F.col("dl")
-    length_norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / F.col("avgdl"))
-    part = F.col("weight") * tf * (K.BM25_K1 + 1) / (tf + length_norm)
-    # A posting is opened to the scopes its paragraph is in, so that it meets exactly the queries of these
-    # scopes; a match by term alone would first pair it with the queries of all others.
-    paths = F.concat(F.array(F.lit(ALL)), T.ancestor_paths(F.col("node_id")))
-    found = postings(paragraphs, asked, small).select("*", F.explode(paths).alias("scope_key"))
-    return (
-        found.join(_hint(weights, small), ["scope_key", "term"])
-        .groupBy("query_id", "node_id", "paragraph_id", "page")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-        .filter(F.col("score") > 0)
+    return _total(_met(index, term_weights(index, queries, asked, small), small))
+
+
+def score_of(index: DataFrame, pairs: DataFrame, weights: DataFrame, few: bool, small: bool) -> DataFrame:
+    """Whole scores of the paragraphs ``(query_id, node_id, paragraph_id)`` listed."""
+    rows = index.join(_hint(pairs.select("query_id", "node_id", "paragraph_id"), few), ["node_id", "paragraph_id"])
+    rows = rows.select("query_id", *PARAGRAPH, "dl", F.explode("terms").alias("t")).select("query_id", *PARAGRAPH, "dl", "t.term", "t.tf")
+    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return _total(rows.join(_hint(weights, small), ["query_id", "term"]).withColumn("part", part))
+
+
+PROBE = 16  # postings per asked-for hit that the first look at a query's terms may take
+
+
+def candidates(index: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, bool]:
+    """``(query_id, node_id, paragraph_id)`` of every paragraph that can be among the best ``k`` of its query, the weights, and whether these are few."""
+    asked = query_terms(queries)
+    small = is_small(asked)
+    weights = term_weights(index, queries, asked, small)
+    # Terms by falling bound: what a paragraph without the terms before can still reach, and postings up to here. One query's terms come from one row.
+    by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term")
+    weights = stored(
+        weights.withColumn("rest", F.sum("bound").over(by_bound.rowsBetween(0, Window.unboundedFollowing))).withColumn(
+            "before", F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ),
+        "query-terms",
     )
+    first = _met(index, weights.filter(F.col("before") < PROBE * k), small).groupBy("query_id", *PARAGRAPH).agg(F.sum("part").alias("score"))
+    probe = stored(top_hits(first, k), "probe")
+    few = is_small(probe)
+    reached = top_hits(score_of(index, probe, weights, few, small), k).filter(F.col("rank") == k)
+    # Scores that are equal after rounding count as equal, so a paragraph is out only if it stays below by more than that.
+    least = stored(queries.select("query_id").join(reached.select("query_id", (F.col("score") - 10.0**-SCORE_DIGITS).alias("least")), "query_id", "left"), "thresholds")
+    bounded = weights.join(_hint(least, is_small(least)), "query_id")
+    needed = bounded.filter(F.col("least").isNull() | (F.col("rest") >= F.col("least")))
+    left = bounded.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("rest") < F.col("least"), F.col("rest"))), F.lit(0.0)).alias("left"), F.first("least").alias("least"))
+    partial = _met(index, needed.select(*weights.columns), small).groupBy("query_id", "node_id", "paragraph_id").agg(F.sum("part").alias("_sum"))
+    reach = F.col("least").isNull() | (F.col("_sum") + F.col("left") >= F.col("least"))
+    found = partial.join(_hint(left, small), "query_id").filter(reach).select("query_id", "node_id", "paragraph_id")
+    return stored(found, "candidates"), weights, small
+
+
+def best_scores(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, node_id, paragraph_id, page, score)``: the best ``k`` of every query, exactly."""
+    pairs, weights, small = candidates(index, queries, k)
+    return top_hits(score_of(index, pairs, weights, is_small(pairs), small), k)
 
 
 def top_hits(scored: DataFrame, k: int) -> DataFrame:
@@ -179,15 +263,20 @@ def top_hits(scored: DataFrame, k: int) -> DataFrame:
     return ordered.best_per_key(scored, ["query_id"], order, keep=k, out="rank")
 
 
-def search(paragraphs: DataFrame, queries: DataFrame, k: int = K.CHAT_TOP_K) -> DataFrame:
+def search(paragraphs: DataFrame, queries: DataFrame, k: int = K.CHAT_TOP_K, index: DataFrame | None = None) -> DataFrame:
     """Hits with snippets. Texts are fetched for the hits only, without moving the paragraph table
-    when the hits are few enough to broadcast."""
-    hits = top_hits(scores(paragraphs, queries), k)
+    when the hits are few enough to broadcast. ``index``: a stored `term_index` of the paragraphs, for further batches of queries."""
+    hits = best_scores(stored(term_index(paragraphs), "term-index") if index is None else index, queries, k)
     few = is_small(queries, MAX_BROADCAST_HITS // k)
     texts = paragraphs.select("node_id", "paragraph_id", T.snippet(F.col("text")).alias("snippet"))
     return texts.join(_hint(hits, few), ["node_id", "paragraph_id"])
 
 
+def search_leaves(leaves: DataFrame, queries: DataFrame, k: int = K.CHAT_TOP_K, include_superseded: bool = False) -> DataFrame:
+    """`search` in the bodies of leaves. Superseded ones are neither found nor counted in the statistics, unless asked for."""
+    return search(leaf_paragraphs(visible_leaves(leaves, include_superseded)), queries, k)
+
+
 def citation_index(hits: DataFrame, turn: str, step: str, rank: str) -> DataFrame:
     """1-based number of each hit, running on through the lookups of a turn.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ from leafloom.functions import vectors as V
 from leafloom.operators import dedup, merging
 from leafloom.operators import similarity as S
 from leafloom.plans import fixtures as fx
-from leafloom.plans.registry import block, query
+from leafloom.plans.registry import BLOCKS, block, query
 from leafloom.plans.tree_queries import slug_sql
-from leafloom.session import Tables, cut_lineage
+from leafloom.session import Tables, cut_lineage, fresh_path
+from leafloom.sources.snapshots import SnapshotStore
 
 _SIG = r"regexp_replace(title || chr(10) || chr(10) || substr(regexp_replace(body, '^\s+|\s+$', '', 'g'), 1, 500), '^\s+|\s+$', '', 'g')"
 block("signed", f"SELECT *, {_SIG} AS signature, md5({_SIG}) AS sig FROM fx_leaf", "fx_leaf")
@@ -555,12 +558,186 @@ def _(t):
     return snapshot.join(old, "node_id", "left_semi").select("node_id", F.md5("body").alias("body_md5"), "content_hash", F.size("sources").alias("sources"))
 
 
-@query("apply_merge")
+def apply_sql(name: str, before: str, new: str, action: str) -> None:
+    """Blocks of the snapshot after one merge, ``<name>_after``: ``before`` with the actions of the leaves in ``new`` applied."""
+    n = name
+    base = slug_sql("x.title")
+    strip = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    section = f"'## Source ' || {{}} || ' (page ' || f.page || ')' || chr(10) || chr(10) || {strip.format('f.body')} || chr(10)"
+    bare = r"regexp_replace(string_split(node_id, '/')[-1], '^\d+-', '')"
+    # Of siblings, those there before keep their slugs; a new one takes its base, or the next number that is free.
+    slug = """
+SELECT x.*, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (
+  SELECT x.*, (SELECT count(*) FROM {n}_named o WHERE o.parent = x.parent AND (o.slug = x.base OR regexp_matches(o.slug, '^' || x.base || '-[0-9]+$')))
+         + row_number() OVER (PARTITION BY x.parent, x.base ORDER BY x.ord) AS n FROM ({rows}) x) x"""
+    block(f"{n}_named", f"SELECT parent, {bare} AS slug FROM {before} WHERE depth > 0", before)
+    block(
+        f"{n}_extra",
+        f"""
+SELECT target, count(*) AS n, string_agg(section, chr(10) ORDER BY ord) AS more FROM (
+  SELECT a.target, a.ord, {section.format('(t.sources + row_number() OVER (PARTITION BY a.target ORDER BY a.ord))')} AS section
+  FROM {action} a JOIN {new} f ON f.node_id = a.node_id JOIN {before} t ON t.node_id = a.target WHERE a.action = 'appended') GROUP BY target""",
+        action,
+        new,
+        before,
+    )
+    block(
+        f"{n}_opened",
+        f"""
+SELECT subject, node_id AS opener, title, "order", subject || '/' || format('{{:02d}}', "order") || '-' || slug AS path FROM ({slug.format(n=n, rows=f"""
+  SELECT x.subject, x.subject AS parent, x.node_id, x.title, x.ord, {base} AS base,
+         CAST(coalesce((SELECT max(o."order") FROM {before} o WHERE o.subject = x.subject AND o.depth = 1), 0) + row_number() OVER (PARTITION BY x.subject ORDER BY x.ord) AS INTEGER) AS "order"
+  FROM {new} x JOIN {action} a USING (node_id) WHERE a.action = 'added_chapter'""")})""",
+        f"{n}_named",
+        action,
+    )
+    block(
+        f"{n}_added",
+        f"""
+SELECT subject, parent || '/' || format('{{:02d}}', "order") || '-' || slug AS node_id, parent, "order", title, '## Source 1 (page ' || page || ')' || chr(10) || chr(10) || {strip.format('body')} || chr(10) AS body
+FROM ({slug.format(n=n, rows=f"""
+  SELECT x.*, {base} AS base, CAST(coalesce((SELECT max(o."order") FROM {before} o WHERE o.parent = x.parent AND o.depth = 2), 0) + row_number() OVER (PARTITION BY x.parent ORDER BY x.ord) AS INTEGER) AS "order"
+  FROM (SELECT f.*, coalesce(c.path, a.target) AS parent FROM {new} f JOIN {action} a USING (node_id) LEFT JOIN {n}_opened c ON c.opener = a.target WHERE a.action <> 'appended') x""")})""",
+        f"{n}_named",
+        f"{n}_opened",
+    )
+    block(
+        f"{n}_after",
+        rf"""
+SELECT t.subject, t.node_id, t.parent, t.depth, t."order", t.name, w.body, 'sha256:' || sha256(w.body) AS content_hash, CAST(t.sources + coalesce(m.n, 0) AS INTEGER) AS sources
+FROM {before} t LEFT JOIN {n}_extra m ON m.target = t.node_id,
+LATERAL (SELECT CASE WHEN m.more IS NULL THEN t.body ELSE regexp_replace(t.body, '\s+$', '') || chr(10) || chr(10) || m.more END AS body) w
+UNION ALL SELECT subject, path, subject, CAST(1 AS INTEGER), "order", title, '', 'sha256:' || sha256(''), CAST(0 AS INTEGER) FROM {n}_opened
+UNION ALL SELECT subject, node_id, parent, CAST(2 AS INTEGER), "order", title, body, 'sha256:' || sha256(body), CAST(1 AS INTEGER) FROM {n}_added""",
+        f"{n}_extra",
+        f"{n}_opened",
+        f"{n}_added",
+    )
+
+
+block("new_leaf", "SELECT subject, ord, node_id, title, body, ord % 90 + 1 AS page FROM fx_leaf WHERE is_new", "fx_leaf")
+block(
+    "fx_tree",
+    r"""
+SELECT subject, subject AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS INTEGER) AS depth, CAST(0 AS INTEGER) AS "order", subject AS name, '' AS body, 'sha256:' || sha256('') AS content_hash, CAST(0 AS INTEGER) AS sources
+FROM (SELECT DISTINCT subject FROM fx_chapter)
+UNION ALL SELECT c.subject, c.chapter_id, c.subject, CAST(1 AS INTEGER), c.ord, l.title, '', 'sha256:' || sha256(''), CAST(0 AS INTEGER)
+FROM fx_chapter c JOIN (SELECT subject, book_slug, arg_min(title, ord) AS title FROM fx_leaf WHERE NOT is_new GROUP BY subject, book_slug) l ON l.subject = c.subject AND l.book_slug = 'src' || (c.ord - 1)
+UNION ALL SELECT l.subject, l.node_id, c.chapter_id, CAST(2 AS INTEGER), CAST(l.ord AS INTEGER), l.title, w.body, 'sha256:' || sha256(w.body), CAST(1 AS INTEGER)
+FROM fx_leaf l JOIN fx_chapter c ON c.subject = l.subject AND 'src' || (c.ord - 1) = l.book_slug,
+LATERAL (SELECT '## Source 1 (page ' || (l.ord % 90 + 1) || ')' || chr(10) || chr(10) || regexp_replace(l.body, '^\s+|\s+$', '', 'g') || chr(10) AS body) w
+WHERE NOT l.is_new""",
+    "fx_chapter",
+    "fx_leaf",
+)
+apply_sql("merged", "fx_tree", "new_leaf", "action")
+_TREE_COLUMNS = 'subject, node_id, parent, depth, "order", name, content_hash'
+
+
+@query("apply_merge", f"SELECT {_TREE_COLUMNS}, sources FROM merged_after", ("merged_after",))
 def _(t):
     snapshot = merging.apply(existing_tree(t), new_leaves(t), actions(t), "2024-02-01T00:00:00Z")
     return snapshot.select("subject", "node_id", "parent", "depth", "order", "name", "content_hash", F.coalesce(F.size("sources"), F.lit(0)).alias("sources"))
 
 
+# --- merging as sources arrive: the first source makes the trees, the others are merged into what is there ---
+MERGED_AT = "2024-02-01T00:00:00Z"
+_HEADING = r"(?m)^## Source \d+ \([^\n)]*\)\n+"
+
+
+def arriving(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two deliveries of leaves: first the books with odd numbers, each a chapter named after its first leaf, then the others."""
+    page = F.array((F.col("ord") % 90 + 1).cast("int"))
+    rows = fx.leaves(t).withColumns({"pages": page, "paragraph_ids": F.array(F.lit(0)), "authority_rank": T.authority_rank(F.col("publisher"))})
+    names = rows.groupBy("subject", "book_slug").agg(F.min_by("title", "ord").alias("chapter"))
+    rows = rows.join(names, ["subject", "book_slug"])
+    return rows.filter("NOT is_new").drop("is_new"), rows.filter("is_new").drop("is_new")
+
+
+def first_chapter(leaves: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Stand-in for an external classifier: by a hash of the leaf, some go to the first chapter of their subject."""
+    some = leaves.filter(F.substring(F.md5("node_id"), 1, 1) <= "3")
+    first = chapters.groupBy("subject").agg(F.min("chapter_id").alias("chapter_id"))
+    return some.join(first, "subject").select("subject", "node_id", "chapter_id")
+
+
+block(
+    "emit_chapter",
+    f"""
+SELECT subject, book_slug, title, CAST("order" AS INTEGER) AS "order", subject || '/' || format('{{:02d}}', "order") || '-' || CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS path FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject, base ORDER BY first_ord) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY subject ORDER BY first_ord) AS "order", {slug_sql('title')} AS base FROM (
+      SELECT subject, book_slug, arg_min(title, ord) AS title, min(ord) AS first_ord FROM fx_leaf WHERE NOT is_new GROUP BY subject, book_slug)))""",
+    "fx_leaf",
+)
+block(
+    "emit_leaf",
+    rf"""
+SELECT x.subject, c.path || '/' || format('{{:02d}}', x."order") || '-' || CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS node_id, c.path AS parent, CAST(x."order" AS INTEGER) AS "order", x.title,
+       '## Source 1 (page ' || (x.ord % 90 + 1) || ')' || chr(10) || chr(10) || regexp_replace(x.body, '^\s+|\s+$', '', 'g') || chr(10) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY subject, book_slug, base ORDER BY ord) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject, book_slug ORDER BY ord) AS "order", {slug_sql('title')} AS base FROM fx_leaf WHERE NOT is_new)) x
+JOIN emit_chapter c USING (subject, book_slug)""",
+    "emit_chapter",
+)
+block(
+    "emit_after",
+    """
+SELECT DISTINCT subject, subject AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS INTEGER) AS depth, CAST(0 AS INTEGER) AS "order", subject AS name, '' AS body, 'sha256:' || sha256('') AS content_hash, CAST(0 AS INTEGER) AS sources FROM emit_chapter
+UNION ALL SELECT subject, path, subject, CAST(1 AS INTEGER), "order", title, '', 'sha256:' || sha256(''), CAST(0 AS INTEGER) FROM emit_chapter
+UNION ALL SELECT subject, node_id, parent, CAST(2 AS INTEGER), "order", title, body, 'sha256:' || sha256(body), CAST(1 AS INTEGER) FROM emit_leaf""",
+    "emit_leaf",
+)
+block(
+    "sm_leaf",
+    rf"""
+SELECT subject, ord, node_id, title, body, true AS is_new FROM new_leaf
+UNION ALL SELECT l.subject, c."order"::BIGINT * 4294967296 + l."order", l.node_id, l.name, regexp_replace(regexp_replace(l.body, '{_HEADING}', '', 'g'), '^\s+|\s+$', '', 'g'), false
+FROM emit_after l JOIN emit_after c ON c.node_id = l.parent WHERE l.depth = 2""",
+    "new_leaf",
+    "emit_after",
+)
+block("sm_chapter", r"""SELECT subject, node_id AS chapter_id, "order" AS ord, regexp_replace(string_split(node_id, '/')[-1], '^\d+-', '') AS slug FROM emit_after WHERE depth = 1""", "emit_after")
+
+
+def _again(names: list[str], prefix: str, leaf: str, chapter: str) -> None:
+    """The blocks of matching and planning once more, over other leaves and chapters."""
+    renamed = {n: f"{prefix}_{n}" for n in (*names, "first_action")} | {"fx_leaf": leaf, "fx_chapter": chapter}
+    table = re.compile(rf"\b(FROM|JOIN) ({'|'.join(sorted(renamed, key=len, reverse=True))})\b")
+    for n in names:
+        needs, body = BLOCKS[n]
+        block(renamed[n], table.sub(lambda m: f"{m[1]} {renamed[m[2]]}", body), *[renamed.get(x, x) for x in needs])
+
+
+_again(["signed", "sig_group", "slot_weight", "pair", "verdict", "decided", "best_match", "slug_match"], "sm", "sm_leaf", "sm_chapter")
+block(
+    "sm_first_action",
+    """
+SELECT s.subject, s.ord, s.node_id, CASE WHEN b.existing_node IS NOT NULL THEN 'appended' WHEN coalesce(e.chapter_id, m.chapter_id) IS NOT NULL THEN 'added_leaf' ELSE 'unplaced' END AS action,
+       coalesce(b.existing_node, e.chapter_id, m.chapter_id) AS target
+FROM sm_signed s LEFT JOIN (SELECT * FROM sm_best_match WHERE decision = 'duplicate') b ON b.subject = s.subject AND b.new_sig = s.sig
+LEFT JOIN sm_slug_match m ON m.subject = s.subject AND m.node_id = s.node_id
+LEFT JOIN (SELECT subject, min(chapter_id) AS chapter_id FROM sm_chapter GROUP BY subject) e ON e.subject = s.subject AND md5(s.node_id)[1] <= '3' WHERE s.is_new""",
+    "sm_best_match",
+    "sm_slug_match",
+)
+_again(["unplaced", "greedy", "action"], "sm", "sm_leaf", "sm_chapter")
+apply_sql("sm", "emit_after", "new_leaf", "sm_action")
+
+
+@query("stream_merge", f"SELECT {_TREE_COLUMNS} FROM sm_after", ("sm_after",))
+def _(t):
+    """The second delivery comes after a restart of the stream, and is merged with verdicts of a judge and choices of a classifier."""
+    from leafloom.streaming import ingest
+
+    root = fresh_path(t.spark, "trees")
+    for delivery in arriving(t):
+        delivery.write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(delivery.schema).parquet(f"{root}/in")
+        ingest.run_merge(stream, f"{root}/store", f"{root}/progress", MERGED_AT, verdicts, first_chapter)
+    return SnapshotStore(t.spark, f"{root}/store").read().select("subject", "node_id", "parent", "depth", "order", "name", "content_hash")
+
+
 # --- plug-ins -------------------------------------------------------------------------------------
 @query("embedder_plugin", f"SELECT subject, new_sig, existing_sig FROM pair WHERE similarity >= 0.99", ("pair",))
 def _(t):

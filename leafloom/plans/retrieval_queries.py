@@ -200,14 +200,10 @@ FROM query_term q JOIN posting p ON p.term = q.term AND (q.scope_key = 'all' OR
     ("query_term", "posting"),
 )
 def _(t):
+    """Counts per scope and term are summed before queries meet them, so a common term is one row per query, not one per paragraph."""
     asked = R.query_terms(queries(t))
-    found = R.postings(fx.paragraphs(t), asked).join(broadcast_when_small(asked), "term")
-    inside = (F.col("scope_key") == "all") | R.under(F.col("node_id"), F.col("scope_key"))
-    return (
-        found.filter(inside)
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("tf").alias("occurrences"))
-    )
+    counts = R.scope_counts(R.term_index(fx.paragraphs(t)), queries(t), R.is_small(asked))
+    return counts.join(broadcast_when_small(asked), ["scope_key", "term"]).select("query_id", "term", F.col("df").alias("paragraphs"), "occurrences")
 
 
 @query(

@@ -375,21 +375,3 @@ SELECT book, page, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS paragraph_
 def _(t):
     pages = fx.dirty_pages(StreamTables(t.spark, t.directory))
     return ingest.run_append(ingest.clean_and_split(pages, "text", K.GENERIC_PATTERNS, fx.LINES), "clean")
-
-
-@query("stream_merge")
-def _(t):
-    root = fresh_path(t.spark, "snapshots")
-    M.existing_tree(t).write.parquet(ingest.snapshot_path(root, 0))
-
-    def chapters_of(tree: DataFrame) -> DataFrame:
-        name = F.regexp_replace(T.last_segment(F.col("node_id")), r"^\d+-", "")
-        return tree.filter("depth = 1").select("subject", F.col("node_id").alias("chapter_id"), F.col("order").alias("ord"), name.alias("slug"))
-
-    def leaves_of(tree: DataFrame) -> DataFrame:
-        return tree.filter("depth = 2").select(F.col("order").cast("bigint").alias("ord"), "subject", "node_id", F.col("name").alias("title"), "body")
-
-    new = M.plain_new_leaves(StreamTables(t.spark, t.directory))
-    last = ingest.run_merge(new, root, chapters_of, leaves_of, f"{root}-progress", "2024-02-01T00:00:00Z")
-    tree = t.spark.read.parquet(ingest.snapshot_path(root, last))
-    return tree.select("subject", "node_id", "parent", "depth", "order", "name", "content_hash")

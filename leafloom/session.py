@@ -53,9 +53,14 @@ class Tables:
         return self._spread(df) if name == "documents" else df
 
     def _spread(self, df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-        """Text work is heavy, and one small file is one task: a scan with a single partition, which is one split of a file at most, is
-        dealt out. Any larger table is read as it is, without a shuffle. For a stream, ``scan`` is the table it reads."""
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if (scan or df).rdd.getNumPartitions() == 1 else df
+        """Text work is heavy, and a row group is one task at most, however many splits a scan makes of its file. A small scan, of up to four splits
+        per core, whose rows lie in fewer splits than there are cores is dealt out. Any larger table is read as it is, without a shuffle and
+        without the count. For a stream, ``scan`` is the table it reads."""
+        scan, cores = scan or df, self.spark.sparkContext.defaultParallelism
+        if scan.rdd.getNumPartitions() > 4 * cores:
+            return df
+        filled = scan.select(F.spark_partition_id().alias("_p")).distinct().count()  # reads footers only
+        return df.repartition(cores) if filled < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +91,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts the lineage like a checkpoint, and later reads take only the columns they need."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_when_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint only after counting the rows; otherwise the frame is left to a shuffle join."""
     small = df.limit(max_rows + 1).count() <= max_rows

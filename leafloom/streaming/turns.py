@@ -2,91 +2,79 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from leafloom.session import fresh_path
+from leafloom.streaming.state import drain, use_state_store
 
 OUTPUT = (
     "turn_id string, text string, tool_calls array<struct<id:string,query:string,hit_count:int,scope_label:string>>, "
     "citations array<struct<index:int,node:string>>, status string"
 )
+EVENT = "seq int, type string, id string, payload string, number int"
+LATE, IDLE_MS = "10 minutes", 600_000
 
 
-def _folded(turn_id: str, events: list[list], status: str) -> pd.DataFrame:
-    events = sorted(events)
-    results = {e[2]: e for e in events if e[1] == "tool-result"}
+def folded(turn_id: str, events: list[tuple], status: str) -> Row:
+    events = sorted(tuple(e) for e in events)
+    results = {ident: (label, hits) for _, kind, ident, label, hits in events if kind == "tool-result"}
     calls = []
     for _, kind, ident, payload, _ in events:
         if kind == "tool-call":
-            answer = results.get(ident)
-            calls.append({"id": ident, "query": payload, "hit_count": answer and answer[4], "scope_label": answer and answer[3]})
-    row = {
-        "turn_id": turn_id,
-        "text": "".join(e[3] for e in events if e[1] == "text-delta"),
-        "tool_calls": calls,
-        "citations": [{"index": e[4], "node": e[3]} for e in events if e[1] == "data-citation"],
-        "status": status,
-    }
-    return pd.DataFrame([row])
-
-
-DONE = "done"
-IDLE_MS = 600_000
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    kept = state.get[0] if state.exists else "[]"
-    frames = list(batches)
-    latest = max((int(b["ts"].max().timestamp() * 1000) for b in frames if len(b)), default=0)
-    seen = [] if kept == DONE else json.loads(kept)
-    if kept != DONE:
-        for batch in frames:
-            seen += batch[["seq", "type", "id", "payload", "number"]].values.tolist()
-        ended = any(e[1] == "finish" for e in seen)
-        kept = DONE if ended else json.dumps(seen)
-        yield _folded(key[0], seen, "complete" if ended else "streaming")
-    state.update((kept,))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
-
-
-def fold_stream(events: DataFrame) -> DataFrame:
-    """A turn as it stands after each batch that has events of it; the row with its ``finish`` is its last.
-
-    The state of a turn is its events so far; of a finished one it is a mark, so that late events do not open it again. Both leave the store
-    when the turn has been idle for ten minutes.
-    """
-    return (
-        events.withWatermark("ts", "10 minutes")
-        .groupBy("turn_id")
-        .applyInPandasWithState(_step, OUTPUT, "events string", "update", "EventTimeTimeout")
-    )
-
-
-def run_fold(events: DataFrame, out: str | None = None) -> DataFrame:
+            label, hits = results.get(ident, (None, None))
+            calls.append(Row(id=ident, query=payload, hit_count=hits, scope_label=label))
+    text = "".join(e[3] for e in events if e[1] == "text-delta")
+    citations = [Row(index=e[4], node=e[3]) for e in events if e[1] == "data-citation"]
+    return Row(turn_id=turn_id, text=text, tool_calls=calls, citations=citations, status=status)
+
+
+class TurnProcessor(StatefulProcessor):
+    """State of a turn: the list of its events, to which a batch appends its own and rewrites nothing. Of a finished turn only a mark stays, so that late events do
+    not open it again. Both leave the store when the turn has been idle for ten minutes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", EVENT)
+        self.turn = handle.getValueState("turn", "done boolean, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        done, timer = self.turn.get() if self.turn.exists() else (False, None)
+        fresh, last = [], 0
+        for r in rows:
+            fresh.append((r.seq, r.type, r.id, r.payload, r.number))
+            last = max(last, r.ms)
+        wake = max(timer or 0, last + IDLE_MS)
+        if wake != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wake)
+        ends = done or any(e[1] == "finish" for e in fresh)
+        if not done:
+            before = list(self.events.get()) if self.events.exists() else []
+            yield folded(key[0], before + fresh, "complete" if ends else "streaming")
+            if ends:
+                self.events.clear()
+            else:
+                self.events.appendList(fresh)
+        self.turn.update((ends, wake))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.events.clear()
+        self.turn.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame, late: str = LATE) -> DataFrame:
+    """A turn as it stands after each batch that has events of it; the row with its ``finish`` is its last."""
+    use_state_store(events.sparkSession)
+    rows = events.select("turn_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq", "type", "id", "payload", "number")
+    return rows.withWatermark("ts", late).groupBy("turn_id").transformWithState(TurnProcessor(), OUTPUT, "Update", "EventTime")
+
+
+def run_fold(events: DataFrame, out: str | None = None, late: str = LATE) -> DataFrame:
     """Drains a stream of events and returns the last row of every turn, finished or not."""
-    spark = events.sparkSession
-    out = out or fresh_path(spark, "turns")
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
-
-    query = (
-        fold_stream(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    rows = spark.read.option("basePath", f"{out}/data").schema(OUTPUT + ", batch long").parquet(f"{out}/data")
-    fields = [c for c in rows.columns if c not in ("batch", "turn_id")]
-    return rows.groupBy("turn_id").agg(F.max_by(F.struct(*fields), "batch").alias("_l")).select("turn_id", "_l.*")
+    return drain(fold_stream(events, late), OUTPUT, "turn_id", "turns", out, (F.col("status") == "complete").cast("int"))
