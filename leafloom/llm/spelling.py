@@ -17,6 +17,7 @@ left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -34,6 +35,9 @@ SHORTEST, FEWEST, RATIO = 7, 2, 10
 GROUPS = ("eqz", "tivk", "anwxj", "ohcgp", "rsdb")
 TILE = 2_000
 TILE_BYTES = 4_000_000
+LETTER_KINDS = 26 + 64  # a-z, U+00C0 to U+00FF
+PLACE = np.zeros(256, np.int64)
+PLACE[ord("a") : ord("z") + 1], PLACE[0xC0:] = np.arange(26), np.arange(26, 90)
 EXACT = 1_000  # letters up to which squared counts, and sums of two of them, are whole numbers of single precision
 
 
@@ -67,95 +71,140 @@ def steps_up() -> list[list[int]]:
     return [[0] * size, *unit, *moved]
 
 
-def tiles(vocabulary: DataFrame) -> DataFrame:
-    """word, n, block (array of counts), tile, tiles (of its block)."""
-    keyed = vocabulary.withColumn("block", F.array(*group_counts()))
-    length = F.aggregate("block", F.lit(0), lambda s, x: s + x)
+def tiles(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """word, n, block (a number), tile (within its block); and the blocks: block, letters (its counts), tiles."""
+    keyed = vocabulary.withColumn("letters", F.array(*group_counts()))
+    length = F.aggregate("letters", F.lit(0), lambda s, x: s + x)
     most = F.greatest(F.lit(1), F.least(F.lit(TILE), (TILE_BYTES / length).cast("int")))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("size")).select("block", F.ceil(F.col("size") / most).cast("int").alias("tiles"))
-    return keyed.join(sizes, "block").select("word", "n", "block", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int").alias("tile"), "tiles")
+    blocks = keyed.groupBy("letters").agg(F.count("*").alias("size"))
+    blocks = written(blocks.select(F.monotonically_increasing_id().alias("block"), "letters", F.ceil(F.col("size") / most).cast("int").alias("tiles")), "blocks")
+    return keyed.join(blocks, "letters").select("word", "n", "block", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int").alias("tile"), "tiles"), blocks
 
 
-def meetings(dealt: DataFrame) -> DataFrame:
-    """One row per word and pair of tiles it takes part in: pair (key), right (which side), word, n.
+PAIR = ["low", "low_tile", "high", "high_tile"]
+
+
+def meetings(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row per word and pair of tiles it takes part in: `PAIR`, right (which side), word, n.
 
     The word's own block gives pairs of tiles (i <= j); a block above gives tile i of the lower with tile j of the upper. The number of tiles
     of the other block comes by a join of blocks, which only has pairs of blocks that exist.
     """
-    blocks = dealt.select("block", "tiles").distinct()
-    up = blocks.select("block", F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps_up()])).alias("step"))
-    up = up.select("block", F.zip_with("block", "step", lambda a, b: a + b).alias("above"))
-    met = up.join(blocks.select(F.col("block").alias("above"), F.col("tiles").alias("above_tiles")), "above")
-    lower = met.groupBy("block").agg(F.collect_list(F.struct(F.lit(False).alias("right"), F.col("above").alias("other"), F.col("above_tiles").alias("others"))).alias("low"))
-    upper = met.where("block != above").join(blocks, "block").groupBy("above").agg(F.collect_list(F.struct(F.lit(True).alias("right"), F.col("block").alias("other"), F.col("tiles").alias("others"))).alias("high"))
-    both = lower.join(upper.withColumnRenamed("above", "block"), "block", "left").select("block", F.concat("low", F.coalesce("high", F.array())).alias("meets"))
+    up = blocks.select("block", "tiles", "letters", F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps_up()])).alias("step"))
+    up = up.select("block", "tiles", F.zip_with("letters", "step", lambda a, b: a + b).alias("letters"))
+    met = up.join(blocks.select("letters", F.col("block").alias("above"), F.col("tiles").alias("above_tiles")), "letters")
+    side = lambda own, right, other, others: met.select(F.col(own).alias("block"), F.struct(F.lit(right).alias("right"), F.col(other).alias("other"), F.col(others).alias("others")).alias("m"))
+    both = side("block", False, "above", "above_tiles").union(side("above", True, "block", "tiles").where("block != m.other"))
+    both = both.groupBy("block").agg(F.collect_list("m").alias("meets"))  # at most one per step and direction
     each = dealt.join(both, "block").select("word", "n", "block", "tile", F.explode("meets").alias("m"))
-    each = each.select("word", "n", "block", "tile", F.col("m.right").alias("right"), F.col("m.other").alias("other"), F.explode(F.sequence(F.lit(0), F.col("m.others") - 1)).alias("facing"))
+    each = each.select("word", "n", "block", "tile", "m.right", "m.other", F.explode(F.sequence(F.lit(0), F.col("m.others") - 1)).alias("facing"))
     same = F.col("block") == F.col("other")
     swapped = (same & (F.col("facing") < F.col("tile"))) | F.col("right")  # within a block the lower tile is left
-    low = F.when(swapped, F.concat_ws(",", "other", "facing")).otherwise(F.concat_ws(",", "block", "tile"))
-    high = F.when(swapped, F.concat_ws(",", "block", "tile")).otherwise(F.concat_ws(",", "other", "facing"))
-    return each.select(F.concat_ws("|", low, high).alias("pair"), swapped.alias("right"), "word", "n")
+    own, other = ("block", "tile"), ("other", "facing")
+    key = [F.when(swapped, F.col(theirs)).otherwise(F.col(mine)).alias(name) for name, mine, theirs in zip(PAIR, own + other, other + own, strict=True)]
+    return each.select(*key, swapped.alias("right"), "word", "n")
 
 
-class Tile:
-    """Letters of words of one length as a matrix, their letter counts, and their numbers of occurrences."""
+class Words:
+    """Rows of pairs of tiles, in order: letters, letter counts and squared lengths of all words at once."""
 
     def __init__(self, rows: pa.Table):
         self.words = rows.column("word").to_pylist()
         self.n = rows.column("n").to_numpy()
-        self.codes = np.frombuffer("".join(self.words).encode("latin-1"), np.uint8).reshape(len(self.words), -1)
-        exact = np.float32 if self.codes.shape[1] < EXACT else np.float64
-        self.counts = np.zeros((len(self.words), 256), exact)
-        np.add.at(self.counts, (np.arange(len(self.words))[:, None], self.codes), 1)
+        self.right = rows.column("right").to_numpy(zero_copy_only=False)
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.starts = np.append(0, np.cumsum(self.sizes))
+        self.codes = np.frombuffer("".join(self.words).encode("latin-1"), np.uint8)
+        place = np.repeat(np.arange(len(self.words)) * LETTER_KINDS, self.sizes) + PLACE[self.codes]
+        exact = np.float32 if self.sizes.max() < EXACT else np.float64
+        self.counts = np.bincount(place, minlength=len(self.words) * LETTER_KINDS).reshape(-1, LETTER_KINDS).astype(exact)
         self.norms = (self.counts * self.counts).sum(1)
-
-
-def near_pairs(x: Tile, y: Tile) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words in x and in y (as long or one letter longer) that are exactly one edit apart."""
-    used = np.flatnonzero(x.counts.any(0) | y.counts.any(0))
-    gram = x.counts[:, used] @ y.counts[:, used].T
-    more = y.codes.shape[1] - x.codes.shape[1]
-    i, j = np.nonzero(x.norms[:, None] + y.norms - 2 * gram == (1 if more else 2))
-    left, right, keep = x.codes, y.codes, []
-    size = left.shape[1]
-    for start in range(0, len(i), step := max(1, 8_000_000 // size)):
-        a, b = left[i[start : start + step]], right[j[start : start + step]]
-        if more:  # what agrees from the left and what agrees from the right cover the shorter word
-            head = np.logical_and.accumulate(a == b[:, :size], 1).sum(1)
-            tail = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], 1).sum(1)
-            keep.append(head + tail >= size)
-        else:
-            keep.append((a != b).sum(1) == 1)
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[keep], j[keep]
-
-
-def _found(pairs: pa.Table) -> pa.Table:
-    """Per word of the two tiles: near words found, and the most frequent of them (ties: the least)."""
-    right = pairs.column("right").to_numpy(zero_copy_only=False)
-    apart = right.any() and not right.all()
-    x = Tile(pairs.filter(pa.array(~right)) if apart else pairs)
-    y = Tile(pairs.filter(pa.array(right))) if apart else x
-    key = pairs.column("pair")[0].as_py()
-    low, high = key.split("|")
-    out: dict = {"word": [], "n_near": [], "form_n": [], "form": []}
-    if apart or low == high:
-        i, j = near_pairs(x, y)
-        for own, other, mine, theirs in ((i, j, x, y), *([(j, i, y, x)] if apart else [])):
-            order = np.lexsort((np.argsort(np.argsort(theirs.words))[other], -theirs.n[other], own))
-            own, other = own[order], other[order]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            out["word"] += [mine.words[k] for k in own[first].tolist()]
-            out["n_near"] += np.diff(np.append(first, len(own))).tolist()
-            out["form_n"] += theirs.n[other[first]].tolist()
-            out["form"] += [theirs.words[k] for k in other[first].tolist()]
-    return pa.table(out, schema=pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form_n", pa.int64()), ("form", pa.string())]))
+        keys = [rows.column(c).to_numpy() for c in PAIR]
+        new = np.logical_or.reduce([np.diff(k, prepend=k[0] - 1) != 0 for k in keys])
+        self.firsts = np.flatnonzero(new)
+        self.itself = (keys[0] == keys[2]) & (keys[1] == keys[3])
+
+    def letters(self, start: int, stop: int) -> np.ndarray:
+        return self.codes[self.starts[start] : self.starts[stop]].reshape(stop - start, -1)
+
+    def near(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of near words, each pair in both directions."""
+        own, other = [], []
+        for start, stop in zip(self.firsts.tolist(), [*self.firsts[1:].tolist(), len(self.words)], strict=True):
+            middle = start if self.itself[start] else start + int(np.searchsorted(self.right[start:stop], True))
+            if self.itself[start]:
+                i, j = self.compare(start, stop, start, stop)
+                own.append(i)
+                other.append(j)
+            elif start < middle < stop:
+                i, j = self.compare(start, middle, middle, stop)
+                own += [i, j]
+                other += [j, i]
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(own or none), np.concatenate(other or none)
+
+    def compare(self, a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words a..b with words c..d, which are as long or one letter longer: places of those exactly one edit apart."""
+        more = int(self.sizes[c] - self.sizes[a])
+        gram = self.counts[a:b] @ self.counts[c:d].T
+        gram *= -2
+        gram += self.norms[a:b, None]
+        gram += self.norms[c:d]
+        i, j = np.nonzero(gram == (1 if more else 2))
+        if not len(i):
+            return i, j
+        left, right, keep = self.letters(a, b), self.letters(c, d), []
+        size = left.shape[1]
+        for at in range(0, len(i), step := max(1, 8_000_000 // size)):
+            x, y = left[i[at : at + step]], right[j[at : at + step]]
+            if more:  # what agrees from the left and what agrees from the right cover the shorter word
+                head = np.logical_and.accumulate(x == y[:, :size], 1).sum(1)
+                tail = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], 1).sum(1)
+                keep.append(head + tail >= size)
+            else:
+                keep.append((x != y).sum(1) == 1)
+        keep = np.concatenate(keep)
+        return i[keep] + a, j[keep] + c
+
+    def found(self) -> pa.RecordBatch:
+        """Per row with near words: how many, and the most frequent of them (ties: the least)."""
+        own, other = self.near()
+        used, place = np.unique(other, return_inverse=True)
+        names = [self.words[k] for k in used.tolist()]
+        rank = np.empty(len(used), np.int64)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        order = np.lexsort((rank[place], -self.n[other], own))
+        own, other = own[order], other[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        columns = [
+            pa.array([self.words[k] for k in own[first].tolist()], pa.string()),
+            pa.array(np.diff(np.append(first, len(own))), pa.int64()),
+            pa.array(self.n[other[first]], pa.int64()),
+            pa.array([self.words[k] for k in other[first].tolist()], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n_near", "form_n", "form"])
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tiles come one after the other; the last of a batch waits for the rest of its rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = [rows.column(c).to_numpy() for c in PAIR]
+        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield Words(rows.slice(0, cut)).found()
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield Words(pa.Table.from_batches(held)).found()
 
 
 def near(vocabulary: DataFrame) -> DataFrame:
     """word, n_near, and the best near word (form, form_n) of every word that has one."""
-    found = meetings(tiles(vocabulary)).groupBy("pair").applyInArrow(_found, "word string, n_near long, form_n long, form string")
+    met = meetings(*tiles(vocabulary))
+    found = met.repartition(*PAIR).sortWithinPartitions(*PAIR, "right").mapInArrow(_search, "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("best.less")).alias("form_n"), F.col("best.form").alias("form"))
 
@@ -163,6 +212,8 @@ def near(vocabulary: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
     spark = ready(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     vocabulary = written(words(docs), "vocabulary")
     full = F.col("form_n") >= RATIO * F.col("n")
     rows = vocabulary.join(near(vocabulary), "word", "left").select("word", F.when(full, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(full, F.col("form_n")).alias("form_n"))
