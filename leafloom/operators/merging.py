@@ -34,17 +34,50 @@ def title_tokens(rows: DataFrame, keys: list[str], slug: Column) -> DataFrame:
     return rows.select(*keys, F.explode(F.array_distinct(F.split(slug, "-"))).alias("token"))
 
 
-def match_chapter(leaves: DataFrame, chapters: DataFrame) -> DataFrame:
+#: A word of more chapters of a subject than this is common: it is not used to pair leaves with chapters.
+COMMON_WORD = 32
+
+
+def match_chapter(leaves: DataFrame, chapters: DataFrame, common: int = COMMON_WORD) -> DataFrame:
     """Per leaf the chapter whose slug shares most words with its title; the first chapter wins ties.
 
-    Counts combine per leaf before the shuffle, because the words of one leaf lie in one partition.
+    Leaves meet chapters at rare words only, at most ``common`` per word, and shared words are then counted whole. A chapter that shares only common words
+    with a leaf is one of three: it may share two or more, then so does every chapter with the same set of common words, of which the first stands for all, and
+    leaves are compared by sets as well; it may share one, then the first chapter with the word is the best of its kind; or none. So a word that all chapters have
+    costs a row per leaf.
     """
     keys = ["subject", "node_id"]
-    words = title_tokens(leaves, keys, slugs.slugify(F.col("title")))
-    names = title_tokens(chapters, ["subject", "chapter_id", F.col("ord").alias("_ord")], F.col("slug"))
-    shared = words.join(names, ["subject", "token"]).groupBy(*keys, "chapter_id", "_ord").agg(F.count(F.lit(1)).alias("shared"))
-    best = F.max_by(F.struct("chapter_id", "shared"), F.struct("shared", -F.col("_ord")))
-    return shared.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    names = cut_lineage(title_tokens(chapters, ["subject", "chapter_id", F.col("ord").alias("_ord")], F.col("slug")))
+    words = names.groupBy("subject", "token").agg(F.count(F.lit(1)).alias("_df"), F.min_by(F.struct("_ord", "chapter_id"), "_ord").alias("_first"))
+    words = cut_lineage(words.withColumn("_common", F.col("_df") > common))
+    known = words.select("subject", "token", "_common")
+    split = lambda rows, by: rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list("token")).alias("_words"), F.array_sort(F.collect_list(F.when(F.col("_common"), F.col("token")))).alias("_set")
+    )
+    titles = title_tokens(leaves, keys, slugs.slugify(F.col("title"))).join(known, ["subject", "token"])
+    titles = cut_lineage(split(titles, keys))
+    slugs_of = split(names.join(known, ["subject", "token"]), ["subject", "chapter_id", "_ord"])
+
+    # Rare words: at most `common` chapters each.
+    rare = slugs_of.select("subject", "chapter_id", "_ord", "_words", "_set", F.explode(F.array_except("_words", "_set")).alias("token"))
+    met = titles.select(*keys, F.col("_words").alias("_mine"), F.explode(F.array_except("_words", "_set")).alias("token")).join(rare, ["subject", "token"])
+    found = met.select(*keys, "chapter_id", "_ord", F.size(F.array_intersect("_mine", "_words")).alias("shared"))
+
+    # Two common words or more: sets of common words meet at pairs of words, and one leaf and one chapter stand for those with the same set.
+    pairs = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    sets = slugs_of.filter(F.size("_set") > 1).groupBy("subject", "_set").agg(F.min(F.struct("_ord", "chapter_id")).alias("_first"))
+    asked = titles.filter(F.size("_set") > 1).select("subject", F.col("_set").alias("_own")).distinct()
+    met = asked.select("subject", "_own", F.explode(pairs(F.col("_own"))).alias("_pair")).join(sets.select("subject", "_set", "_first", F.explode(pairs(F.col("_set"))).alias("_pair")), ["subject", "_pair"])
+    of_set = met.select("subject", "_own", "_first", F.size(F.array_intersect("_own", "_set")).alias("shared"))
+    best = F.max_by(F.struct("_first", "shared"), F.struct("shared", -F.col("_first._ord")))
+    of_set = of_set.groupBy("subject", "_own").agg(best.alias("_b")).select("subject", F.col("_own").alias("_set"), "_b.*")
+    found = found.union(titles.join(of_set, ["subject", "_set"]).select(*keys, "_first.chapter_id", "_first._ord", "shared"))
+
+    # One common word.
+    one = titles.select(*keys, F.explode("_set").alias("token")).join(words.select("subject", "token", "_first"), ["subject", "token"])
+    found = found.union(one.select(*keys, "_first.chapter_id", "_first._ord", F.lit(1).alias("shared")))
+    best = F.max_by(F.struct("chapter_id", F.col("shared").cast("bigint").alias("shared")), F.struct("shared", -F.col("_ord")))
+    return found.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def choose_chapter(leaves: DataFrame, by_slug: DataFrame, external: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 The text is read once, into an index of term counts per paragraph; statistics, bounds and scores come from the index. The best k of a query are found
 with upper bounds: a term adds at most its weight times the greatest saturation that it reaches in the scope. Ordered by that bound, the first terms
 of a query give a first k paragraphs, whose whole scores give a threshold. Terms whose bounds, summed from the end of the order, stay below the threshold
-cannot bring a paragraph into the first k: only paragraphs with one of the other terms are looked at, and only those whose partial score and
-the bounds of what is missing reach the threshold are scored in full. The result is exact.
+cannot bring a paragraph into the first k. The last of them, the commonest words, are left out of the partial scores, and only paragraphs whose partial score and
+the bounds of what is missing reach the threshold are scored in full: few more than k. The result is exact.
 
 Tables: paragraphs ``(node_id, paragraph_id, page, text)``; queries ``(query_id, scope_key, text)`` where
 ``scope_key`` is ``all`` or the path of a subject, chapter or leaf.
@@ -220,6 +220,7 @@ def score_of(index: DataFrame, pairs: DataFrame, weights: DataFrame, few: bool,
     return _total(rows.join(_hint(weights, small), ["query_id", "term"]).withColumn("part", part))
 
 
+UNSEEN = 0.3  # share of the threshold that terms which are not looked at may reach together
 PROBE = 16  # postings per asked-for hit that the first look at a query's terms may take
 
 
@@ -237,18 +238,28 @@ def candidates(index: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame,
         "query-terms",
     )
     first = _met(index, weights.filter(F.col("before") < PROBE * k), small).groupBy("query_id", *PARAGRAPH).agg(F.sum("part").alias("score"))
-    probe = stored(top_hits(first, k), "probe")
-    few = is_small(probe)
-    reached = top_hits(score_of(index, probe, weights, few, small), k).filter(F.col("rank") == k)
-    # Scores that are equal after rounding count as equal, so a paragraph is out only if it stays below by more than that.
-    least = stored(queries.select("query_id").join(reached.select("query_id", (F.col("score") - 10.0**-SCORE_DIGITS).alias("least")), "query_id", "left"), "thresholds")
+    least = _thresholds(index, queries, top_hits(first, k), weights, k, small)
     bounded = weights.join(_hint(least, is_small(least)), "query_id")
-    needed = bounded.filter(F.col("least").isNull() | (F.col("rest") >= F.col("least")))
-    left = bounded.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("rest") < F.col("least"), F.col("rest"))), F.lit(0.0)).alias("left"), F.first("least").alias("least"))
+    # Looked at are the terms down to a share of the threshold; what the others can add is then small, and few partial scores come near it.
+    cut = UNSEEN * F.col("least")
+    needed = bounded.filter(F.col("least").isNull() | (F.col("rest") >= cut))
+    left = bounded.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("rest") < cut, F.col("rest"))), F.lit(0.0)).alias("left"), F.first("least").alias("least"))
     partial = _met(index, needed.select(*weights.columns), small).groupBy("query_id", "node_id", "paragraph_id").agg(F.sum("part").alias("_sum"))
     reach = F.col("least").isNull() | (F.col("_sum") + F.col("left") >= F.col("least"))
-    found = partial.join(_hint(left, small), "query_id").filter(reach).select("query_id", "node_id", "paragraph_id")
-    return stored(found, "candidates"), weights, small
+    found = stored(partial.join(_hint(left, small), "query_id").filter(reach).select("query_id", "node_id", "paragraph_id", "_sum", "left"), "reached")
+    # Partial scores are nearly whole now, so their best give a threshold close to the last score that counts.
+    least = _thresholds(index, queries, top_hits(found.withColumn("score", F.col("_sum")), k), weights, k, small)
+    kept = found.join(_hint(least, is_small(least)), "query_id").filter(F.col("least").isNull() | (F.col("_sum") + F.col("left") >= F.col("least")))
+    return stored(kept.select("query_id", "node_id", "paragraph_id"), "candidates"), weights, small
+
+
+def _thresholds(index: DataFrame, queries: DataFrame, chosen: DataFrame, weights: DataFrame, k: int, small: bool) -> DataFrame:
+    """``(query_id, least)``: what a paragraph must reach to be among the best ``k``, from the whole scores of some paragraphs; null where fewer than ``k`` score."""
+    chosen = stored(chosen, "chosen")
+    reached = top_hits(score_of(index, chosen, weights, is_small(chosen), small), k).filter(F.col("rank") == k)
+    # Scores that are equal after rounding count as equal, so a paragraph is out only if it stays below by more than that.
+    least = reached.select("query_id", (F.col("score") - 10.0**-SCORE_DIGITS).alias("least"))
+    return stored(queries.select("query_id").distinct().join(least, "query_id", "left"), "thresholds")
 
 
 def best_scores(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -21,7 +21,8 @@ TREE = "doc_id"
 # --- chapters -------------------------------------------------------------------------------------
 def chapter_ranges(bookmarks: DataFrame, documents: DataFrame) -> DataFrame:
     """Page range of every top-level bookmark: up to the page before the next one, or to the last page."""
-    top = valid_bookmarks(bookmarks).filter(F.col("level") == 1).select(TREE, "title", "page")
+    # Read twice by the next row's window, so the narrow frame is written once.
+    top = cut_lineage(valid_bookmarks(bookmarks).filter(F.col("level") == 1).select(TREE, "title", "page"))
     following = ordered.neighbour(top, [TREE], "page", {"next_page": F.col("page")}, step=1, tie=["title"])
     last = F.greatest("page", F.coalesce(F.col("next_page") - 1, F.col("page_count")))
     return following.join(documents.select(TREE, "page_count"), TREE).select(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,39 +141,69 @@ _NUMBERED = r"^(.+)-(?:[2-9]|[1-9]\d+)$"
 def unique_slugs(rows: DataFrame, group: list[str], order: str, base: str = "base") -> DataFrame:
     """Adds ``slug``: the base, or in order base-2, base-3 and so on, the first one free in the group.
 
-    A base only competes with the same base, unless another base of the group reads like one of its
-    numbered forms (``a`` and ``a-2``). The usual case is a count per base; only rows of such linked bases
-    are folded in order, one family at a time.
+    A base only competes with the same base, and with a base of the group that reads like one of its numbered forms (``a-2``, a child of ``a``). Which numbers the
+    children take from it is settled first; then the n-th row of a base gets the n-th number that is left, by a running count of taken
+    numbers. All of it is counts over blocks of an integer order, so a base of very many rows is spread.
     """
-    bases = rows.select(*group, F.col(base).alias("_b")).distinct()
-    stems = bases.withColumn("_s", F.regexp_extract("_b", _NUMBERED, 1)).filter(F.col("_s") != "")
-    links = stems.join(bases.select(*group, F.col("_b").alias("_s")), [*group, "_s"], "left_semi")
-    linked = links.select(*group, F.col("_b").alias(base)).union(links.select(*group, F.col("_s").alias(base))).distinct()
-    plain = ordered.ordinal(rows.join(linked, [*group, base], "left_anti"), [*group, base], order, "_n")
-    plain = plain.withColumn(
-        "slug", F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), (F.col("_n") + 1).cast("string")))
-    ).drop("_n")
-    family = rows.join(linked, [*group, base], "left_semi").withColumn(
-        "_family", F.regexp_replace(F.col(base), r"(?:-(?:[2-9]|[1-9]\d+))+$", "")
+    keys = [*group, base]
+    ranked = cut_lineage(ordered.ordinal(rows, keys, order, "_n"))
+    bases = ranked.groupBy(*keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    links = _numbered_children(bases, group, base)
+    if links.isEmpty():
+        return ranked.withColumn("slug", _numbered_slug(F.col(base), F.col("_n") + 1)).drop("_n")
+    taken, lost = _settled_numbers(ranked, links, group, base, order)
+    # Row n of a base that lost its bare form to its stem is one number further.
+    placed = ranked.join(lost.withColumn("_lost", F.lit(1)), keys, "left").withColumn("_p", F.col("_n") + F.coalesce("_lost", F.lit(0)))
+    # The i-th number k that is taken lies behind k - 1 - i free ones, so it moves every later place by one.
+    marks = ordered.ordinal(taken, keys, "_k", "_i").withColumn("_at", 2 * (F.col("_k") - 2 - F.col("_i")) + 1)
+    marks = marks.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_weight"))
+    both = placed.withColumns({"_at": 2 * F.col("_p"), "_weight": F.lit(0).cast("bigint")}).unionByName(marks, allowMissingColumns=True)
+    moved = ordered.prefix_sum(both, keys, "_at", F.col("_weight"), "_moved").filter(F.col("_p").isNotNull())
+    return moved.withColumn("slug", _numbered_slug(F.col(base), F.col("_p") + 1 + F.col("_moved"))).select(*rows.columns, "slug")
+
+
+def _numbered_slug(base: Column, number: Column) -> Column:
+    return F.when(number == 1, base).otherwise(F.concat(base, F.lit("-"), number.cast("string")))
+
+
+def _numbered_children(bases: DataFrame, group: list[str], base: str) -> DataFrame:
+    """``(group, stem, _k, child, _first)`` of each base that reads like number ``_k`` of another one that could come that far."""
+    stem = F.regexp_extract(base, _NUMBERED, 1)
+    child = bases.withColumns({"_stem": stem, "_k": F.regexp_extract(base, r"-(\d+)$", 1).try_cast("bigint")}).filter((F.col("_stem") != "") & F.col("_k").isNotNull())
+    return cut_lineage(
+        child.join(bases.select(*group, F.col(base).alias("_stem")), [*group, "_stem"]).select(*group, "_stem", "_k", F.col(base).alias("_child"), "_first")
     )
-    schema = family.withColumn("slug", F.lit("")).schema
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        upcoming: dict[str, int] = {}
-        issued = []
-        rows = rows.sort_values(order)
-        for wanted in rows[base]:
-            name, number = wanted, upcoming.get(wanted, 2)
-            while name in taken:
-                name, number = f"{wanted}-{number}", number + 1
-            upcoming[wanted] = number
-            taken.add(name)
-            issued.append(name)
-        return rows.assign(slug=issued)
-
-    mixed = family.groupBy(*group, "_family").applyInPandas(fold, schema).drop("_family")
-    return plain.unionByName(mixed.select(*plain.columns))
+
+
+def _settled_numbers(ranked: DataFrame, links: DataFrame, group: list[str], base: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers that the children of a base take from it, ``(group, base, _k)``, and the children that come too late for it, ``(group, base)``.
+
+    A child takes its number if its first row comes before the row of the stem that would. Which row that is depends on the numbers below that are taken, so
+    bounds on these are narrowed until they meet: with more of them taken it is an earlier row. Stems come before their children, as a child may lose its bare form.
+    """
+    stem = [*group, "_stem"]
+    times = ranked.select(*group, F.col(base).alias("_stem"), F.col("_n").alias("_row"), F.col(order).alias("_time"))
+    links = links.select("*", F.lit(0).cast("bigint").alias("_low"), F.lit(1).cast("bigint").alias("_high"))
+    waiting, taken, lost = links, [], []
+    late = links.select(*group, "_child").limit(0)
+    while not waiting.isEmpty():
+        inner = waiting.select(*group, F.col("_child").alias("_stem"))
+        level = cut_lineage(waiting.join(inner, stem, "left_anti").join(late.select(*group, F.col("_child").alias("_stem")).withColumn("_late", F.lit(1)), stem, "left"))
+        waiting = cut_lineage(waiting.join(inner, stem, "left_semi"))
+        while True:
+            level = ordered.prefix_sum(level, stem, "_k", F.col("_low"), "_fewest")
+            level = ordered.prefix_sum(level, stem, "_k", F.col("_high"), "_most")
+            for bound, below in (("_low", "_most"), ("_high", "_fewest")):
+                row = F.col("_k") - 1 - F.col(below) - F.coalesce("_late", F.lit(0))
+                level = level.withColumn("_row", row).join(times, [*stem, "_row"], "left")
+                level = level.withColumn(bound, F.coalesce(F.col("_first") < F.col("_time"), F.lit(True)).cast("bigint")).drop("_row", "_time")
+            level = cut_lineage(level.drop("_fewest", "_most"))
+            if level.filter("_low != _high").isEmpty():
+                break
+        late = level.filter("_low = 0").select(*group, "_child")
+        taken.append(level.filter("_low = 1").select(*group, F.col("_stem").alias(base), "_k"))
+        lost.append(late.select(*group, F.col("_child").alias(base)))
+    return functools.reduce(DataFrame.unionByName, taken), functools.reduce(DataFrame.unionByName, lost)
 
 
 def emit_node_ids(nodes: DataFrame, tree: str, subject: Column) -> DataFrame:

@@ -49,6 +49,8 @@ def merge_batch(batch: DataFrame, store: SnapshotStore, base: int | None, versio
     neither read nor written.
     """
     new = stored(batch.withColumn("_key", subject_key(F.col("subject"))), "batch")
+    if new.isEmpty():
+        return
     keys = new.select(F.col("_key").alias("subject_key")).distinct()
     before = store.read(base, keys) if base is not None else store.spark.createDataFrame([], SCHEMA)
     known = before.filter("depth = 0").select(subject_key(F.col("subject")).alias("_key")).distinct()

@@ -201,3 +201,41 @@ def test_chapter_match_needs_a_shared_word(spark):
     chapters = spark.createDataFrame([("s", "c1", 1, "climate"), ("s", "c2", 2, "rivers")], "subject string, chapter_id string, ord int, slug string")
     got = {r.node_id: r.chapter_id for r in merging.choose_chapter(leaves, merging.match_chapter(leaves, chapters)).collect()}
     assert got == {"n1": "c1", "n2": None}
+
+
+@pytest.mark.parametrize("common", [0, 1, 3, 1000])
+def test_chapter_match_with_common_words(spark, common):
+    rng = random.Random(common)
+    hot, cold = ["history", "of", "india", "state"], WORDS + [f"rare{chr(97 + i)}" for i in range(20)]
+    slug = lambda: "-".join(dict.fromkeys(rng.sample(hot, rng.randint(0, 4)) + rng.choices(cold, k=rng.randint(0, 3)))) or "none"
+    chapters = [(s, f"{s}/c{i}", (i * 7) % 60, slug()) for s in "xy" for i in range(60)]
+    leaves = [(s, f"{s}/n{i}", slug().replace("-", " ")) for s in "xyz" for i in range(80)] + [("x", "x/hot", "history of india")]
+    got = merging.match_chapter(spark.createDataFrame(leaves, "subject string, node_id string, title string"), spark.createDataFrame(chapters, "subject string, chapter_id string, ord int, slug string"), common)
+    want = []
+    for s, node, title in leaves:
+        words = set(title.split())
+        best = max(((len(words & set(c[3].split("-"))), -c[2], c[1]) for c in chapters if c[0] == s), default=(0, 0, ""))
+        if best[0]:
+            want.append((s, node, best[2], best[0]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_a_word_of_all_chapters_forms_no_pairs(spark):
+    """Leaves times chapters would be four million rows; the rows of every join are counted in the final plan."""
+    chapters = spark.range(2000).select(F.lit("s").alias("subject"), F.concat(F.lit("c"), "id").alias("chapter_id"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("history-of-"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("slug"))
+    leaves = spark.range(2000).select(F.lit("s").alias("subject"), F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("History of x"), "id").alias("title"))
+    out = merging.match_chapter(leaves, chapters)
+    assert {(r.chapter_id, r.shared) for r in out.collect()} == {("c0", 2)}
+    most, todo = 0, [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            most = max(most, metric.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 2000 <= most < 20_000

@@ -112,3 +112,38 @@ def test_node_ids(spark):
     got = {r.node_key: (r.node_id, r.parent, r.depth) for r in trees.emit_node_ids(spark.createDataFrame(rows, NODES), "doc_id", F.lit("geo")).collect()}
     assert got["b"] == ("geo/02-same-2", "geo", 1)
     assert got["c"] == ("geo/02-same-2/01-deep-one", "geo/02-same-2", 2)
+
+
+def greedy(wanted):
+    taken, upcoming, out = set(), {}, []
+    for base in wanted:
+        name, number = base, upcoming.get(base, 2)
+        while name in taken:
+            name, number = f"{base}-{number}", number + 1
+        upcoming[base] = number
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_slugs_of_linked_families(spark, seed):
+    """Bases that read like each other's numbered forms, several levels deep, in any order."""
+    rng, rows, want = random.Random(seed), [], []
+    for g in range(25):
+        names = ["a", "a-2", "a-3", "a-2-2", "a-2-3", "a-2-2-2", "a-4", "a-12", "a-02", "a-1", "b", "b-99999999999999999999", "c-2"]
+        wanted = rng.choices(names, weights=[rng.choice([1, 3, 9]) for _ in names], k=rng.randint(1, 60))
+        rows += [(g, i * 3 - 5, b) for i, b in enumerate(wanted)]
+        want += [(g, i * 3 - 5, b) for i, b in enumerate(greedy(wanted))]
+    got = trees.unique_slugs(spark.createDataFrame(rows, "g int, o long, base string"), ["g"], "o")
+    assert sorted((r.g, r.o, r.slug) for r in got.collect()) == sorted(want)
+
+
+def test_unique_slugs_of_one_large_family(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("o"), F.when(F.col("id") % 10 == 7, F.concat(F.lit("a-"), (F.col("id") % 50_000 + 2).cast("string"))).otherwise("a").alias("base"))
+    out = trees.unique_slugs(rows, ["g"], "o")
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    got = [r.slug for r in out.orderBy("o").select("slug").collect()]
+    assert got == greedy([r.base for r in rows.orderBy("o").collect()])
