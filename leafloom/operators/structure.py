@@ -6,13 +6,14 @@ nodes ``(doc_id, node_key, parent_key, ord, depth, title, description, paragraph
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import ordered
 from leafloom.session import cut_lineage
+from leafloom.sources.snapshots import SnapshotStore
 from leafloom.sources.tables import valid_bookmarks
 
 TREE = "doc_id"
@@ -130,11 +131,34 @@ def coverage(nodes: DataFrame, paragraphs: DataFrame, threshold: float = K.COVER
     return rows.withColumn("coverage", share).withColumn("ok", F.col("coverage") >= threshold)
 
 
+class CoverageError(ValueError):
+    """A tree leaves out too much of its source."""
+
+
 def require_coverage(result: DataFrame) -> None:
     """Stops the run when any tree is below the threshold. Looks at one failing row at most."""
     failed = result.filter(~F.col("ok")).limit(1).collect()
     if failed:
-        raise ValueError(f"coverage {failed[0]['coverage']:.3f} of tree {failed[0][TREE]} is too low")
+        raise CoverageError(f"coverage {failed[0]['coverage']:.3f} of tree {failed[0][TREE]} is too low")
+
+
+def commit_covered(store: SnapshotStore, rows: DataFrame, result: DataFrame, version: int, base: int | None) -> None:
+    """Commits snapshot rows, with their tree in ``doc_id``, unless a tree among them is below the threshold in ``result``, or is not in it.
+
+    The trees that fail are counted by the job that writes the rows, so nothing is computed for the check alone, and the version counts only
+    if there are none.
+    """
+    seen = Observation("coverage")
+    ok = F.coalesce("_ok", F.lit(False))
+    gated = rows.join(result.select(TREE, F.col("ok").alias("_ok"), F.col("coverage").alias("_coverage")), TREE, "left")
+    gated = gated.observe(seen, F.count_if(~ok).alias("failed"), F.min(F.when(~ok, F.struct(F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), F.col(TREE).cast("string").alias("tree")))).alias("least"))
+
+    def check() -> None:
+        found = seen.get
+        if found["failed"]:
+            raise CoverageError(f"coverage {found['least']['coverage']:.3f} of tree {found['least']['tree']} is too low; version {version} is not committed")
+
+    store.commit(gated, version, base, check)
 
 
 # --- checks ---------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from leafloom.streaming import ingest, jobs, turns
 )
 def _(t):
     out = fresh_path(t.spark, "texts")
-    t("documents").select("source", "text").repartition("source").write.partitionBy("source").text(out)
+    t("documents").select("source", "text").write.partitionBy("source").text(out)
     rows = files.load_text_sources(t.spark, out)
     source = F.regexp_extract("source_path", "source=([^/]+)/", 1)
     return rows.groupBy(source.alias("source"), "page").agg(
@@ -75,9 +75,10 @@ SELECT subject, node_id, parent, depth, "order", name, description, CASE WHEN is
     ("skill_row",),
 )
 def _(t):
+    """Written as one Markdown file per node and read back by path."""
     out = fresh_path(t.spark, "markdown")
-    sinks.write_markdown(tree_rows(t), out)
-    rows = files.load_skill_records(t.spark, out)
+    sinks.write_skill_folder(tree_rows(t), out)
+    rows = files.load_skill_folder(t.spark, out)
     pages = F.flatten(F.transform(F.coalesce("sources", F.array().cast(rows.schema["sources"].dataType)), lambda s: s["pages"]))
     return rows.select(
         "subject", "node_id", "parent", "depth", "order", "name", "description", "publisher",

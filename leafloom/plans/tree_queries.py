@@ -12,8 +12,9 @@ from leafloom.operators import structure as S
 from leafloom.operators import trees
 from leafloom.plans import fixtures as fx
 from leafloom.plans.registry import block, query
-from leafloom.session import Tables
+from leafloom.session import Tables, cut_lineage, fresh_path
 from leafloom.sources import tables as src
+from leafloom.sources.snapshots import SnapshotStore
 
 
 def doc_pages(t: Tables) -> DataFrame:
@@ -166,6 +167,34 @@ def _(t):
     return S.coverage(fx.nodes(t), paras(t)).withColumn("coverage", F.round("coverage", 6))
 
 
+@query(
+    "coverage_gate",
+    """
+SELECT n.doc_id, count(*) AS nodes FROM fx_node n
+LEFT JOIN (SELECT doc_id, count(*) AS total FROM fx_paragraph GROUP BY doc_id) t USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS referenced FROM (SELECT DISTINCT doc_id, paragraph_id FROM ref JOIN fx_paragraph USING (doc_id, paragraph_id)) GROUP BY doc_id) u USING (doc_id)
+WHERE t.total IS NULL OR coalesce(u.referenced, 0)::DOUBLE / t.total >= 0.95 GROUP BY n.doc_id""",
+    ("ref", "fx_node", "fx_paragraph"),
+)
+def _(t):
+    """Trees that cover their documents are committed; a delivery with any other tree in it is refused as a whole and leaves them as they are."""
+    nodes = cut_lineage(fx.nodes(t))
+    result = cut_lineage(S.coverage(nodes, paras(t)))
+    path = lambda c: F.concat_ws("/", F.col("doc_id").cast("string"), c)
+    # A store has a folder per subject; here a subject is a bin of documents.
+    rows = nodes.select(
+        "doc_id", F.concat(F.lit("bin"), (F.col("doc_id") % 8).cast("string")).alias("subject"), path("node_key").alias("node_id"), path("parent_key").alias("parent"),
+        "depth", F.col("ord").alias("order"), F.col("title").alias("name"), F.lit("").alias("body"), F.lit(None).alias("sources"), F.lit(None).alias("content_hash"),
+    )
+    store = SnapshotStore(t.spark, fresh_path(t.spark, "gated"))
+    S.commit_covered(store, rows.join(result.filter("ok").select("doc_id"), "doc_id", "left_semi"), result, 0, None)
+    try:
+        S.commit_covered(store, rows, result, 1, 0)
+    except S.CoverageError:
+        pass
+    return store.read().groupBy(F.split_part("node_id", F.lit("/"), F.lit(1)).cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query(
     "tree_violations",
     """

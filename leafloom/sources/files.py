@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
@@ -13,17 +13,53 @@ from leafloom.functions.model_json import extract_json_object
 from leafloom.session import cut_lineage
 
 
-def load_text_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as one-page documents. A file of another kind fails the job.
+PART_CHARS = 1 << 20
 
-    Bytes that are not UTF-8 become replacement characters. Page count is 1, or 0 for a blank file.
+
+def load_text_sources(spark: SparkSession, path: str, part_chars: int = PART_CHARS) -> DataFrame:
+    """Text files as one-page documents, a row per part: ``(source_path, page, part, text, page_count)``. A file of another kind fails the job.
+
+    A file is read in byte ranges of ``spark.sql.files.maxPartitionBytes``, as many tasks as it has ranges, each range from the first line that begins in it; so a
+    file of any size loads, and no character is cut. The texts of a file's parts, in order, are its whole text. A part ends with the line that brings it over
+    ``part_chars``. Bytes that are not UTF-8 become replacement characters. Page count is 1, or 0 for a blank file; a file
+    of no bytes has no row.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    problem = F.raise_error(F.concat(F.lit("unsupported source type: "), "path")).cast("string")
-    text = F.when(suffix == ".txt", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(problem)
-    rows = raw.select(F.col("path").alias("source_path"), text.alias("text"))
-    return rows.select("source_path", F.lit(1).alias("page"), "text", F.when(T.strip(F.col("text")) != "", 1).otherwise(0).alias("page_count"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)  # names and sizes only
+    listed = listed.select(F.col("_metadata.file_path").alias("source_path"), "length")
+    suffix = F.lower(F.regexp_extract("source_path", r"(\.[^./]*)$", 1))
+    problem = F.raise_error(F.concat(F.lit("unsupported source type: "), "source_path")).cast("string")
+    listed = listed.select(F.when(suffix == ".txt", F.col("source_path")).otherwise(problem).alias("source_path"), "length")
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_block_start").alias("_range"),
+        F.monotonically_increasing_id().alias("_line"),  # rises within a range
+        (F.octet_length("value") + 1).alias("_bytes"),
+        F.make_valid_utf8("value").alias("_text"),
+    )
+    before = Window.partitionBy("source_path", "_range").orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum(F.length("_text") + 1).over(before), F.lit(0)) / part_chars)
+    parts = lines.withColumn("_piece", number).groupBy("source_path", "_range", "_piece").agg(
+        F.array_sort(F.collect_list(F.struct("_line", "_text"))).alias("_lines"), F.sum("_bytes").alias("_bytes"), F.bool_or(T.strip(F.col("_text")) != "").alias("_says")
+    )
+    parts = parts.withColumn("text", F.concat(F.array_join(F.transform("_lines", lambda x: x["_text"]), "\n"), F.lit("\n"))).drop("_lines")
+    # One row per part from here on.
+    of_file = Window.partitionBy("source_path")
+    parts = parts.withColumns(
+        {
+            "part": (F.row_number().over(of_file.orderBy("_range", "_piece")) - 1).cast("int"),
+            "_parts": F.count(F.lit(1)).over(of_file),
+            "_bytes": F.sum("_bytes").over(of_file),
+            "_says": F.max("_says").over(of_file),
+        }
+    )
+    rows = listed.join(parts, "source_path", "left")
+    # Every line was counted with a line end, which the last one may lack.
+    open_end = (F.col("part") == F.col("_parts") - 1) & (F.col("_bytes") > F.col("length"))
+    text = F.when(open_end, F.substr("text", F.lit(1), F.length("text") - 1)).otherwise(F.coalesce("text", F.lit("")))
+    return rows.select(
+        "source_path", F.lit(1).alias("page"), F.coalesce("part", F.lit(0)).alias("part"), text.alias("text"), F.coalesce(F.col("_says").cast("int"), F.lit(0)).alias("page_count")
+    )
 
 
 RECORD_MARK = "\n\x1e\n"

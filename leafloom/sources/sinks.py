@@ -62,3 +62,30 @@ def write_markdown(nodes: DataFrame, path: str) -> None:
     """One text record per node, separated by a record mark; partitioned by subject."""
     rows = nodes.select("subject", render_skill_markdown(nodes.columns).alias("value"))
     rows.write.mode("errorifexists").partitionBy("subject").option("lineSep", RECORD_MARK).text(path)
+
+
+def write_skill_folder(nodes: DataFrame, root: str) -> None:
+    """A folder of Markdown files, one per node: ``<node_id>/SKILL.md`` for a node with others below it and for a subject, ``<node_id>.md`` for a leaf.
+
+    Tasks write the files of their rows, a file that is there already is replaced, so a task that runs again changes nothing. ``root`` is any location that
+    `pyarrow.fs` knows and that all executors see.
+    """
+    inner = nodes.select(F.col("parent").alias("node_id")).where("parent IS NOT NULL").distinct().withColumn("_inner", F.lit(True))
+    rows = nodes.join(inner, "node_id", "left")
+    is_node = F.col("_inner") | F.col("parent").isNull()
+    place = F.concat(F.lit(root.rstrip("/") + "/"), "node_id", F.when(is_node, F.lit("/SKILL.md")).otherwise(F.lit(".md")))
+
+    def save(rows) -> None:
+        from pyarrow import fs
+
+        made = set()
+        for row in rows:
+            store, path = fs.FileSystem.from_uri(row.place)
+            folder = path.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(path) as file:
+                file.write(row.value.encode())
+
+    rows.select(place.alias("place"), render_skill_markdown(nodes.columns).alias("value")).foreachPartition(save)

@@ -7,6 +7,8 @@ file, after its data: readers see all of it or nothing. A version that is writte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,12 +75,17 @@ class SnapshotStore:
         current = broadcast_when_small(current.withColumnRenamed("data_version", "version"))
         return rows.join(current, ["version", "subject_key"], "left_semi").select(*COLUMNS)
 
-    def commit(self, rows: DataFrame, version: int, base: int | None) -> None:
-        """Writes ``rows``, whole trees of the subjects that change, as ``version``; all other subjects stay as they are in ``base``."""
+    def commit(self, rows: DataFrame, version: int, base: int | None, check: Callable[[], None] | None = None) -> None:
+        """Writes ``rows``, whole trees of the subjects that change, as ``version``; all other subjects stay as they are in ``base``.
+
+        ``check`` is called between the data and the manifest: what it raises leaves the version uncommitted.
+        """
         path = f"{self.root}/data/version={version}"
         keyed = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in COLUMNS.items()], subject_key(F.col("subject")).alias("subject_key"))
         # Rebalancing splits a large subject over tasks and keeps a small one in one file.
         keyed.hint("rebalance", "subject_key").write.mode("overwrite").partitionBy("subject_key").parquet(path)
+        if check:
+            check()
         try:
             touched = self.spark.read.schema(SCHEMA + ", subject_key string").parquet(path).select("subject_key").distinct()
         except AnalysisException as missing:  # no rows, no files

@@ -107,13 +107,45 @@ def test_decisions(spark, raw, action):
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff")
     (tmp_path / "b.TXT").write_text("  \n")
-    rows = {r.source_path.rsplit("/", 1)[-1]: (r.text, r.page, r.page_count) for r in files.load_text_sources(spark, str(tmp_path)).collect()}
-    assert rows == {"a.txt": ("café �", 1, 1), "b.TXT": ("  \n", 1, 0)}
+    rows = {r.source_path.rsplit("/", 1)[-1]: (r.text, r.page, r.part, r.page_count) for r in files.load_text_sources(spark, str(tmp_path)).collect()}
+    assert rows == {"a.txt": ("caf\u00e9 \ufffd", 1, 0, 1), "b.TXT": ("  \n", 1, 0, 0)}
     (tmp_path / "c.docx").write_text("x")
     with pytest.raises(Exception, match="unsupported source type"):
         files.load_text_sources(spark, str(tmp_path)).collect()
 
 
+def test_a_large_text_file_is_read_by_many_tasks(spark, tmp_path):
+    texts = {
+        "one file.txt": "\n".join(f"line {i} \u00e9\u65e5\u672c\r" if i % 3 else "" for i in range(3000)),
+        "two.txt": "\n\n\n" + "x" * 5000 + "\n" + "\u00e9" * 3000 + "\n",
+        "blank.txt": " \n" * 900,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.load_text_sources(spark, str(tmp_path), part_chars=1000).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in texts.items():
+        own = sorted((r for r in rows if r.source_path.replace("%20", " ").endswith(name)), key=lambda r: r.part)
+        assert "".join(r.text for r in own) == text and [r.part for r in own] == list(range(len(own)))
+        assert {r.page_count for r in own} == {0 if name == "blank.txt" else 1} and len(own) > 1
+
+
+def test_skill_files_round_trip(spark, tmp_path):
+    rows = [("geo", "geo", None, 0, "Geo", "root"), ("geo", "geo/01-hills", "geo", 1, "Hills", "in"), ("geo", "geo/01-hills/01-peaks", "geo/01-hills", 2, 'A "peak": #1', "text\n---\nmore"), ("geo", "geo/02-lone", "geo", 1, "Lone", "leaf")]
+    nodes = spark.createDataFrame(rows, "subject string, node_id string, parent string, depth int, name string, body string")
+    for _ in range(2):  # again: the same files
+        sinks.write_skill_folder(nodes, (tmp_path / "skills").as_uri())
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.md")) == ["skills/geo/01-hills/01-peaks.md", "skills/geo/01-hills/SKILL.md", "skills/geo/02-lone.md", "skills/geo/SKILL.md"]
+    back = files.load_skill_folder(spark, str(tmp_path / "skills"))
+    assert sorted(map(tuple, back.select("subject", "node_id", "parent", "depth", "name", "body").collect()), key=lambda r: r[1]) == rows
+    assert {r.node_id for r in back.filter("is_leaf").collect()} == {"geo/01-hills/01-peaks", "geo/02-lone"}
+
+
 def test_skill_folder(spark, tmp_path):
     root = tmp_path / "skills"
     (root / "geo" / "01-hills").mkdir(parents=True)

@@ -147,3 +147,19 @@ def test_unique_slugs_of_one_large_family(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     got = [r.slug for r in out.orderBy("o").select("slug").collect()]
     assert got == greedy([r.base for r in rows.orderBy("o").collect()])
+
+
+def test_a_tree_below_the_threshold_is_not_committed(spark, tmp_path):
+    from leafloom.sources.snapshots import COLUMNS, SCHEMA, SnapshotStore
+
+    store, none = SnapshotStore(spark, str(tmp_path)), dict.fromkeys(COLUMNS)
+    rows = lambda *trees_: spark.createDataFrame([tuple((none | {"subject": f"s{t}", "node_id": f"n{t}"}).values()) + (t,) for t in trees_], SCHEMA + ", doc_id long")
+    result = spark.createDataFrame([(1, 1.0, True), (2, 0.97, True), (3, 0.5, False)], "doc_id long, coverage double, ok boolean")
+    S.commit_covered(store, rows(1, 2), result, 0, None)
+    with pytest.raises(S.CoverageError, match="0.500 of tree 3"):
+        S.commit_covered(store, rows(2, 3), result, 1, 0)
+    with pytest.raises(S.CoverageError, match="tree 4"):  # a tree without a result
+        S.commit_covered(store, rows(4), result, 1, 0)
+    assert store.latest() == 0 and {r.node_id for r in store.read().collect()} == {"n1", "n2"}
+    S.commit_covered(store, rows(2), result, 1, 0)
+    assert store.latest() == 1 and {r.node_id for r in store.read().collect()} == {"n1", "n2"}
