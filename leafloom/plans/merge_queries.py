@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from leafloom.functions import vectors as V
 from leafloom.operators import dedup, merging
 from leafloom.operators import similarity as S
 from leafloom.plans import fixtures as fx
-from leafloom.plans.registry import BLOCKS, block, query
+from leafloom.plans.registry import again, block, query
 from leafloom.plans.tree_queries import slug_sql
 from leafloom.session import Tables, cut_lineage, fresh_path
 from leafloom.sources.snapshots import SnapshotStore
@@ -700,16 +698,8 @@ FROM emit_after l JOIN emit_after c ON c.node_id = l.parent WHERE l.depth = 2"""
 block("sm_chapter", r"""SELECT subject, node_id AS chapter_id, "order" AS ord, regexp_replace(string_split(node_id, '/')[-1], '^\d+-', '') AS slug FROM emit_after WHERE depth = 1""", "emit_after")
 
 
-def _again(names: list[str], prefix: str, leaf: str, chapter: str) -> None:
-    """The blocks of matching and planning once more, over other leaves and chapters."""
-    renamed = {n: f"{prefix}_{n}" for n in (*names, "first_action")} | {"fx_leaf": leaf, "fx_chapter": chapter}
-    table = re.compile(rf"\b(FROM|JOIN) ({'|'.join(sorted(renamed, key=len, reverse=True))})\b")
-    for n in names:
-        needs, body = BLOCKS[n]
-        block(renamed[n], table.sub(lambda m: f"{m[1]} {renamed[m[2]]}", body), *[renamed.get(x, x) for x in needs])
-
-
-_again(["signed", "sig_group", "slot_weight", "pair", "verdict", "decided", "best_match", "slug_match"], "sm", "sm_leaf", "sm_chapter")
+_ARRIVED = {"fx_leaf": "sm_leaf", "fx_chapter": "sm_chapter", "first_action": "sm_first_action"}
+again(["signed", "sig_group", "slot_weight", "pair", "verdict", "decided", "best_match", "slug_match"], "sm", _ARRIVED)
 block(
     "sm_first_action",
     """
@@ -721,7 +711,7 @@ LEFT JOIN (SELECT subject, min(chapter_id) AS chapter_id FROM sm_chapter GROUP B
     "sm_best_match",
     "sm_slug_match",
 )
-_again(["unplaced", "greedy", "action"], "sm", "sm_leaf", "sm_chapter")
+again(["unplaced", "greedy", "action"], "sm", _ARRIVED)
 apply_sql("sm", "emit_after", "new_leaf", "sm_action")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,15 @@ def block(name: str, body: str, *needs: str) -> None:
     BLOCKS[name] = (needs, body.strip())
 
 
+def again(names: list[str], prefix: str, sources: dict[str, str]) -> None:
+    """Blocks once more as ``<prefix>_<name>``, reading each other and, in place of some blocks, others."""
+    renamed = {n: f"{prefix}_{n}" for n in names} | sources
+    table = re.compile(rf"\b(FROM|JOIN) ({'|'.join(sorted(renamed, key=len, reverse=True))})\b")
+    for n in names:
+        needs, body = BLOCKS[n]
+        block(renamed[n], table.sub(lambda m: f"{m[1]} {renamed[m[2]]}", body), *[renamed.get(x, x) for x in needs])
+
+
 def with_blocks(body: str, *needs: str) -> str:
     ordered: list[str] = []
 

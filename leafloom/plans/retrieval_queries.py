@@ -9,7 +9,7 @@ from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import retrieval as R
 from leafloom.plans import fixtures as fx
-from leafloom.plans.registry import block, query
+from leafloom.plans.registry import again, block, query
 from leafloom.session import Tables, broadcast_when_small
 
 
@@ -232,6 +232,28 @@ def _(t):
     return hits(t).select("query_id", "rank", "node_id", "paragraph_id", "page", "score", "snippet")
 
 
+block(
+    "visible_paragraph",
+    r"""
+SELECT split_part(node_id, '/', 1) AS subject, node_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS paragraph_id, unnest(ps) AS text, coalesce(source_page, legacy_page, 1) AS page
+FROM (SELECT *, list_filter(list_transform(string_split_regex(body, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+        lambda x: length(x) >= 20 AND NOT starts_with(x, '## Source ') AND NOT starts_with(x, '# Source ')) AS ps FROM fx_skill_leaf WHERE superseded_by IS NULL)""",
+    "fx_skill_leaf",
+)
+again(["tok", "member", "scope_size", "raw_term", "scope_mean", "term_idf", "posting", "scored", "hit"], "visible", {"fx_paragraph": "visible_paragraph"})
+
+
+@query(
+    "search_visible_leaves",
+    "SELECT query_id, rank, node_id, paragraph_id, page, score, snippet FROM visible_hit",
+    ("visible_hit",),
+)
+def _(t):
+    """The whole way from leaf bodies to hits; superseded leaves neither show nor count."""
+    found = R.search_leaves(skill_leaves(t), queries(t), K.AGENT_TOP_K)
+    return found.select("query_id", "rank", "node_id", "paragraph_id", "page", "score", "snippet")
+
+
 @query(
     "citation_index",
     """

@@ -44,6 +44,13 @@ def test_pairs_are_exact(spark, threshold):
     assert all(r.similarity >= threshold for r in got)
 
 
+def test_pairs_are_exact_when_slots_are_dealt_out(spark, monkeypatch):
+    rows = spark.createDataFrame(leaf_rows(8, 120), LEAF)
+    want = sorted(map(repr, S.leaf_pairs(rows, 0.6).collect()))
+    monkeypatch.setattr(S, "PAIRS_PER_TASK", 6)
+    assert sorted(map(repr, S.leaf_pairs(rows, 0.6).collect())) == want and len(want) > 5
+
+
 def test_embedder_contract(spark):
     df = spark.createDataFrame([(1, "red red blue"), (2, "red red blue"), (3, "sky"), (4, "")], "id int, text string")
     rows = S.hash_embedder()(df).collect()
