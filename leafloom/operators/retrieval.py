@@ -88,16 +88,16 @@ def scope_members(paragraphs: DataFrame, scopes: DataFrame, small: bool) -> Data
 
 
 def term_index(paragraphs: DataFrame) -> DataFrame:
-    """``(node_id, paragraph_id, page, dl, terms)``: the distinct terms of each paragraph with their counts, as ``array<struct<term, tf>>``.
+    """``(pid, node_id, paragraph_id, page, dl, terms)``: the distinct terms of each paragraph with their counts, as ``array<struct<term, tf>>``.
 
-    Terms are sorted and counted by the length of their runs, within the row: no shuffle.
+    Terms are sorted and counted by the length of their runs, within the row: no shuffle. ``pid`` is a short key of the row, fixed once the index is stored.
     """
     kept = [c for c in ("node_id", "paragraph_id", "page") if c in paragraphs.columns]
     rows = paragraphs.select(*kept, F.array_sort(T.tokens(F.col("text"))).alias("_tok"))
     start = F.transform("_tok", lambda x, i: F.when((i == 0) | (x != F.get("_tok", i - 1)), i))
     rows = rows.select(*kept, "_tok", F.size("_tok").alias("dl"), F.filter(start, lambda i: i.isNotNull()).alias("_at"))
     run = F.transform("_at", lambda at, i: F.struct(F.get("_tok", at).alias("term"), (F.coalesce(F.get("_at", i + 1), F.col("dl")) - at).alias("tf")))
-    return rows.select(*kept, "dl", run.alias("terms"))
+    return rows.select(F.monotonically_increasing_id().alias("pid"), *kept, "dl", run.alias("terms"))
 
 
 def scope_counts(index: DataFrame, scopes: DataFrame, small: bool) -> DataFrame:
@@ -165,113 +165,114 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avgdl))
 
 
-def term_weights(index: DataFrame, queries: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
-    """``(query_id, scope_key, term, avgdl, df, weight, bound)``: no paragraph gets more than ``bound`` from the term."""
+def term_weights(index: DataFrame, queries: DataFrame, asked: DataFrame, names: DataFrame, small: bool) -> DataFrame:
+    """``(q, scope_key, term, avgdl, df, weight, bound)``: no paragraph gets more than ``bound`` from the term."""
     scope_stats, term_stats = index_statistics(index, queries, small)
     # Saturation grows with tf and falls with dl / tf, so the extremes of both bound it; the margin covers rounding.
     most = (K.BM25_K1 + 1) / (1 + K.BM25_K1 * ((1 - K.BM25_B) / F.col("max_tf") + K.BM25_B * F.col("least_dl") / F.col("avgdl")))
     weight = F.col("qtf") * F.col("idf")
     return (
-        term_stats.join(_hint(asked, small), ["scope_key", "term"])
+        term_stats.join(_hint(asked.join(_hint(names, small), "query_id"), small), ["scope_key", "term"])
         .join(_hint(scope_stats.select("scope_key", "avgdl"), small), "scope_key")
-        .select("query_id", "scope_key", "term", "avgdl", "df", weight.alias("weight"), (F.greatest(weight, F.lit(0.0)) * most * (1 + 1e-9)).alias("bound"))
+        .select("q", "scope_key", "term", "avgdl", "df", weight.alias("weight"), (F.greatest(weight, F.lit(0.0)) * most * (1 + 1e-9)).alias("bound"))
     )
 
 
-def postings(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """``(node_id, paragraph_id, page, dl, term, tf)`` for the given terms."""
-    rows = index.select("node_id", "paragraph_id", "page", "dl", F.explode("terms").alias("t")).select("node_id", "paragraph_id", "page", "dl", "t.term", "t.tf")
-    return rows.join(_hint(terms.select("term").distinct(), small), "term", "left_semi")
-
-
 def _met(index: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
-    """A row per query, paragraph of its scope and term of ``weights`` in it, with ``part``, what the term adds.
+    """``(pid, q, part)``: a row per paragraph, query of its scope and term of ``weights`` in it, with what the term adds.
 
-    A posting is opened to the scopes its paragraph is in, so that it meets exactly the queries of these scopes; a match by term alone would first
-    pair it with the queries of all others.
+    A paragraph is opened to the asked scopes that it is in, so that its terms meet exactly the queries of these scopes; a match by term alone would
+    first pair them with the queries of all others.
     """
-    paths = F.concat(F.array(F.lit(ALL)), T.ancestor_paths(F.col("node_id")))
-    found = postings(index, weights, small).select("*", F.explode(paths).alias("scope_key"))
+    members = scope_members(index.select("pid", "node_id", "dl", "terms"), weights, small)
+    found = members.select("scope_key", "pid", "dl", F.explode("terms").alias("t")).select("scope_key", "pid", "dl", "t.term", "t.tf")
     part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return found.join(_hint(weights, small), ["scope_key", "term"]).select("query_id", "node_id", "paragraph_id", "page", part.alias("part"))
+    return found.join(_hint(weights, small), ["scope_key", "term"]).select("pid", "q", part.alias("part"))
 
 
 PARAGRAPH = ["node_id", "paragraph_id", "page"]
 
 
-def _total(met: DataFrame) -> DataFrame:
-    return met.groupBy("query_id", *PARAGRAPH).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
+def numbered(queries: DataFrame) -> DataFrame:
+    """``(q, query_id)``: a short key for each query, stored."""
+    return stored(queries.select("query_id").distinct().select(F.monotonically_increasing_id().alias("q"), "query_id"), "query-keys")
 
 
 def scores(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, node_id, paragraph_id, page, score)`` for every paragraph with a positive score: nearly queries times paragraphs. Where only
     the best are asked for, `best_scores` gives them without the others."""
-    index, asked = stored(term_index(paragraphs), "term-index"), query_terms(queries)
+    index, asked, names = stored(term_index(paragraphs), "term-index"), query_terms(queries), numbered(queries)
     # Scopes, terms and weights have at most one row per query term, so this one count bounds them all.
     small = is_small(asked)
-    return _total(_met(index, term_weights(index, queries, asked, small), small))
+    weights = term_weights(index, queries, asked, names, small)
+    total = _met(index, weights, small).groupBy("q", "pid").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
+    return total.join(index.select("pid", *PARAGRAPH), "pid").join(_hint(names, small), "q").select("query_id", *PARAGRAPH, "score")
 
 
 def score_of(index: DataFrame, pairs: DataFrame, weights: DataFrame, few: bool, small: bool) -> DataFrame:
-    """Whole scores of the paragraphs ``(query_id, node_id, paragraph_id)`` listed."""
-    rows = index.join(_hint(pairs.select("query_id", "node_id", "paragraph_id"), few), ["node_id", "paragraph_id"])
-    rows = rows.select("query_id", *PARAGRAPH, "dl", F.explode("terms").alias("t")).select("query_id", *PARAGRAPH, "dl", "t.term", "t.tf")
+    """``(q, node_id, paragraph_id, page, score)``: whole scores of the paragraphs ``(q, pid)`` listed, where positive."""
+    rows = index.join(_hint(pairs.select("q", "pid"), few), "pid")
+    rows = rows.select("q", *PARAGRAPH, "dl", F.explode("terms").alias("t")).select("q", *PARAGRAPH, "dl", "t.term", "t.tf")
     part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return _total(rows.join(_hint(weights, small), ["query_id", "term"]).withColumn("part", part))
+    total = rows.join(_hint(weights, small), ["q", "term"]).groupBy("q", *PARAGRAPH).agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return total.filter(F.col("score") > 0)
+
+
+def top_hits(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best paragraphs per query; equal scores in path and paragraph order."""
+    order = [F.col("score").desc(), F.col("node_id"), F.col("paragraph_id")]
+    return ordered.best_per_key(scored, ["query_id"], order, keep=k, out="rank")
 
 
 UNSEEN = 0.3  # share of the threshold that terms which are not looked at may reach together
-PROBE = 16  # postings per asked-for hit that the first look at a query's terms may take
+PROBE = 256  # postings per asked-for hit that the first look at a query's terms may take
 
 
-def candidates(index: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, bool]:
-    """``(query_id, node_id, paragraph_id)`` of every paragraph that can be among the best ``k`` of its query, the weights, and whether these are few."""
-    asked = query_terms(queries)
+def candidates(index: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """``(q, pid)`` of every paragraph that can be among the best ``k`` of its query; the weights; the queries' keys; whether these are few."""
+    asked, names = query_terms(queries), numbered(queries)
     small = is_small(asked)
-    weights = term_weights(index, queries, asked, small)
+    weights = term_weights(index, queries, asked, names, small)
     # Terms by falling bound: what a paragraph without the terms before can still reach, and postings up to here. One query's terms come from one row.
-    by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term")
+    by_bound = Window.partitionBy("q").orderBy(F.col("bound").desc(), "term")
     weights = stored(
         weights.withColumn("rest", F.sum("bound").over(by_bound.rowsBetween(0, Window.unboundedFollowing))).withColumn(
             "before", F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ),
         "query-terms",
     )
-    first = _met(index, weights.filter(F.col("before") < PROBE * k), small).groupBy("query_id", *PARAGRAPH).agg(F.sum("part").alias("score"))
-    least = _thresholds(index, queries, top_hits(first, k), weights, k, small)
-    bounded = weights.join(_hint(least, is_small(least)), "query_id")
+    first = _met(index, weights.filter(F.col("before") < PROBE * k), small).groupBy("q", "pid").agg(F.sum("part").alias("score"))
+    least = _thresholds(index, names, first, weights, k, small)
+    bounded = weights.join(_hint(least, small), "q")
     # Looked at are the terms down to a share of the threshold; what the others can add is then small, and few partial scores come near it.
     cut = UNSEEN * F.col("least")
     needed = bounded.filter(F.col("least").isNull() | (F.col("rest") >= cut))
-    left = bounded.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("rest") < cut, F.col("rest"))), F.lit(0.0)).alias("left"), F.first("least").alias("least"))
-    partial = _met(index, needed.select(*weights.columns), small).groupBy("query_id", "node_id", "paragraph_id").agg(F.sum("part").alias("_sum"))
-    reach = F.col("least").isNull() | (F.col("_sum") + F.col("left") >= F.col("least"))
-    found = stored(partial.join(_hint(left, small), "query_id").filter(reach).select("query_id", "node_id", "paragraph_id", "_sum", "left"), "reached")
+    left = bounded.groupBy("q").agg(F.coalesce(F.max(F.when(F.col("rest") < cut, F.col("rest"))), F.lit(0.0)).alias("left"), F.first("least").alias("least"))
+    partial = _met(index, needed.select(*weights.columns), small).groupBy("q", "pid").agg(F.sum("part").alias("score"))
+    reach = F.col("least").isNull() | (F.col("score") + F.col("left") >= F.col("least"))
+    found = stored(partial.join(_hint(left, small), "q").filter(reach).select("q", "pid", "score", "left"), "reached")
     # Partial scores are nearly whole now, so their best give a threshold close to the last score that counts.
-    least = _thresholds(index, queries, top_hits(found.withColumn("score", F.col("_sum")), k), weights, k, small)
-    kept = found.join(_hint(least, is_small(least)), "query_id").filter(F.col("least").isNull() | (F.col("_sum") + F.col("left") >= F.col("least")))
-    return stored(kept.select("query_id", "node_id", "paragraph_id"), "candidates"), weights, small
+    least = _thresholds(index, names, found, weights, k, small)
+    kept = found.join(_hint(least, small), "q").filter(F.col("least").isNull() | (F.col("score") + F.col("left") >= F.col("least")))
+    return stored(kept.select("q", "pid"), "candidates"), weights, names, small
 
 
-def _thresholds(index: DataFrame, queries: DataFrame, chosen: DataFrame, weights: DataFrame, k: int, small: bool) -> DataFrame:
-    """``(query_id, least)``: what a paragraph must reach to be among the best ``k``, from the whole scores of some paragraphs; null where fewer than ``k`` score."""
-    chosen = stored(chosen, "chosen")
-    reached = top_hits(score_of(index, chosen, weights, is_small(chosen), small), k).filter(F.col("rank") == k)
+def _thresholds(index: DataFrame, names: DataFrame, partial: DataFrame, weights: DataFrame, k: int, small: bool) -> DataFrame:
+    """``(q, least)``: what a paragraph must reach to be among the best ``k``, from the whole scores of the best by partial score; null where fewer than ``k``
+    of them score."""
+    chosen = stored(ordered.best_per_key(partial.select("q", "pid", "score"), ["q"], [F.col("score").desc(), F.col("pid")], keep=k, out="rank"), "chosen")
+    whole = score_of(index, chosen, weights, is_small(chosen), small)
+    reached = whole.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least")).filter(F.col("_n") == k)
     # Scores that are equal after rounding count as equal, so a paragraph is out only if it stays below by more than that.
-    least = reached.select("query_id", (F.col("score") - 10.0**-SCORE_DIGITS).alias("least"))
-    return stored(queries.select("query_id").distinct().join(least, "query_id", "left"), "thresholds")
+    least = reached.select("q", (F.col("_least") - 10.0**-SCORE_DIGITS).alias("least"))
+    return stored(names.select("q").join(least, "q", "left"), "thresholds")
 
 
 def best_scores(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(query_id, rank, node_id, paragraph_id, page, score)``: the best ``k`` of every query, exactly."""
-    pairs, weights, small = candidates(index, queries, k)
-    return top_hits(score_of(index, pairs, weights, is_small(pairs), small), k)
-
-
-def top_hits(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best paragraphs per query; equal scores in path and paragraph order."""
-    order = [F.col("score").desc(), F.col("node_id"), F.col("paragraph_id")]
-    return ordered.best_per_key(scored, ["query_id"], order, keep=k, out="rank")
+    """``(query_id, rank, node_id, paragraph_id, page, score)``: the best ``k`` of every query, exactly. ``index`` is a stored `term_index`."""
+    pairs, weights, names, small = candidates(index, queries, k)
+    scored = score_of(index, pairs, weights, is_small(pairs), small).join(_hint(names, small), "q")
+    return top_hits(scored.select("query_id", *PARAGRAPH, "score"), k)
 
 
 def search(paragraphs: DataFrame, queries: DataFrame, k: int = K.CHAT_TOP_K, index: DataFrame | None = None) -> DataFrame:

@@ -111,11 +111,13 @@ def similar_signatures(groups: DataFrame, vectors: DataFrame, threshold: float =
     # A slot of many vectors on both sides is dealt out by the new ones, so that no task forms more than a bounded number of pairs.
     sizes = entries.filter("head").groupBy("subject", "slot").agg(F.count_if("is_new").alias("_n"), F.count_if(~F.col("is_new")).alias("_m"))
     dealt = sizes.select("subject", "slot", F.least(F.col("_n"), F.ceil(F.col("_n") * F.col("_m") / PAIRS_PER_TASK)).cast("int").alias("_deals")).filter("_deals > 1")
-    dealt = broadcast_when_small(cut_lineage(dealt))
-    deals = F.coalesce("_deals", F.lit(1))
-    new = side(True, "new").join(dealt, ["subject", "slot"], "left").withColumn("_deal", F.pmod(F.xxhash64("_new_vec"), deals).cast("int")).drop("_deals")
-    old = side(False, "existing").join(dealt, ["subject", "slot"], "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
-    shared = new.join(old, ["subject", "slot", "_deal"])
+    dealt = cut_lineage(dealt)
+    new, old, on = side(True, "new"), side(False, "existing"), ["subject", "slot"]
+    if not dealt.isEmpty():
+        dealt, deals, on = broadcast_when_small(dealt), F.coalesce("_deals", F.lit(1)), [*on, "_deal"]
+        new = new.join(dealt, ["subject", "slot"], "left").withColumn("_deal", F.pmod(F.xxhash64("_new_vec"), deals).cast("int")).drop("_deals")
+        old = old.join(dealt, ["subject", "slot"], "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    shared = new.join(old, on)
     met = shared.groupBy("_new_vec", "_existing_vec").agg(F.sum(F.col("_wnew") * F.col("_wexisting")).alias("_part"))
     outlines = _outlines(entries)
     shape = lambda new, tag: outlines.filter(F.col("is_new") == F.lit(new)).select(

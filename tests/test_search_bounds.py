@@ -41,7 +41,7 @@ def test_few_paragraphs_are_scored(spark):
     queries = [(f"q{i}", "all", r[3]) for i, r in enumerate(rows) if i % 100 == 0 and any(w[0] == "r" for w in r[3].split())]
     paragraphs, asked = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(queries, QUERY)
     index = R.stored(R.term_index(paragraphs), "index")
-    pairs, _, _ = R.candidates(index, asked, 3)
+    pairs = R.candidates(index, asked, 3)[0]
     assert pairs.count() < 40 * len(queries) < R.scores(paragraphs, asked).count() / 20
 
 
@@ -49,7 +49,7 @@ def test_negative_weights(spark):
     """In a tiny scope the mean weight is below zero, and common words lower a score."""
     rows = [("s/a/d1", i, 1, t) for i, t in enumerate(["x y", "x y z", "x y", "x y z w"])]
     paragraphs, asked = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("q", "all", "x y z"), ("p", "all", "x w")], QUERY)
-    got = R.best_scores(R.term_index(paragraphs), asked, 2).collect()
+    got = R.best_scores(R.stored(R.term_index(paragraphs), "index"), asked, 2).collect()
     want = R.top_hits(R.scores(paragraphs, asked), 2).collect()
     assert sorted((r.query_id, r.rank, r.paragraph_id, r.score) for r in got) == sorted((r.query_id, r.rank, r.paragraph_id, r.score) for r in want)
 
