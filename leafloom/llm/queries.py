@@ -17,34 +17,42 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is judged by itself, rows that repeat an id too; null texts have no words and fail; an empty table gives no rows (see `quality`)."""
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per id: rows without an id go, of rows that repeat an id the least text counts; null texts have no words; whole texts of any length (see `substring`)."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is scored, null and empty texts too; rows that repeat an id are scored each; the fold is a matter of the id alone (see `toxicity`)."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per id, like `op2_substring`; of equal passages the one that starts first stays (see `suffix`)."""
     return suffix.passages(table(spark, sf_dir, "documents"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per id; documents without words are linked with nothing; copies of a text are in one component (see `jaccard`)."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty: the end id alone; every row is kept (see `pieces`)."""
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, zero and non-finite vectors link with nothing; vectors of other lengths do not meet (see `vectors`)."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts give no rows; rows that repeat an id are scanned each; whole texts, line by line (see `licenses`)."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -54,6 +62,7 @@ def op9_editcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are their end id alone; repeated rows are packed as often as they occur; a text longer than a sequence is cut over several (see `packing`)."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
