@@ -9,7 +9,6 @@ from leafloom import constants as K
 from leafloom.functions import text as T
 from leafloom.operators import catalog_search, migration, trees
 from leafloom.plans import fixtures as fx
-from leafloom.plans import merge_queries as M
 from leafloom.plans.dialogue_queries import show_fold
 from leafloom.plans.registry import block, query
 from leafloom.plans.tree_queries import emitted

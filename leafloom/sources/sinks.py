@@ -73,14 +73,15 @@ def write_skill_folder(nodes: DataFrame, root: str) -> None:
     inner = nodes.select(F.col("parent").alias("node_id")).where("parent IS NOT NULL").distinct().withColumn("_inner", F.lit(True))
     rows = nodes.join(inner, "node_id", "left")
     is_node = F.col("_inner") | F.col("parent").isNull()
-    place = F.concat(F.lit(root.rstrip("/") + "/"), "node_id", F.when(is_node, F.lit("/SKILL.md")).otherwise(F.lit(".md")))
+    place = F.concat("node_id", F.when(is_node, F.lit("/SKILL.md")).otherwise(F.lit(".md")))
 
     def save(rows) -> None:
         from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(root)
         made = set()
         for row in rows:
-            store, path = fs.FileSystem.from_uri(row.place)
+            path = f"{base.rstrip('/')}/{row.place}"
             folder = path.rsplit("/", 1)[0]
             if folder not in made:
                 store.create_dir(folder, recursive=True)
