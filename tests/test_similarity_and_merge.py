@@ -246,3 +246,15 @@ def test_a_word_of_all_chapters_forms_no_pairs(spark):
             most = max(most, metric.get().value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert 2000 <= most < 20_000
+
+
+def test_pairs_are_exact_by_products_of_blocks(spark, monkeypatch):
+    rows = [*leaf_rows(9, 90), (90, None, "n90", "alpha", "alpha beta", "x", True), (91, "s", "n91", "", "", "x", False)]
+    rows = spark.createDataFrame(rows, LEAF)
+    near = lambda dim: sorted(map(repr, S.leaf_pairs(rows, 0.6, S.hash_embedder(dim)).collect()))
+    want, wide = near(1024), near(4096)
+    monkeypatch.setattr(S, "FEW_MEETINGS", -1)
+    monkeypatch.setattr(S, "MEETING_COST", math.inf)
+    monkeypatch.setattr(S, "BLOCK", 3)
+    monkeypatch.delattr(S, "_meeting_pairs")
+    assert near(1024) == want and near(4096) == wide and len(want) > 5
