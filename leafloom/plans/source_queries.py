@@ -323,11 +323,11 @@ def _(t):
 
 # --- streams --------------------------------------------------------------------------------------
 class StreamTables(Tables):
-    """The same tables as file streams."""
+    """The same tables as file streams, be a table one file or a folder of files. A stream takes a single file as its path only from a pattern."""
 
     def __call__(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(self.path(name)).schema
-        rows = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.directory)
+        rows = self.spark.readStream.schema(schema).parquet(f"{self.directory}/{name}.parque[t]")
         return self._spread(rows, self.spark.read.parquet(self.path(name))) if name == "documents" else rows
 
 

@@ -152,3 +152,15 @@ def test_a_subject_of_a_null_key_is_kept(spark, tmp_path):
     assert {r.subject for r in store.read().collect()} == {None, "", "a/b", "x=y"}
     store.commit(spark.createDataFrame([], SCHEMA), 1, 0)
     assert store.latest() == 1 and store.read().count() == 4
+
+
+def test_tables_of_one_file_and_of_many_stream_alike(spark, tmp_path):
+    from leafloom.plans import catalog, source_queries  # noqa: F401
+
+    rows = spark.range(20).withColumnRenamed("id", "vec_id")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "pages.parquet")
+    for directory in (tmp_path, tmp_path / "many"):
+        got = ingest.run_append(source_queries.StreamTables(spark, str(directory))("pages"), "copied")
+        assert sorted(r.vec_id for r in got.collect()) == list(range(20))
