@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafloom.functions import text as T
 from leafloom.operators import questions as Q
 from leafloom.plans import fixtures as fx
 from leafloom.plans.registry import block, query
@@ -85,7 +86,7 @@ def paragraphs(t: Tables) -> DataFrame:
 )
 def _(t):
     rows = fx.paragraphs(t).select("node_id", "paragraph_id", "text")
-    later = rows.withColumn("text", F.concat(F.upper(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))).withColumn("ord", F.lit(1))
+    later = rows.withColumn("text", F.concat(T.capital(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))).withColumn("ord", F.lit(1))
     return Q.latest_paragraphs(rows.withColumn("ord", F.lit(0)).unionByName(later), "ord")
 
 

@@ -144,3 +144,9 @@ def test_verdicts_and_grades(spark):
     assert {r.question_id: (r.user, r.is_correct) for r in details.collect()} == {"q1": ("A", True), "q2": ("D", False), "q3": (None, False)}
     summary = Q.grade_summary(details).first()
     assert (summary.score, summary.total, summary.percent) == (1, 3, 33)
+
+
+def test_capital_is_one_character(spark):
+    letters = {"a": "A", "É": "É", "é": "É", "ß": "ẞ", "ŉ": "ŉ", "ﬁ": "ﬁ", "ᾳ": "ᾼ", "ᾈ": "ᾈ", "ΐ": "ΐ", "7": "7", "": ""}
+    rows = spark.createDataFrame([(x,) for x in letters], "x string").select("x", T.capital(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in rows.collect()} == letters
