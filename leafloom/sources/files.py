@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
 from leafloom.functions.model_json import extract_json_object
-from leafloom.session import cut_lineage
+from leafloom.session import cut_lineage, stored
 
 
 PART_CHARS = 1 << 20
@@ -137,15 +138,73 @@ def parse_skill_text(raw: DataFrame) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``(source_path)`` of every file below a folder whose name ends in ``suffix``; names that begin with a dot or an underscore are left out.
+
+    Folders are listed by tasks, a level at a time, so the driver sees no names; a folder's own entries meet in one task. ``root`` is any location that `pyarrow.fs` knows.
+    """
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column("source_path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder))
+                found = [x for x in found if x.base_name[:1] not in ("_", ".") and (x.type == fs.FileType.Directory or x.base_name.endswith(suffix))]
+                for at in range(0, len(found), LISTED):
+                    some = found[at : at + LISTED]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.path for x in some], pa.string()), pa.array([x.type == fs.FileType.Directory for x in some])], names=["source_path", "_folder"])
+
+    from pyarrow import fs
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    level, files = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1],)], "source_path string"), None
+    while True:
+        found = stored(level.repartition(tasks).mapInArrow(children, "source_path string, _folder boolean"), "listing")
+        own = found.filter("NOT _folder").select("source_path", F.lit(root).alias("_root"))
+        files = own if files is None else files.unionByName(own)
+        level = found.filter("_folder").select("source_path")
+        if level.isEmpty():
+            return files.repartition(tasks)
+
+
+LISTED, READ_BYTES = 10_000, 4 << 20
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """``(source_path, value)``: the whole text of each listed file. Bytes that are not UTF-8 become replacement characters."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, of = None, None
+        for batch in batches:
+            paths, values, size = [], [], 0
+            for path, root in zip(batch.column("source_path").to_pylist(), batch.column("_root").to_pylist()):
+                if root != of:
+                    store, of = fs.FileSystem.from_uri(root)[0], root
+                with store.open_input_file(path) as file:
+                    data = file.readall()
+                paths.append(path)
+                values.append(data.decode("utf-8", "replace"))
+                size += len(data)
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["source_path", "value"])
+                    paths, values, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["source_path", "value"])
+
+    return files.mapInArrow(texts, "source_path string, value string")
+
+
 def load_skill_folder(spark: SparkSession, root: str) -> DataFrame:
     """A folder of Markdown tree files, one file per node.
 
     Paths give what the front matter may lack. Chapter folders must start with two digits and a hyphen and have a SKILL file; others are
     skipped with all that is in them.
     """
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(
-        F.col("_metadata.file_path").alias("source_path"), "value"
-    )
+    raw = read_texts(list_files(spark, root, ".md"))
     base = root.rstrip("/").rsplit("/", 1)[-1]
     inside = F.regexp_replace(F.substring_index("source_path", f"/{base}/", -1), r"\.md$", "")
     parts = F.split(inside, "/")

@@ -247,3 +247,15 @@ def test_proposed_trees_of_any_depth_and_bad_replies(spark):
     rows = files.read_proposed_trees(spark.createDataFrame(replies, "doc_id int, reply string")).collect()
     assert sorted((r.depth, r.title) for r in rows if r.doc_id == 1) == [(k, f"t{k}") for k in range(9)]
     assert {r.doc_id: r.error for r in rows if r.doc_id != 1} == {2: "no object", 3: "unbalanced", 4: "no tree", 5: "empty"}
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    for name in ("a/SKILL.md", "a/b/c/d/deep %41 é.md", "_hidden/x.md", "a/.draft/x.md", "a/_x.md", "a/note.txt", "top.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        with monkeypatch.context() as m:
+            m.delattr(type(spark.read), "text")
+            got = files.read_texts(files.list_files(spark, root, ".md")).collect()
+        names = ["a/SKILL.md", "a/b/c/d/deep %41 é.md", "top.md"]
+        assert sorted((r.source_path, r.value) for r in got) == [(f"{tmp_path}/{n}", n + "\ufffd") for n in names]
