@@ -12,6 +12,11 @@ Tables: paragraphs ``(node_id, paragraph_id, page, text)``; queries ``(query_id,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,10 +210,75 @@ def scores(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
     # Scopes, terms and weights have at most one row per query term, so this one count bounds them all.
     small = is_small(asked)
     weights = term_weights(index, queries, asked, names, small)
+    if small:
+        weights = stored(weights, "query-weights")
+        sizes = weights.groupBy("scope_key").agg(F.count_distinct("term").alias("_t"), F.count_distinct("q").alias("_q"))
+        if (sizes.agg(F.sum(F.col("_t") * F.col("_q"))).first()[0] or 0) <= MAX_CELLS:
+            members = scope_members(index.select(*PARAGRAPH, "dl", "terms"), weights, small)
+            schema = ", ".join(f"{c} {kind}" for c, kind in index.select(*PARAGRAPH).dtypes) + ", _hits array<struct<q: bigint, score: double>>"
+            rows = members.mapInArrow(_whole_scores(weights), schema).select(*PARAGRAPH, F.explode("_hits").alias("_h"))
+            total = rows.select(F.col("_h.q").alias("q"), *PARAGRAPH, F.round("_h.score", SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
+            return total.join(_hint(names, small), "q").select("query_id", *PARAGRAPH, "score")
     total = _met(index, weights, small).groupBy("q", "pid").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
     return total.join(index.select("pid", *PARAGRAPH), "pid").join(_hint(names, small), "q").select("query_id", *PARAGRAPH, "score")
 
 
+MAX_CELLS = 1 << 23  # of the matrices of weights, terms by queries of a scope, that every task holds
+SUMMED, SENT = 64, 1024  # paragraphs summed and sent at a time
+
+
+def _whole_scores(weights: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of a paragraph by all queries of its scope, in the row of the paragraph: nothing is shuffled by paragraph and query.
+
+    The weights, whose number is bounded, go to the tasks as a matrix of terms and queries per scope.
+    """
+    rows = weights.select("scope_key", "term", "q", "weight", "avgdl").toPandas()
+    terms = sorted(rows["term"].unique())
+    row_of = {t: i for i, t in enumerate(terms)}
+    scopes = {}
+    for scope, own in rows.groupby("scope_key"):
+        queries, column = np.unique(own["q"].to_numpy(), return_inverse=True)
+        used, row = np.unique(own["term"].map(row_of).to_numpy(), return_inverse=True)
+        matrix, place = np.zeros((len(used), len(queries))), np.full(len(terms), -1)
+        matrix[row, column] = own["weight"].to_numpy()
+        place[used] = np.arange(len(used))
+        scopes[scope] = (queries, place, matrix, float(own["avgdl"].iloc[0]))
+    shared = weights.sparkSession.sparkContext.broadcast((terms, scopes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, matrices = shared.value
+        words = pa.array(words, pa.string())
+        for batch in batches:
+            names = np.array(batch.column("scope_key").to_pylist(), object)
+            for scope in set(names.tolist()):
+                own = batch.take(pa.array(np.flatnonzero(names == scope)))
+                for at in range(0, own.num_rows, SENT):
+                    yield _scored(own.slice(at, SENT), words, *matrices[scope])
+
+    return run
+
+
+def _scored(rows: pa.RecordBatch, words: pa.Array, queries: np.ndarray, place: np.ndarray, matrix: np.ndarray, avgdl: float) -> pa.RecordBatch:
+    lists = rows.column("terms")
+    owner = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    known = pc.fill_null(pc.index_in(lists.flatten().field("term"), value_set=words), -1).to_numpy(zero_copy_only=False)
+    row = np.where(known >= 0, place[known] if len(place) else -1, -1)
+    has = np.flatnonzero(row >= 0)
+    row, owner, tf = row[has], owner[has], lists.flatten().field("tf").to_numpy(zero_copy_only=False)[has].astype(float)
+    dl = rows.column("dl").to_numpy(zero_copy_only=False)[owner]
+    gain = tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avgdl))
+    total = np.zeros((rows.num_rows, len(queries)))
+    for at in range(0, rows.num_rows, SUMMED):
+        a, b = np.searchsorted(owner, [at, at + SUMMED])
+        if a < b:
+            first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            total[owner[a:b][first]] = np.add.reduceat(matrix[row[a:b]] * gain[a:b, None], first, axis=0)
+    i, j = np.nonzero(total > 0)
+    found = pa.StructArray.from_arrays([pa.array(queries[j]), pa.array(total[i, j])], names=["q", "score"])
+    ends = np.searchsorted(i, np.arange(rows.num_rows + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*(rows.column(c) for c in PARAGRAPH), pa.ListArray.from_arrays(pa.array(ends), found)], names=[*PARAGRAPH, "_hits"])
+
+
 def score_of(index: DataFrame, pairs: DataFrame, weights: DataFrame, few: bool, small: bool) -> DataFrame:
     """``(q, node_id, paragraph_id, page, score)``: whole scores of the paragraphs ``(q, pid)`` listed, where positive."""
     rows = index.join(_hint(pairs.select("q", "pid"), few), "pid")

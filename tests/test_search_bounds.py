@@ -70,3 +70,16 @@ def test_superseded_leaves_are_hidden(spark):
     hits = R.search_leaves(leaves, asked, 5).collect()
     assert {r.node_id for r in hits} == {"geo/a"} and {r.page for r in hits} == {3}
     assert {r.node_id for r in R.search_leaves(leaves, asked, 5, include_superseded=True).collect()} == {"geo/a", "geo/b"}
+
+
+def test_scores_of_a_paragraph_are_summed_in_its_row(spark, monkeypatch):
+    rows, common, rare = corpus(6, 300)
+    rows = [*rows, ("s0/b0/x", 0, 1, ""), ("s0/b0/x", 1, 1, None)]
+    queries = [(f"q{i}", ["all", "s0", "s1/b3", "s9"][i % 4], " ".join(common[i % 7 : i % 7 + 4] + rare[i : i + 3])) for i in range(30)]
+    paragraphs, asked = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*queries, ("empty", "all", "")], QUERY)
+    shown = lambda: sorted(map(tuple, R.scores(paragraphs, asked).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(R, "MAX_CELLS", -1)
+        want = shown()
+    monkeypatch.delattr(R, "_met")
+    assert shown() == want and len(want) > 1000
