@@ -10,6 +10,7 @@ from leafloom.operators import cleaning
 from leafloom.plans import fixtures as fx
 from leafloom.plans.fixtures import sql_text
 from leafloom.plans.registry import block, query
+from leafloom.session import stored
 
 BUNDLE = "springboard_rajasthan"
 ALL_PATTERNS = cleaning.patterns_for(BUNDLE)
@@ -151,8 +152,8 @@ def _(t):
 
 
 def _report(t):
-    reported = cleaning.clean_with_report(fx.dirty_pages(t), "text", ALL_PATTERNS)
-    return cleaning.cleanup_report(reported, "book", "page")
+    reported = cleaning.clean_with_report(fx.dirty_pages(t), "text", ALL_PATTERNS).select("book", "page", "removals", "samples")
+    return cleaning.cleanup_report(stored(reported, "removals"), "book", "page")
 
 
 @query(
