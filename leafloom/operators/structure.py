@@ -230,7 +230,8 @@ def tree_lint(nodes: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def lint_quality(nodes: DataFrame, issues: DataFrame) -> DataFrame:
-    blocking = issues.groupBy(TREE).agg(F.count_if(F.col("category").isin(BLOCKING)).alias("blocking"))
+    # Filtered first, so that the issues that block nothing are not looked for.
+    blocking = issues.filter(F.col("category").isin(BLOCKING)).groupBy(TREE).agg(F.count(F.lit(1)).alias("blocking"))
     quality = F.when(F.coalesce("blocking", F.lit(0)) > 0, "needs_revision").otherwise("good")
     trees = nodes.filter(F.col("parent_key").isNull()).select(TREE)
     return trees.join(blocking, TREE, "left").select(TREE, quality.alias("quality"))
