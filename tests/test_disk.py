@@ -6,7 +6,7 @@ import random
 from pathlib import Path
 
 from leafloom.operators import similarity as S
-from leafloom.session import shared_dir
+from leafloom.session import prepare, shared_dir
 
 
 def _bytes(spark) -> int:
@@ -21,3 +21,18 @@ def test_vectors_are_kept_in_few_bytes(spark):
     S.leaf_pairs(leaves).count()
     entries = 800 * 78  # about: words of a leaf, less those that share a slot
     assert _bytes(spark) - before < 30 * entries
+
+
+def test_pairs_with_their_cosine_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_MEETINGS", -1)
+    monkeypatch.setattr(S, "MEETING_COST", float("inf"))
+    rows = [("s", i, f"n{i}", "t", f"one two three four w{i // 4}", i % 2 == 0) for i in range(40)]
+    leaves = spark.createDataFrame(rows, "subject string, ord int, node_id string, title string, body string, is_new boolean")
+    pairs = S.leaf_pairs(leaves)
+    above, _ = pairs._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+    assert "Join" not in above and pairs.count() == pairs.filter("new_sig is not null and existing_node is not null").count() > 0
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    prepare(spark)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
