@@ -83,7 +83,7 @@ class SnapshotStore:
         path = f"{self.root}/data/version={version}"
         keyed = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in COLUMNS.items()], subject_key(F.col("subject")).alias("subject_key"))
         # Rebalancing splits a large subject over tasks and keeps a small one in one file.
-        keyed.hint("rebalance", "subject_key").write.mode("overwrite").partitionBy("subject_key").parquet(path)
+        keyed.hint("rebalance", "subject_key").write.mode("overwrite").option("compression", "zstd").partitionBy("subject_key").parquet(path)
         if check:
             check()
         try:

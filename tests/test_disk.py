@@ -7,6 +7,8 @@ from pathlib import Path
 
 from leafloom.operators import similarity as S
 from leafloom.session import prepare, shared_dir
+from leafloom.sources.snapshots import SnapshotStore
+from leafloom.streaming import ingest
 
 
 def _bytes(spark) -> int:
@@ -33,6 +35,19 @@ def test_pairs_with_their_cosine_are_not_shuffled(spark, monkeypatch):
     assert "Join" not in above and pairs.count() == pairs.filter("new_sig is not null and existing_node is not null").count() > 0
 
 
+def test_a_merge_keeps_bodies_few_times(spark, tmp_path):
+    dice = random.Random(5)
+    columns = "subject string, ord bigint, node_id string, title string, body string, pages array<int>, paragraph_ids array<int>, publisher string, book_slug string, authority_rank int"
+    rows = [("s", i, f"n{i}", f"t{i}", f"{dice.randbytes(2000).hex()}", [1], [0], "p", f"b{i // 300}", 1) for i in range(600)]
+    size, before = 600 * 4000, _bytes(spark)
+    for half in (rows[:300], rows[300:]):
+        spark.createDataFrame(half, columns).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(columns).parquet(f"{tmp_path}/in")
+        ingest.run_merge(stream, f"{tmp_path}/store", f"{tmp_path}/progress", "2024-01-01T00:00:00Z")
+    assert SnapshotStore(spark, f"{tmp_path}/store").read().filter("depth = 2").count() == 600
+    assert _bytes(spark) - before < 1.5 * size
+
+
 def test_shuffle_files_go_with_their_job(spark):
     prepare(spark)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
