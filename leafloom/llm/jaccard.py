@@ -26,6 +26,9 @@ from leafloom.llm.components import components
 HOT_TOKENS = 200_000  # 16 bytes each: the bound of what is broadcast
 HOT_FROM = 10
 SALT_ROWS = 20_000  # rows of one shingle in one shard, about
+ROUNDS, CANDIDATES = 6, 4  # of comparisons with chosen documents, and documents that one is compared with in a round
+DEALS, HAND = 2, 8  # so often the documents of a shingle are dealt in a round, and about so many together
+FEW_OF = 500  # a round that links fewer than one in so many documents is the last
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -133,9 +136,7 @@ def prefixes(docs: DataFrame, order, shards: int, words: int, percent: int) -> D
 
 
 def shared_entries(packed: DataFrame, order) -> DataFrame:
-    """Prefix entries whose shingle another document of the shard holds as well, or that are salted, each with two documents that hold the
-    shingle in the shard: the one with the least id, and the one with the least hash of its id."""
-    schema = "token long, doc long, center long, other long, salted boolean"
+    """Prefix entries whose shingle another document of the shard holds as well, or that are salted."""
 
     def step(table: pa.Table) -> pa.Table:
         import zstandard
@@ -143,18 +144,64 @@ def shared_entries(packed: DataFrame, order) -> DataFrame:
         raw = [zstandard.decompress(x.as_py()) for x in table.column("entries")]
         tokens = np.concatenate([np.frombuffer(x[: len(x) // 2], np.uint64) for x in raw])
         owners = np.concatenate([np.cumsum(np.frombuffer(x[len(x) // 2 :], np.int64)) for x in raw])
-        by = np.lexsort((owners, tokens))
+        by = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[by], owners[by]
         cuts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         n = np.diff(np.append(cuts, len(tokens)))
-        salted = np.repeat(order.value.keys(tokens[cuts])[1] > SALT_ROWS, n)
-        keep = np.repeat(n > 1, n) | salted
-        # Owners of a shingle are together in both orders, so the cuts hold for the second one too.
-        other = owners[np.lexsort((mix(owners.view(np.uint64)), tokens))]
-        columns = tokens[keep].view(np.int64), owners[keep], owners[np.repeat(cuts, n)[keep]], other[np.repeat(cuts, n)[keep]], salted[keep]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "center", "other", "salted"])
+        keep = np.repeat((n > 1) | (order.value.keys(tokens[cuts])[1] > SALT_ROWS), n)
+        return pa.Table.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(owners[keep])], names=["token", "doc"])
 
-    return packed.groupBy("shard").applyInArrow(step, schema)
+    return packed.groupBy("shard").applyInArrow(step, "token long, doc long")
+
+
+def in_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, doc, group: the entries of the shingles that lie in several groups. A document without a group is one of its own."""
+    member = entries.join(groups.select(F.col("id").alias("doc"), F.col("component").alias("group")), "doc", "left").select("token", "doc", F.coalesce("group", "doc").alias("group"))
+    member = written(member, "member")
+    mixed = member.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("token")
+    return written(member.join(mixed, "token", "left_semi"), "member")
+
+
+def joined(entries: DataFrame, twins: DataFrame, info: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing documents with chosen ones of the shingles they hold, and the groups that links and twins make.
+
+    A round names two documents of each shingle: the one whose shingles are the most frequent, so that copies of a text meet the text
+    itself, and the least, later one that differs from round to round. Each document is compared with the CANDIDATES of other groups that most of its
+    shingles name, and with none twice. Rounds end when one joins few, or after ROUNDS: what they miss is left to the matrix.
+    """
+    counts = entries.groupBy("token").agg(F.count("*").alias("n"))
+    lists = entries.join(counts, "token").groupBy("doc").agg(F.avg("n").alias("usual"), F.collect_list("token").alias("tokens"))
+    lists = written(lists, "lists")
+    links, groups, tried = twins, written(components(twins), "groups"), None
+    for turn in range(ROUNDS):
+        if turn == 0:
+            member = entries.withColumn("group", F.col("doc")).join(lists.select("doc", "usual"), "doc")
+            chosen = [F.max_by(F.struct("doc", "group"), F.struct("usual", "doc")), F.min(F.struct("doc", "group"))]
+            on = ["token"]
+        else:
+            # A few documents of a shingle each, dealt anew each round.
+            member = in_groups(entries, groups).join(counts, "token")
+            deals = [F.struct(F.lit(k).alias("deal"), F.pmod(F.xxhash64("doc", F.lit(DEALS * turn + k)), F.ceil(F.col("n") / HAND)).alias("hand")) for k in range(DEALS)]
+            member = member.select("token", "doc", "group", F.explode(F.array(*deals)).alias("at"))
+            chosen, on = [F.min_by(F.struct("doc", "group"), F.xxhash64("doc", F.lit(turn)))], ["token", "at"]
+        centers = member.groupBy(on).agg(F.array_distinct(F.array(*chosen)).alias("to"))
+        met = member.join(centers, on).select("doc", "group", F.explode("to").alias("to"))
+        met = met.where("group != to.group").groupBy("doc", F.col("to.doc").alias("to")).agg(F.count("*").alias("named"))
+        if tried is not None:
+            met = met.join(tried.select(F.col("a").alias("doc"), F.col("b").alias("to")).union(tried.select("b", "a")), ["doc", "to"], "left_anti")
+        most = F.slice(F.sort_array(F.collect_list(F.struct("named", "to")), False), 1, CANDIDATES)
+        pairs = met.groupBy("doc").agg(most.alias("most")).select("doc", F.explode("most.to").alias("to"))
+        pairs = written(pairs.select(F.greatest("doc", "to").alias("a"), F.least("doc", "to").alias("b")).distinct(), "named")
+        tried = pairs if tried is None else tried.union(pairs)
+        for side in "ab":
+            pairs = pairs.join(lists.select(F.col("doc").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
+        pairs = possible(pairs.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("shared")), info, percent)
+        found = verified(written(pairs, "pairs"), docs, words, percent)
+        links = links.union(found)
+        groups = written(components(links), "groups")
+        if found.count() * FEW_OF < lists.count():
+            break
+    return links, groups
 
 
 def with_info(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -224,28 +271,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     info = rows.where("end is not null")
     entries = written(shared_entries(packed.where("shard is not null").select("shard", "entries"), order), "entries")
 
-    # Equal sets: the least documents of tasks, to the least of all with that set.
+    # Equal sets are one document from here on: the least of all with that set stands for the least ones of the tasks.
     equal = info.groupBy("key").agg(F.min("doc_id").alias("least"))
-    twins = info.join(equal, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    twins = twins.union(rows.select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))).where("a != b")
-
-    # Groups of similar documents: links with two chosen documents of a shared shingle. Where it is salted, the least document of
-    # each salt meets the least of all.
-    count_shared = lambda df: df.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    chosen = entries.select(F.col("doc").alias("a"), F.explode(F.array_distinct(F.array("center", "other"))).alias("b")).where("a != b")
-    stars = count_shared(chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    heads = entries.where("salted").select("token", "center").distinct()
-    tops = heads.groupBy("token").agg(F.min("center").alias("top"))
-    second = heads.join(tops, "token").where("center != top").select(F.col("center").alias("a"), F.col("top").alias("b")).distinct()
-    every = second.withColumn("shared", F.lit(1 << 40))
-    first = verified(written(possible(stars.union(every), info, percent).distinct(), "pairs"), docs, words, percent)
-    groups = written(components(first.union(twins)), "groups")
+    copies = written(info.join(equal, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a != b"), "copies")
+    twins = copies.union(rows.select(F.col("doc_id").alias("a"), F.col("twin").alias("b")).where("a != b"))
+    entries = entries.join(copies.withColumnRenamed("a", "doc"), "doc", "left").select("token", F.coalesce("b", "doc").alias("doc")).distinct()
+    first, groups = joined(written(entries, "entries"), twins, info, docs, words, percent)
 
     # Token-group matrix, of the shingles that lie in several groups.
-    member = entries.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("group"))
-    member = written(member, "member")
-    mixed = member.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("token")
-    member = written(member.join(mixed, "token", "left_semi"), "member")
+    member = in_groups(entries, groups)
     sizes = member.select("doc", "group").distinct().join(info.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
     sizes = sizes.groupBy("group").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     matrix = written(member.select("token", "group").distinct().join(sizes, "group"), "matrix")
@@ -269,7 +303,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spans = classes.groupBy("class").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     chosen = written(member.join(spans, member["doc"] == spans["class"]).select("token", "group", "class", "least", "most"), "chosen")
     side = lambda group, n: chosen.select("token", F.col("group").alias(group), F.col("class").alias(f"{n}_class"), F.col("least").alias(f"{n}_least"), F.col("most").alias(f"{n}_most"))
-    met = opened.join(side("g", "x"), ["token", "g"]).join(side("h", "y"), ["token", "h"])
+    near = (100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least"))
+    x = opened.join(side("g", "x"), ["token", "g"]).alias("x")
+    y = side("h", "y").alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.h") == F.col("y.h")) & near)
     keys = ["x_class", "y_class", "x_least", "y_least", "x_most", "y_most"]
     met = met.groupBy(*keys).agg(F.count("*").alias("shared"))
     enough = overlap(F.col("x_least"), F.col("y_least"), percent) - share(F.greatest("x_most", "y_most"), percent) + 1
@@ -278,5 +315,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     met = spelled.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "shared")
     rest = verified(written(possible(met, info, percent), "pairs"), docs, words, percent)
 
-    final = components(first.union(twins).union(rest)).withColumnRenamed("id", "doc_id")
+    final = components(first.union(rest)).withColumnRenamed("id", "doc_id")
     return rows.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

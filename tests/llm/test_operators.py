@@ -389,3 +389,26 @@ def test_window_hashes_tell_windows_apart():
         keys = common.window_hashes(h, width)
         truth = [tuple(h[i : i + width].tolist()) for i in range(len(h) - width + 1)]
         assert len(keys) == len(truth) and len(set(keys.tolist())) == len(set(truth)) == len(set(zip(keys.tolist(), truth, strict=True)))
+
+
+def test_copies_meet_the_text_itself_before_the_matrix(spark, monkeypatch):
+    """Copies of a text that are too far from each other to link, but link with it, are one group before groups are compared."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"x{i}a{at}"
+        rows.append((i, " ".join(words)))
+    sizes, written = {}, jaccard.written
+
+    def counted(df, label):
+        out = written(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
+    assert {r.component_id for r in out.collect()} == {0}
+    assert sizes["met"] < 60 * 60  # all pairs of groups, once for each shared shingle, were 37,888
