@@ -2,9 +2,10 @@
 
 Candidate blocks are runs of lines with licence wording and as many words around as a notice can have; for whole licence texts (`TEXTS`) the block is the document. A template is confirmed
 at a stretch of the block's words that holds at least `share` of its words in order, few others between, and the same words that tell licences
-apart (numbers and the like). All templates are compared at all places where that is possible; the stretch with the fewest differences is reported
-and masked, and the rest is compared again until nothing is confirmed. Each hit's lines are compressed alone and with the template as a raw zstandard
-dictionary; templates that differ equally are ranked by how much smaller the lines get.
+apart (numbers and the like). Each block is compressed alone and with every template as a raw zstandard dictionary, and templates are ranked by how much smaller
+it gets. The best one that is confirmed goes first, unless a stretch that overlaps has fewer differences; the stretch is reported and masked, and
+the rest is compared again until nothing is confirmed. The rank orders the work and drops no template: all are compared at all places
+where that is possible. Each hit's lines are compressed once more by themselves; templates that differ equally are told apart by how much smaller these get.
 
 Null and empty texts have no blocks. Rows are scanned one by one, whatever their ids.
 """
@@ -100,6 +101,12 @@ class Scanner:
         size = len(self.alone(data))
         return (size - len(self.given[text](data))) / size
 
+    def ranked(self, own: list[str], whole: bool) -> list[int]:
+        """The templates by how much smaller the block gets with each as dictionary, the best first."""
+        text = " ".join(own) or " "
+        gain = [self.saved(text, t) for _, _, t in (self.long if whole else self.short)]
+        return sorted(range(len(gain)), key=lambda k: (-gain[k], k))
+
     def compared(self, own: list, template: list[str], lo: int, hi: int) -> tuple[int, int, int, int] | None:
         """Missing and added words, first word and end of the stretch, if the template is confirmed within own[lo:hi]."""
         own, total = own[lo:hi], len(template)
@@ -133,9 +140,11 @@ class Scanner:
     def scan(self, words: list[tuple[str, int]], lines: list[str], whole: bool = False) -> list[tuple]:
         """First and last line, name, share saved, missing and added words of every confirmed template of the words (each with its line)."""
         own, out = [w for w, _ in words], []
+        templates, order = self.long if whole else self.short, self.ranked(own, whole)
         while True:
             found, stock = [], collections.Counter(own)
-            for k, (name, template, text) in enumerate(self.long if whole else self.short):
+            for k in order:
+                name, template, text = templates[k]
                 # No window has more words of the template than the block.
                 if sum((collections.Counter(template) & stock).values()) < self.share * len(template) or any(w not in stock for w in template if TELLING.search(w)):
                     continue
@@ -146,7 +155,11 @@ class Scanner:
                         found.append((hit[0] + hit[1], -len(template), hit[2], name, text, hit))
             if not found:
                 return sorted(out)
-            least = min(f[:3] for f in found)
+            # The best of the first template in rank, then the least of what overlaps it, until that is the least among its own.
+            least, near = None, min((f for f in found if f[4] == found[0][4]), key=lambda f: f[:3])
+            while least != near[:3]:
+                least = near[:3]
+                near = min((f for f in found if f[5][2] < near[5][3] and near[5][2] < f[5][3]), key=lambda f: f[:3])
             ranked = []
             for f in {f[3:] for f in found if f[:3] == least}:
                 name, text, (missing, added, first, end) = f

@@ -412,3 +412,20 @@ def test_copies_meet_the_text_itself_before_the_matrix(spark, monkeypatch):
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
     assert {r.component_id for r in out.collect()} == {0}
     assert sizes["met"] < 60 * 60  # all pairs of groups, once for each shared shingle, were 37,888
+
+
+def test_license_blocks_are_compressed_with_every_template_first():
+    """Compression ranks the templates of a block before wording confirms one."""
+    scanner = licenses.Scanner([*licenses.TEMPLATES.items(), *licenses.FURTHER], licenses.TEXTS, 0.85)
+    names = list(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        ranked = scanner.ranked(licenses.words_of(text), False)
+        assert len(ranked) == len(licenses.TEMPLATES) + len(licenses.FURTHER)
+        assert names.index(name) in ranked[:4]  # four of them differ by a word
+    used, compared = [], scanner.compared
+    scanner.compared = lambda own, template, lo, hi: used.append(tuple(template)) or compared(own, template, lo, hi)
+    block = "Released under the MIT License. All rights reserved."
+    first = scanner.ranked(licenses.words_of(block), False)[0]
+    hits = licenses.hits_of(block, licenses.re.compile(licenses.WORDING), scanner)
+    assert [h[2] for h in hits] == ["MIT", "proprietary"]
+    assert used[0] == tuple(scanner.short[first][1])
