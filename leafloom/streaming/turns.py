@@ -14,6 +14,8 @@ OUTPUT = (
 )
 EVENT = "seq int, type string, id string, payload string, number int"
 LATE, IDLE_MS = "10 minutes", 600_000
+#: Times that Python can hold in any time zone.
+FIRST, LAST = "0001-01-02 00:00:00Z", "9999-12-30 00:00:00Z"
 
 
 def folded(turn_id: str, events: list[tuple], status: str) -> Row:
@@ -39,11 +41,16 @@ class TurnProcessor(StatefulProcessor):
         self.turn = handle.getValueState("turn", "done boolean, timer long")
 
     def handleInputRows(self, key, rows, timerValues):
-        done, timer = self.turn.get() if self.turn.exists() else (False, None)
-        fresh, last = [], 0
+        known = self.turn.get()  # every call goes to the JVM and back, so a turn's first batch asks for nothing else
+        done, timer = known or (False, None)
+        fresh, last, passed = [], 0, timerValues.getCurrentWatermarkInMs()
         for r in rows:
+            if r.ts is None and r.ms is not None and r.ms <= passed:  # Spark has dropped the other late ones
+                continue
             fresh.append((r.seq, r.type, r.id, r.payload, r.number))
             last = max(last, r.ms)
+        if not fresh:
+            return
         wake = max(timer or 0, last + IDLE_MS)
         if wake != timer:
             if timer is not None:
@@ -51,12 +58,12 @@ class TurnProcessor(StatefulProcessor):
             self.handle.registerTimer(wake)
         ends = done or any(e[1] == "finish" for e in fresh)
         if not done:
-            before = list(self.events.get()) if self.events.exists() else []
+            before = list(self.events.get()) if known else []
             yield folded(key[0], before + fresh, "complete" if ends else "streaming")
-            if ends:
-                self.events.clear()
-            else:
+            if not ends:
                 self.events.appendList(fresh)
+            elif known:
+                self.events.clear()
         self.turn.update((ends, wake))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -72,7 +79,11 @@ def fold_stream(events: DataFrame, late: str = LATE) -> DataFrame:
     """A turn as it stands after each batch that has events of it; the row with its ``finish`` is its last."""
     use_state_store(events.sparkSession)
     rows = events.select("turn_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "seq", "type", "id", "payload", "number")
-    return rows.withWatermark("ts", late).groupBy("turn_id").transformWithState(TurnProcessor(), OUTPUT, "Update", "EventTime")
+    rows = rows.withWatermark("ts", late)
+    # The watermark comes from all times. One that Python can't hold stays behind with its mark, and `ms` tells whether its row is late.
+    held = F.when(F.col("ts").between(F.lit(FIRST).cast("timestamp"), F.lit(LAST).cast("timestamp")), F.col("ts"))
+    rows = rows.withColumn("ts", held.alias("ts", metadata=rows.schema["ts"].metadata))
+    return rows.groupBy("turn_id").transformWithState(TurnProcessor(), OUTPUT, "Update", "EventTime")
 
 
 def run_fold(events: DataFrame, out: str | None = None, late: str = LATE) -> DataFrame:

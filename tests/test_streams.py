@@ -78,6 +78,20 @@ def test_turns_grow_by_batches_and_close(spark, tmp_path):
     assert got["u"].status == "streaming" and [tuple(c) for c in got["t"].citations] == [(1, "node 1")]
 
 
+def test_turns_of_times_past_the_year_9999(spark, tmp_path):
+    out, into = str(tmp_path / "out"), str(tmp_path / "in")
+    hour, far = 3600, 300_000_000_000
+    first = [("t", far, 1, "a"), ("old", 1, 1, "x")]
+    second = [("t", far + 60, 2, "b"), ("z", far + 20 * hour, 1, "q")]
+    third = [("t", far + 120, 3, "late"), ("new", far + 5, 1, "late"), ("z", far + 20 * hour - 60, 2, "r")]
+    for rows in (first, second, third):
+        made = spark.createDataFrame(rows, "turn_id string, s long, seq int, payload string")
+        made = made.selectExpr("turn_id", "timestamp_seconds(s) AS ts", "seq", "'text-delta' AS type", "'' AS id", "payload", "0 AS number")
+        made.coalesce(1).write.mode("append").parquet(into)
+        got = turns.run_fold(spark.readStream.schema(made.schema).parquet(into), out)
+    assert {r.turn_id: r.text for r in got.collect()} == {"t": "ab", "old": "x", "z": "qr"}
+
+
 def test_turn_state_is_appended(spark, tmp_path):
     """A batch that adds one event to a long turn writes little state: the list is not written again."""
     out, into = str(tmp_path / "out"), str(tmp_path / "in")
