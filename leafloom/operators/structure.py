@@ -80,10 +80,15 @@ def _unique_order(chapters: DataFrame) -> DataFrame:
 
 
 # --- leaves and references ------------------------------------------------------------------------
+def wide(rows: DataFrame) -> DataFrame:
+    """For joins of rows opened from ranges. Spark takes their size for that of the ranges, and would send very many of them through the driver."""
+    return rows.hint("merge")
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes without children."""
     parents = nodes.filter(F.col("parent_key").isNotNull()).select(TREE, F.col("parent_key").alias("node_key")).distinct()
-    return nodes.join(parents, [TREE, "node_key"], "left_anti")
+    return nodes.join(wide(parents), [TREE, "node_key"], "left_anti")
 
 
 def good_range() -> Column:
@@ -99,7 +104,7 @@ def paragraph_refs(nodes: DataFrame) -> DataFrame:
 
 def resolve_refs(nodes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Referenced paragraphs that exist."""
-    return paragraph_refs(nodes).join(paragraphs, [TREE, "paragraph_id"])
+    return paragraph_refs(nodes).join(wide(paragraphs), [TREE, "paragraph_id"])
 
 
 def unreferenced(nodes: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -273,12 +278,12 @@ def contents_outline(nodes: DataFrame) -> DataFrame:
 def source_pages(nodes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Pages per node: a leaf's own, an inner node's direct children's."""
     refs = resolve_refs(nodes, paragraphs.select(TREE, "paragraph_id", "page")).select(TREE, "node_key", "page").distinct()
-    own = refs.join(leaves(nodes).select(TREE, "node_key"), [TREE, "node_key"], "left_semi")
+    own = refs.join(wide(leaves(nodes).select(TREE, "node_key")), [TREE, "node_key"], "left_semi")
     parent = nodes.filter(F.col("parent_key").isNotNull()).select(TREE, "node_key", "parent_key")
-    passed = refs.join(parent, [TREE, "node_key"]).select(TREE, F.col("parent_key").alias("node_key"), "page")
+    passed = refs.join(wide(parent), [TREE, "node_key"]).select(TREE, F.col("parent_key").alias("node_key"), "page")
     pages = own.unionByName(passed).groupBy(TREE, "node_key").agg(F.array_sort(F.collect_set("page")).alias("source_pages"))
     none = F.array().cast("array<int>")
-    return nodes.select(TREE, "node_key").join(pages, [TREE, "node_key"], "left").withColumn("source_pages", F.coalesce("source_pages", none))
+    return nodes.select(TREE, "node_key").join(wide(pages), [TREE, "node_key"], "left").withColumn("source_pages", F.coalesce("source_pages", none))
 
 
 # --- prompt lines ---------------------------------------------------------------------------------

@@ -163,3 +163,16 @@ def test_a_tree_below_the_threshold_is_not_committed(spark, tmp_path):
     assert store.latest() == 0 and {r.node_id for r in store.read().collect()} == {"n1", "n2"}
     S.commit_covered(store, rows(2), result, 1, 0)
     assert store.latest() == 1 and {r.node_id for r in store.read().collect()} == {"n1", "n2"}
+
+
+def test_nodes_of_trees_are_not_sent_through_the_driver(spark, tmp_path):
+    from leafloom.plans.catalog import QUERIES
+    from leafloom.session import Tables
+
+    text = "\n".join(f"paragraph number {i} of the document" for i in range(40))
+    rows = [(i, "\n".join([text] * (i % 3)), "en", f"src{i % 4}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["tree_stats"](Tables(spark, str(tmp_path)))
+    # 80 paragraphs are 20 leaves in 7 chapters below the root; a document without paragraphs has its root only.
+    assert {(r.doc_id, r.total_nodes, r.max_page) for r in found.collect() if r.doc_id in (0, 5, 10)} == {(0, 1, 0), (5, 28, 16), (10, 15, 8)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
