@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +260,59 @@ def test_pairs_are_exact_by_products_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 3)
     monkeypatch.delattr(S, "_meeting_pairs")
     assert near(1024) == want and near(4096) == wide and len(want) > 5
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.8])
+def test_best_pairs_by_blocks(spark, monkeypatch, threshold):
+    """Few pairs leave the blocks, the best of each new signature among them, also where several are as similar."""
+    rng = random.Random(7)
+    words = [f"word{c}{d}" for c in "abcdefgh" for d in "abcd"]
+    text = lambda i: " ".join(rng.sample(words[:6], 4) if i % 3 else rng.sample(words, rng.randint(1, 12)))
+    rows = [(i, "s" if i % 5 else "t", f"n{i}", text(i), text(i), i % 2 == 0) for i in rng.sample(range(1500), 600)]
+    rows.append((2000, "s", "lone", "zzunknown", "zzunknown", True))
+    leaves = spark.createDataFrame(rows, "ord long, subject string, node_id string, title string, body string, is_new boolean")
+    monkeypatch.setattr(S, "FEW_MEETINGS", -1)
+    monkeypatch.setattr(S, "MEETING_COST", 1e12)
+    monkeypatch.setattr(S, "BLOCK", 16)
+    every = S.leaf_pairs(leaves, threshold).withColumn("decision", F.lit("related"))
+    some = S.leaf_pairs(leaves, threshold, best=True).withColumn("decision", F.lit("related"))
+    shown = lambda pairs: sorted(tuple(r) for r in merging.best_match(pairs).select("new_sig", "existing_node", "existing_ord", "similarity").collect())
+    assert shown(some) == shown(every)
+    assert some.count() < every.count() / 2 and every.filter(F.col("similarity") <= 0).isEmpty() and every.filter("new_node = 'lone'").isEmpty()
+
+
+def test_best_existing_match_is_the_most_similar_however_little(spark, tmp_path):
+    from leafloom.plans.catalog import QUERIES
+    from leafloom.session import Tables
+
+    texts = {2: "alpha beta gamma", 4: "nothing shared here", 1: "alpha delta epsilon", 3: "alpha beta zeta", 5: "alpha beta zeta"}
+    rows = [(i, text, "en", f"src{i % 2}") for i, text in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["best_existing_match"](Tables(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in found] == [("en/src0/d2", "en/src1/d3", round(2 / 3, 6))]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.7])
+def test_best_pairs_of_cells_of_several_blocks(monkeypatch, threshold):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "HELD_PAIRS", 8)
+    rng = np.random.default_rng(3)
+    rows, batches = [], []
+    for cell in ("a", "b"):
+        for old in (False, True):
+            for _ in range(23):
+                slots = rng.choice(6, rng.integers(1, 4), replace=False).tolist()
+                rows.append({"_cell": cell, "_old": old, "vec": len(rows), "_slots": slots, "_weights": [len(slots) ** -0.5] * len(slots), "subject": "s",
+                             "_leaf": {"sig": f"g{len(rows)}", "n": 1, "node": f"n{len(rows)}", "ord": None if rng.random() < 0.1 else int(rng.integers(1000))}})
+    leaf = pa.struct([("sig", pa.string()), ("n", pa.int64()), ("node", pa.string()), ("ord", pa.int64())])
+    kind = pa.schema([("_cell", pa.string()), ("_old", pa.bool_()), ("vec", pa.int64()), ("_slots", pa.list_(pa.int16())), ("_weights", pa.list_(pa.float64())), ("subject", pa.string()), ("_leaf", leaf)])
+    for at in range(0, len(rows), 9):
+        batches.append(pa.RecordBatch.from_pylist(rows[at : at + 9], kind))
+    got = [r for b in S._products(threshold, True, True)(iter(batches)) for r in b.to_pylist()]
+    order = lambda r: (-round(r["_cosine"], 6), math.inf if r["existing_ord"] is None else r["existing_ord"])
+    first = {new: min((r for r in got if r["new_sig"] == new), key=order) for new in {r["new_sig"] for r in got}}
+    every = [r for b in S._products(threshold, True)(iter(batches)) for r in b.to_pylist()]
+    every = [r for r in every if r["_cosine"] > max(0, threshold - 1e-9)]
+    want = {new: min((r for r in every if r["new_sig"] == new), key=order) for new in {r["new_sig"] for r in every}}
+    assert len(want) > 30 and {k: order(v) for k, v in want.items()} == {k: order(first[k]) for k in want}
+    assert len(got) < len(every) / 2
