@@ -316,3 +316,45 @@ def test_best_pairs_of_cells_of_several_blocks(monkeypatch, threshold):
     want = {new: min((r for r in every if r["new_sig"] == new), key=order) for new in {r["new_sig"] for r in every}}
     assert len(want) > 30 and {k: order(v) for k, v in want.items()} == {k: order(first[k]) for k in want}
     assert len(got) < len(every) / 2
+
+
+def test_many_edges_are_linked_to_one_per_vertex(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "LINKED_AT_ONCE", 50)
+    rng = random.Random(11)
+    group = lambda i: i % 7 if i < 60 else i
+    edges = [(f"v{a:03d}", f"v{b:03d}") for a in range(80) for b in range(80) if group(a) == group(b) and rng.random() < 0.9]
+    edges += [("alone", "alone"), ("x", None), (None, "v001")]
+    rng.shuffle(edges)
+    batches = [pa.RecordBatch.from_pydict({"a": [e[0] for e in edges[at : at + 9]], "b": [e[1] for e in edges[at : at + 9]]}) for at in range(0, len(edges), 9)]
+    linked = [(r["a"], r["b"]) for b in dedup._forest(iter(batches)) for r in b.to_pylist()]
+    assert len(linked) < 85 < len(edges) / 4 and ("alone", "alone") in linked
+    near: dict[str, set[str]] = {}
+    for a, b in edges:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def least(v):
+        seen, todo = {v}, [v]
+        while todo:
+            fresh = near[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        return min(seen)
+
+    got = {r.id: r.component for r in dedup.components(spark.createDataFrame(edges, "a string, b string").repartition(5)).collect()}
+    assert got == {v: least(v) for v in near}
+
+
+def test_texts_of_clusters_are_not_joined(spark):
+    rows = spark.createDataFrame([(1, "s", "n1", "a", "a long body", "NCERT", True, "g"), (2, "s", "n2", "b", "another body", "RBSE", False, "h")], "ord long, subject string, node_id string, title string, body string, publisher string, is_new boolean, sig string")
+    pairs = spark.createDataFrame([("s", "g", "h")], "subject string, new_sig string, existing_sig string")
+    joined = []
+    real = dedup.stored
+    try:
+        dedup.stored = lambda df, label: joined.append((label, df.columns)) or real(df, label)
+        got = sorted(tuple(r) for r in dedup.clusters(pairs, rows).collect())
+    finally:
+        dedup.stored = real
+    assert got == [("n1", "s:e:h", "n1"), ("n2", "s:e:h", "n1")]
+    assert ("members", ["id", "node_id", "_order", "component"]) in joined
